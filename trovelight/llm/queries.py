@@ -3,11 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trovelight.llm import leakage, tokens
+from trovelight.llm import leakage, survivors, terms, tokens
 from trovelight.session import table
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.survivors(table(spark, folder, "records")).select("infohash_v1", "record_id")
+
+
+def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "records")
+    return survivors.assemble(survivors.survivors(records), records)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.rarest_shared_term(terms.term_scores(table(spark, folder, "records")))
+
+
+def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return terms.term_scores(table(spark, folder, "records")).withColumn("ppmi", F.round("ppmi", 6))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, folder, "documents"))
 
@@ -34,9 +52,36 @@ ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k+7], ' ') AS g FROM (SELECT
 found AS (SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g))
 """
 
-QUERIES = {"p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items}
+_SQL_TERMS = """
+WITH t AS (
+  SELECT record_id, provider, source_id, list_filter(regexp_split_to_array(lower(concat_ws(' ', title, description, array_to_string(categories, ' '))), '[^\\p{L}\\p{N}]+'), lambda x: regexp_full_match(x, '[a-z]{4,}')) AS terms
+  FROM records
+), pairs AS (SELECT record_id, provider, source_id, len(terms) AS n_r, unnest(terms) AS term FROM t
+), tf AS (SELECT record_id, provider, source_id, n_r, term, count(*) AS tf FROM pairs GROUP BY ALL
+), counts AS (SELECT term, sum(tf) AS n, count(DISTINCT (provider, source_id)) AS entries FROM tf GROUP BY term)
+"""
+
+_FACETS = ("categories", "content_kinds", "media_kinds", "languages", "architectures", "codecs")
+_SQL_COMPLETENESS = " + ".join(
+    [f"(trim(coalesce({c}, ''), E' \\t\\n\\r') <> '')::INT" for c in ("description", "infohash_v1", "infohash_v2", "details_url", "magnet_uri", "torrent_url")]
+    + [f"({c} IS NOT NULL)::INT" for c in ("size_bytes", "published_at", "seeders", "leechers")]
+    + [f"len(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda x: lower(trim(x, E' \\t\\n\\r'))), lambda x: regexp_full_match(x, '[a-z0-9_-]{{1,64}}'))))" for c in _FACETS]
+    + ["len(list_distinct(list_filter(list_transform(coalesce(extensions, []), lambda x: regexp_replace(lower(trim(x, E' \\t\\n\\r')), '^\\.', '')), lambda x: regexp_full_match(x, '[a-z0-9]{1,16}'))))", "len(list_distinct(list_filter(coalesce(resolutions, []), lambda x: x BETWEEN 100 AND 8640)))"]
+)
+
+QUERIES = {
+    "p5_found": p5_found, "p5_survivors": p5_survivors, "p7_found": p7_found, "p7_scores": p7_scores,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items,
+}
 
 SQL = {
+    "p5_found": f"""
+WITH r AS (SELECT lower(trim(infohash_v1, E' \\t\\n\\r')) AS infohash_v1, record_id, fetched_at, {_SQL_COMPLETENESS} AS completeness FROM records)
+SELECT infohash_v1, record_id FROM r WHERE regexp_full_match(infohash_v1, '[0-9a-f]{{40}}')
+QUALIFY count(*) OVER (PARTITION BY infohash_v1) > 1 AND row_number() OVER (PARTITION BY infohash_v1 ORDER BY completeness DESC, fetched_at DESC, record_id) = 1""",
+    "p7_found": _SQL_TERMS + "SELECT record_id, term FROM tf JOIN counts USING (term) WHERE entries >= 2 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY entries, tf DESC, term) = 1",
+    "p7_scores": _SQL_TERMS + """, total AS (SELECT sum(pow(len(terms), 0.75)) AS all_q FROM t WHERE len(terms) > 0)
+SELECT record_id, term, tf, entries, round(greatest(0, ln((tf * all_q) / (n * pow(n_r, 0.75)))), 6) AS ppmi FROM tf JOIN counts USING (term), total""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": _SQL_GRAMS + "SELECT doc_id, item_id FROM found",
 }
