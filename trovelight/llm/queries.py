@@ -5,10 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import leakage, survivors, terms, tokens
+from trovelight.llm import glyphs, leakage, mojibake, survivors, terms, tokens
 from trovelight.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "records")
+    return glyphs.unify(records, garbled=mojibake.fit_models(records)).select("record_id", "field_name")
+
+
+def p1_unified(spark: SparkSession, folder: str) -> DataFrame:
+    return glyphs.unify(table(spark, folder, "records"), changed_only=False).select("record_id", "field_name", "unified")
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "records")
+    return mojibake.repair(records, mojibake.fit_models(records)).select("record_id", "field_name")
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "records")
+    return mojibake.repair(records, mojibake.fit_models(records))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.survivors(table(spark, folder, "records")).select("infohash_v1", "record_id")
 
@@ -70,6 +89,7 @@ _SQL_COMPLETENESS = " + ".join(
 )
 
 QUERIES = {
+    "p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_restored": p3_restored,
     "p5_found": p5_found, "p5_survivors": p5_survivors, "p7_found": p7_found, "p7_scores": p7_scores,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items,
 }
