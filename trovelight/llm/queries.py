@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import glyphs, leakage, mojibake, survivors, terms, tokens
+from trovelight.llm import glyphs, leakage, markup, mojibake, survivors, terms, tokens
 from trovelight.session import table
 
 
@@ -28,6 +28,14 @@ def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     return mojibake.repair(records, mojibake.fit_models(records))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_markup(table(spark, folder, "records")).where(F.size("kinds") > 0).select("record_id")
+
+
+def p4_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return markup.clean_markup(table(spark, folder, "records"))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.survivors(table(spark, folder, "records")).select("infohash_v1", "record_id")
 
@@ -90,6 +98,7 @@ _SQL_COMPLETENESS = " + ".join(
 
 QUERIES = {
     "p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_restored": p3_restored,
+    "p4_found": p4_found, "p4_clean": p4_clean,
     "p5_found": p5_found, "p5_survivors": p5_survivors, "p7_found": p7_found, "p7_scores": p7_scores,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items,
 }
