@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import glyphs, leakage, markup, mojibake, survivors, terms, tokens
+from trovelight.llm import cuts, glyphs, leakage, markup, mojibake, survivors, terms, tokens
 from trovelight.session import table
 
 
@@ -45,6 +45,19 @@ def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.assemble(survivors.survivors(records), records)
 
 
+def _cut_values(spark: SparkSession, folder: str) -> DataFrame:
+    records, inspections = table(spark, folder, "records"), table(spark, folder, "inspections")
+    return cuts.cut_values([("records", records, "record_id", ("title",), ("description",)), ("inspections", inspections, "inspection_id", (), ("comment",))])
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _cut_values(spark, folder).where("how IS NOT NULL").select("table_name", "row_id", "field_name")
+
+
+def p6_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return cuts.cut_rates(_cut_values(spark, folder))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return terms.rarest_shared_term(terms.term_scores(table(spark, folder, "records")))
 
@@ -99,6 +112,7 @@ _SQL_COMPLETENESS = " + ".join(
 QUERIES = {
     "p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_clean": p4_clean,
+    "p6_found": p6_found, "p6_rates": p6_rates,
     "p5_found": p5_found, "p5_survivors": p5_survivors, "p7_found": p7_found, "p7_scores": p7_scores,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items,
 }
