@@ -44,6 +44,7 @@ def term_scores(
     keep: str = "^[a-z]{4,}$",
     exponent: float = 0.75,
     frequent: int = 4096,
+    broadcast_entries: int = 100_000,
 ) -> DataFrame:
     """Every term of every record: ``id_col``, ``term``, ``tf``, ``entries`` and ``ppmi``.
 
@@ -61,11 +62,13 @@ def term_scores(
     keys = [f"_e{k}" for k in range(len(entry_cols))]
 
     # an entry of one row adds 1 to each of its terms; only entries of several rows need a distinct
-    again = rows.groupBy("_entry").count().where("count > 1").select("_entry", F.lit(True).alias("_again"))
-    marked = rows.join(again, "_entry", "left")
-    single = _pairs(marked.where("_again IS NULL")).groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("entries"))
-    several = _pairs(marked.where("_again"), *keys).groupBy(*keys, "term").agg(F.sum("tf").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("entries"))
-    counts = cut_lineage(single.unionByName(several).groupBy("term").agg(F.sum("n").alias("n"), F.sum("entries").alias("entries")))
+    again = cut_lineage(rows.groupBy("_entry").count().where("count > 1").select("_entry", F.lit(True).alias("_again")))
+    if again.limit(broadcast_entries + 1).count() <= broadcast_entries:
+        again = F.broadcast(again)
+    owner = F.when(F.col("_again"), F.struct(*keys))
+    owned = _pairs(rows.join(again, "_entry", "left").withColumn("_owner", owner), "_owner").groupBy("term", "_owner").agg(F.sum("tf").alias("n"), F.count("*").alias("rows"))
+    held = F.when(F.col("_owner").isNull(), F.col("rows")).otherwise(1)
+    counts = cut_lineage(owned.groupBy("term").agg(F.sum("n").alias("n"), F.sum(held).alias("entries")))
     all_q = rows.agg(F.sum(F.pow(F.col("_n").cast("double"), F.lit(exponent)))).scalar()
 
     common = F.broadcast(counts.orderBy(F.desc("entries"), "term").limit(frequent))
