@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.llm import cuts, glyphs, leakage, markup, mojibake, survivors, terms, tokens
+from trovelight.llm import cuts, glyphs, leakage, markup, mojibake, subjects, survivors, terms, tokens
 from trovelight.session import table
 
 
@@ -84,6 +84,19 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaked_spans(table(spark, folder, "documents"), items), items)
 
 
+def _assigned(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return subjects.assign(docs, subjects.train(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subjects")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _assigned(spark, folder).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return subjects.composition(_assigned(spark, folder), table(spark, folder, "documents"))
+
+
 _SQL_GRAMS = """
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
@@ -115,6 +128,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_rates": p6_rates,
     "p5_found": p5_found, "p5_survivors": p5_survivors, "p7_found": p7_found, "p7_scores": p7_scores,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items,
+    "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
 SQL = {
