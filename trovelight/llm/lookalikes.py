@@ -23,9 +23,9 @@ TO_CYRILLIC = {
     "α": "а", "Α": "А", "Β": "В", "ο": "о", "Ο": "О", "ρ": "р", "Ρ": "Р", "ϲ": "с", "Ε": "Е", "Η": "Н", "Κ": "К", "Μ": "М", "Τ": "Т", "Χ": "Х", "χ": "х", "օ": "о", "ɑ": "а",
 }
 
-MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯"
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ"
-SPACES = "   -     　"
+MARKS = "\u0300-\u036f\u1ab0-᫿\u1dc0-\u1dff\u20d0-⃿\ufe20-\ufe2f"
+INVISIBLE = "\u00ad\u034f\u061cᅟᅠ\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206fㅤ\ufe00-\ufe0f\ufeffﾠ"
+SPACES = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 HYPHENS = "‐‑֊⁃﹣－"
 EMOJI = "‼-⁉←-⇿⌀-⏿☀-➿⬀-⯿\U0001f000-\U0001faff"
 LATIN, FOREIGN = r"A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", r"Ͱ-Ͽἀ-῿Ѐ-ԯԱ-֏ɑɡɩꓲ"
