@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from trovelight.plans.query import compact, normalize
 
-_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f؜‎‏‪-‮⁦-⁩]")
+_CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]")
 
 
 def _udf(function):
@@ -58,7 +58,7 @@ def tokens(c: Column) -> Column:
 # terminal-safe text
 
 _STRING_START, _STRING_8BIT = "]PX^_", "\x90\x98\x9d\x9e\x9f"
-_BIDI = frozenset("؜‎‏‪‫‬‭‮⁦⁧⁨⁩")
+_BIDI = frozenset("\u061c\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069")
 
 
 def strip_sequences(text: str) -> str:
@@ -98,7 +98,7 @@ def sanitize(text: str, cap: int = 4096, multiline: bool = False) -> str:
 
     A longer text ends in an ellipsis; where that doesn't fit, in points.
     """
-    kept = "".join(c for c in strip_sequences(text) if (multiline and c == "\n") or not (c < " " or "\x7f" <= c <= "\x9f" or c in "  " or c in _BIDI))
+    kept = "".join(c for c in strip_sequences(text) if (multiline and c == "\n") or not (c < " " or "\x7f" <= c <= "\x9f" or c in "\u2028\u2029" or c in _BIDI))
     if len(kept.encode()) <= cap:
         return kept
     if cap < 3:

@@ -118,6 +118,6 @@ def encoded(df: DataFrame, skip: tuple[str, ...] = ()) -> Column:
         return F.when(c != "", c) if kinds[n] == "string" else c
 
     text = F.to_json(F.struct(*[present(n).alias(n) for n in S.FIELDS if n in kinds and n not in skip]))
-    for raw in "&<>  ":
+    for raw in "&<>\u2028\u2029":
         text = F.replace(text, F.lit(raw), F.lit(f"\\u{ord(raw):04x}"))
     return text
