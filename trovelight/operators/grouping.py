@@ -11,7 +11,7 @@ from trovelight.operators.records import encoded, source_key, with_identity
 from trovelight.session import cut_lineage
 
 #: Distinct hashes that one group may link; beyond it the build fails.
-GROUP_HASHES = 4096
+GROUP_HASHES = 65_536
 
 
 def merge_sources(records: DataFrame) -> DataFrame:

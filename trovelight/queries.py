@@ -5,9 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from trovelight import demo
+from trovelight.demo import CATALOGUE_SQL, search_sql
+from trovelight.functions.facets import completeness, identifiers
+from trovelight.functions.text import info_hash, squash
+from trovelight.functions.unicode import compact_text, search_text, terminal_text
+from trovelight.operators.grouping import agreed, group_summary, merge_sources
+from trovelight.operators.index import DOCUMENT
+from trovelight.operators.records import normalize_records, split_records, structured_text
 from trovelight.operators.snapshots import snapshot_changes
+from trovelight.output import json_lines
+from trovelight.plans.query import byte_quantity, iso_date
+from trovelight.plans.search import search
 from trovelight.session import table
+from trovelight.sources.metainfo import inspect_magnets
+from trovelight.sync import replace_provider
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,9 +58,221 @@ WITH chained AS (
 )
 """
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_changes": p2_changes}
 
-SQL: dict[str, str] = {
+def _searched(text: str, limit: int | None = None, **providers) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        hits = search(demo.index(spark, folder), demo.query(text, **providers), limit)
+        return hits.select(F.col("rank").cast("long").alias("rank"), "group", F.col("record.source_id").alias("source_id"), "source_count")
+
+    return run
+
+
+_MIRROR, _SHELF = "ostzunowick-mirror", "mellodordun-shelf"
+_ALLOWED, _DENIED = f"rec.provider IN ('{_MIRROR}', '{_SHELF}')", f"rec.provider NOT IN ('{_MIRROR}')"
+
+#: name: (query text, further arguments, arguments of its SQL)
+SEARCHES: dict[str, tuple[str, dict, dict]] = {
+    "search_required_term": ("folder", {}, {"must": [["folder"]]}),
+    "search_two_terms_cross_field": ("readme markets", {}, {"must": [["readme"], ["markets"]]}),
+    "search_hyphen_all_tokens": ("each-folder", {}, {"must": [["each", "folder"]]}),
+    "search_optional_boost": ("folder ?markets", {}, {"must": [["folder"]], "optional": [["markets"]]}),
+    "search_optional_only": ("?markets", {}, {"optional": [["markets"]]}),
+    "search_excluded_term": ("folder -tracker", {}, {"must": [["folder"]], "excluded": [["tracker"]]}),
+    "search_excluded_only": ("-folder", {}, {"excluded": [["folder"]]}),
+    "search_match_all": ("limit:1000 lang:en", {}, {"where": "list_contains(langs, 'en')", "limit": 1000}),
+    "search_phrase": ('"each folder lists"', {}, {"phrases": [["each", "folder", "lists"]]}),
+    "search_phrase_excluded": ('folder -"each folder"', {}, {"must": [["folder"]], "phrases": [["-", "each", "folder"]]}),
+    "search_ranked_topk": ("tracker", {"limit": 10}, {"must": [["tracker"]], "limit": 10}),
+    "filter_size_range": ("folder size:>=300B size:<900B", {}, {"must": [["folder"]], "where": "g_size >= 300 AND g_size < 900"}),
+    "filter_date_range": ("folder date:2021..2022", {}, {"must": [["folder"]], "where": "g_date BETWEEN DATE '2021-01-01' AND DATE '2022-12-31'"}),
+    "filter_date_unknown_excluded": ("folder since 2020", {}, {"must": [["folder"]], "where": "g_date >= DATE '2020-01-01'"}),
+    "filter_language_any": ("lang:fr lang:de", {}, {"where": "list_has_any(langs, ['fr', 'de'])"}),
+    "filter_category_any": ("category:readme category:help_page", {}, {"where": "list_has_any(cats, ['readme', 'help_page'])"}),
+    "filter_resolution_any": ("resolution:720p tracker", {}, {"must": [["tracker"]], "where": "list_contains(ress, 720)"}),
+    "filter_families": ("resolution:720p lang:en category:description", {}, {"where": "list_contains(ress, 720) AND list_contains(langs, 'en') AND list_contains(cats, 'description')"}),
+    "filter_provider_allow": ("folder", {"allow": (_MIRROR, _SHELF)}, {"must": [["folder"]], "providers": _ALLOWED}),
+    "filter_provider_deny": ("folder", {"deny": (_MIRROR,)}, {"must": [["folder"]], "providers": _DENIED}),
+    "filter_provider_deny_wins": ("folder", {"allow": (_MIRROR, _SHELF), "deny": (_MIRROR,)}, {"must": [["folder"]], "providers": f"{_ALLOWED} AND {_DENIED}"}),
+    "order_date_desc_nulls_last": ("folder newest first", {}, {"must": [["folder"]], "by": "published_at DESC NULLS LAST,", "each": "published_at DESC NULLS LAST,"}),
+    "order_date_asc_nulls_last": ("folder oldest first", {}, {"must": [["folder"]], "by": "published_at NULLS LAST,", "each": "published_at NULLS LAST,"}),
+    "order_size_asc": ("folder smallest first", {}, {"must": [["folder"]], "by": "size_bytes NULLS LAST,", "each": "size_bytes NULLS LAST,"}),
+    "order_size_desc": ("folder sort:largest", {}, {"must": [["folder"]], "by": "size_bytes DESC NULLS LAST,", "each": "size_bytes DESC NULLS LAST,"}),
+    "order_title": ("folder sort:title", {}, {"must": [["folder"]], "by": "lower(title),", "each": "lower(title),"}),
+    "order_title_desc": ("folder sort:title-desc", {}, {"must": [["folder"]], "by": "lower(title) DESC,", "each": "lower(title) DESC,"}),
+    "order_multi_key": ("folder sort:title sort:newest", {}, {"must": [["folder"]], "by": "lower(title), published_at DESC NULLS LAST,", "each": "lower(title), published_at DESC NULLS LAST,"}),
+    "limit_default_50": ("the", {}, {"must": [["the"]]}),
+    "limit_override": ("the limit:7", {}, {"must": [["the"]], "limit": 7}),
+    "representative_relevance": ("markets sort:relevance", {}, {"must": [["markets"]]}),
+    "representative_newest": ("markets newest first", {}, {"must": [["markets"]], "by": "published_at DESC NULLS LAST,", "each": "published_at DESC NULLS LAST,"}),
+}
+
+
+def group_transitive_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).records.select("provider", "source_id", "group")
+
+
+def group_size_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).records.groupBy("group").count().groupBy(F.col("count").alias("n_sources")).agg(F.count("*").alias("n_groups"))
+
+
+def group_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Agreed size and day, completeness, sources and providers of each group."""
+    return group_summary(demo.index(spark, folder).records)
+
+
+def record_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).records.select("provider", "source_id", F.col("completeness").cast("long").alias("completeness"))
+
+
+def record_structured_text(spark: SparkSession, folder: str) -> DataFrame:
+    records = demo.index(spark, folder).records
+    return records.select("source_id", structured_text(records).alias("structured"))
+
+
+def catalogue_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.catalogue(spark, folder).records().select("provider", "source_id", "title")
+
+
+def posting_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).postings.groupBy("field", "term").agg(F.count("*").alias("n"))
+
+
+def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).terms.select("field", "term", "df")
+
+
+def field_length(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).lengths.select(*DOCUMENT, "field", "n")
+
+
+def dedupe_source_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Delivered records merged by source, with the rows each had and whether they contradict."""
+    valid, _ = split_records(normalize_records(table(spark, folder, "records")))
+    return merge_sources(valid).groupBy("provider", "conflict").agg(F.count("*").alias("n_sources"), F.sum("n_rows").alias("n_rows"))
+
+
+def record_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """How many delivered records break each rule."""
+    normal = normalize_records(table(spark, folder, "records"))
+    return normal.select("provider", F.explode("errors").alias("error")).groupBy("provider", "error").agg(F.count("*").alias("n"))
+
+
+def record_infohash_valid(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "records").select("record_id", info_hash(F.col("infohash_v1")).alias("infohash_v1"), info_hash(F.col("infohash_v2"), 64).alias("infohash_v2"))
+
+
+def record_identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "records").select("record_id", F.array_join(identifiers(F.col("categories")), ",").alias("categories"), F.array_join(identifiers(F.col("media_kinds")), ",").alias("media_kinds"))
+
+
+def raw_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "records")
+    return records.select("record_id", completeness(records).cast("long").alias("completeness"))
+
+
+def agreed_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Agree-or-null size of the records of each provider and source."""
+    return table(spark, folder, "records").groupBy("provider", "source_id").agg(agreed(F.col("size_bytes")).alias("size_bytes"))
+
+
+def normalize_search_text_ascii(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", search_text(F.col("p_name")).alias("name"))
+
+
+def compact_text_query(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "part").select("p_partkey", compact_text(F.col("p_type")).alias("kind"))
+
+
+def sanitize_text(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "records").select("record_id", terminal_text(F.col("title"), 64).alias("title"))
+
+
+_QUANTITIES = ("1.5GiB", "0.5KiB", "1.25KB", "0.1KiB", "8EiB", "7EiB", "10", "x5MB", "12b", "1.GB")
+_DATES = ("2024-02-29", "2023-02-29", "2023-6-1", "0000-01-01", "1999-12-31")
+
+
+def parse_byte_quantity(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame([(t, byte_quantity(t)) for t in _QUANTITIES], "text string, bytes long")
+
+
+def parse_iso_date(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.createDataFrame([(t, iso_date(t)) for t in _DATES], "text string, day string")
+
+
+def sync_replace_provider(spark: SparkSession, folder: str) -> DataFrame:
+    """The demo catalogue's rows with one provider's replaced by the half of them with even ids."""
+    rows = demo.provider_rows(spark, folder)
+    fresh = rows.where((F.col("provider") == _MIRROR) & (F.col("source_id").cast("long") % 2 == 0))
+    return replace_provider(rows, fresh, _MIRROR).select("provider", "source_id", "title")
+
+
+def magnet_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashes of the records' magnet addresses; the SQL reads them with a pattern."""
+    magnets = table(spark, folder, "records").where("magnet_uri <> ''")
+    return inspect_magnets(magnets, "record_id", "magnet_uri").where("error IS NULL").select("record_id", "infohash_v1")
+
+
+def inspection_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """Files and their sizes per inspection, overflow as null."""
+    return table(spark, folder, "inspection_files").groupBy("inspection_id").agg(F.count("*").alias("n_files"), F.try_sum("size").alias("total_size"))
+
+
+def piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each file starts in its torrent, and inside which piece."""
+    before = Window.partitionBy("inspection_id").orderBy("file_index").rowsBetween(Window.unboundedPreceding, -1)
+    files = table(spark, folder, "inspection_files").withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    pieces = table(spark, folder, "inspections").where("piece_length > 0").select("inspection_id", "piece_length")
+    return files.join(pieces, "inspection_id").select("inspection_id", "file_index", "offset", F.floor(F.col("offset") / F.col("piece_length")).alias("piece"))
+
+
+def ndjson_encode(spark: SparkSession, folder: str) -> DataFrame:
+    hits = _searched("folder", 10)(spark, folder)
+    return json_lines(hits, "result", "rank")
+
+
+def squashed_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "snapshot_records").select("snapshot_id", "ordinal", squash(F.col("title")).alias("title"))
+
+
+QUERIES: dict[str, Query] = {name: _searched(text, **more) for name, (text, more, _) in SEARCHES.items()} | {
+    f.__name__: f
+    for f in (
+        group_transitive_hash, group_size_histogram, group_values, record_completeness, record_structured_text, catalogue_scan, posting_stats, document_frequency, field_length, dedupe_source_key, record_errors,
+        record_infohash_valid, record_identifiers, raw_completeness, agreed_sizes, normalize_search_text_ascii, sanitize_text, parse_byte_quantity, parse_iso_date, sync_replace_provider, magnet_parse, inspection_totals, piece_offsets,
+        ndjson_encode, squashed_titles, p2_found, p2_changes,
+    )
+} | {"compact_text": compact_text_query}
+
+_VALUES = {"1.5GiB": 1610612736, "0.5KiB": 512, "1.25KB": 1250, "0.1KiB": None, "8EiB": None, "7EiB": 8070450532247928832, "10": None, "x5MB": None, "12b": 12, "1.GB": None}
+_TRIM = "E' \\t\\n\\r'"
+_HASH = "CASE WHEN regexp_full_match(lower(trim({c}, " + _TRIM + ")), '[0-9a-f]{{{n}}}') THEN lower(trim({c}, " + _TRIM + ")) END"
+_IDS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda x: lower(trim(x, " + _TRIM + "))), lambda x: regexp_full_match(x, '[a-z0-9_-]{{1,64}}')))), ',')"
+
+SQL: dict[str, str] = {name: search_sql(**more) for name, (_, _, more) in SEARCHES.items()} | {
+    "group_transitive_hash": CATALOGUE_SQL + 'SELECT provider, source_id, grp AS "group" FROM rec',
+    "group_size_histogram": CATALOGUE_SQL + "SELECT n_sources, count(*) AS n_groups FROM (SELECT count(*) AS n_sources FROM rec GROUP BY grp) GROUP BY n_sources",
+    "group_values": CATALOGUE_SQL + """SELECT grp AS "group", CASE WHEN min(size_bytes) = max(size_bytes) THEN max(size_bytes) END AS size_bytes, CASE WHEN min(published_at) = max(published_at) THEN max(published_at) END AS published_at,
+  max(completeness) AS completeness, count(*) AS source_count, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers FROM rec GROUP BY grp""",
+    "record_completeness": CATALOGUE_SQL + "SELECT provider, source_id, completeness::BIGINT AS completeness FROM rec",
+    "record_structured_text": CATALOGUE_SQL + "SELECT source_id, structured FROM rec",
+    "catalogue_scan": CATALOGUE_SQL + "SELECT provider, source_id, title FROM r",
+    "posting_stats": CATALOGUE_SQL + "SELECT field, term, count(*) AS n FROM postings GROUP BY ALL",
+    "document_frequency": CATALOGUE_SQL + "SELECT field, term, df FROM df",
+    "field_length": CATALOGUE_SQL + 'SELECT grp AS "group", provider, field, n::BIGINT AS n FROM lengths',
+    "record_infohash_valid": f"SELECT record_id, {_HASH.format(c='infohash_v1', n=40)} AS infohash_v1, {_HASH.format(c='infohash_v2', n=64)} AS infohash_v2 FROM records",
+    "record_identifiers": f"SELECT record_id, {_IDS.format(c='categories')} AS categories, {_IDS.format(c='media_kinds')} AS media_kinds FROM records",
+    "agreed_sizes": "SELECT provider, source_id, CASE WHEN min(size_bytes) = max(size_bytes) THEN max(size_bytes) END AS size_bytes FROM records GROUP BY ALL",
+    "normalize_search_text_ascii": "SELECT p_partkey, lower(trim(p_name)) AS name FROM part",
+    "compact_text": "SELECT p_partkey, regexp_replace(lower(trim(p_type)), '[-_. ]', '', 'g') AS kind FROM part",
+    "parse_byte_quantity": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if n is None else n}::BIGINT)" for t, n in _VALUES.items()) + ") v(text, bytes)",
+    "parse_iso_date": "SELECT t AS text, strftime(try_strptime(t, '%Y-%m-%d'), '%Y-%m-%d') AS day FROM (VALUES " + ", ".join(f"('{t}')" for t in _DATES if t not in ("2023-6-1", "0000-01-01")) + ") v(t) UNION ALL VALUES ('2023-6-1', NULL), ('0000-01-01', NULL)",
+    "sync_replace_provider": CATALOGUE_SQL + f"SELECT provider, source_id, title FROM r WHERE provider <> '{_MIRROR}' OR source_id::BIGINT % 2 = 0",
+    "magnet_parse": "SELECT record_id, lower(regexp_extract(magnet_uri, '^magnet:\\?xt=urn:btih:([0-9a-fA-F]{40})$', 1)) AS infohash_v1 FROM records WHERE regexp_matches(magnet_uri, '^magnet:\\?xt=urn:btih:([0-9a-fA-F]{40})$')",
+    "inspection_totals": "SELECT inspection_id, count(*) AS n_files, sum(size)::BIGINT AS total_size FROM inspection_files GROUP BY ALL",
+    "piece_offsets": """SELECT inspection_id, file_index, f_offset AS "offset", (f_offset // piece_length)::BIGINT AS piece FROM (
+  SELECT inspection_id, file_index, coalesce(sum(size) OVER (PARTITION BY inspection_id ORDER BY file_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f_offset FROM inspection_files
+) JOIN inspections USING (inspection_id) WHERE piece_length > 0""",
+    "squashed_titles": "SELECT snapshot_id, ordinal, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS title FROM snapshot_records",
     "p2_found": _SQL_STATES + "SELECT snapshot_id, source_id, change_kind FROM compared WHERE change_kind IS NOT NULL",
     "p2_changes": _SQL_STATES + "SELECT * FROM compared WHERE change_kind IS NOT NULL",
 }
