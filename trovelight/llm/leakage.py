@@ -141,17 +141,19 @@ class _Shard:
         index = FmIndex(np.concatenate([*self.symbols, np.array([_END])]))
         low, high = index.search(p.rows)
         hit = np.flatnonzero(low < high)
+        if not len(hit):
+            return
         count = high[hit] - low[hit]
         phrase = np.repeat(hit, count)
         at = np.repeat(low[hit] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
         position = index.locate(at)
         doc, start = np.concatenate(self.doc)[position], np.concatenate(self.origin)[position]
         owned = p.first[phrase + 1] - p.first[phrase]
-        item = p.owners[np.repeat(p.first[phrase] - np.r_[0, np.cumsum(owned)[:-1]], owned) + np.arange(owned.sum())] if len(phrase) else np.empty(0, np.int64)
+        item = p.owners[np.repeat(p.first[phrase] - np.r_[0, np.cumsum(owned)[:-1]], owned) + np.arange(owned.sum())]
         doc, start = np.repeat(doc, owned), np.repeat(start, owned)
         order = np.lexsort((start, item, doc))
         doc, item, start = doc[order], item[order], start[order]
-        pair = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(doc) else np.empty(0, np.int64)
+        pair = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
         for a, b in zip(pair, np.r_[pair[1:], len(doc)], strict=True):
             s = start[a:b]
             cut = np.flatnonzero(np.r_[True, s[1:] > s[:-1] + p.width])
