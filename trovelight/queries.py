@@ -21,7 +21,7 @@ from trovelight.output import json_lines
 from trovelight.plans.query import byte_quantity, iso_date
 from trovelight.plans.search import search
 from trovelight.session import table
-from trovelight.sources.metainfo import inspect_magnets
+from trovelight.sources.metainfo import inspect_bodies, inspect_magnets
 from trovelight.sync import replace_provider
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,7 +117,7 @@ def group_size_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 def group_values(spark: SparkSession, folder: str) -> DataFrame:
     """Agreed size and day, completeness, sources and providers of each group."""
-    return group_summary(demo.index(spark, folder).records)
+    return group_summary(demo.index(spark, folder).records).withColumn("published_at", F.col("published_at").cast("string"))
 
 
 def record_completeness(spark: SparkSession, folder: str) -> DataFrame:
@@ -230,6 +230,33 @@ def ndjson_encode(spark: SparkSession, folder: str) -> DataFrame:
     return json_lines(hits, "result", "rank")
 
 
+def infohash_from_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """Both digests of bytes, as of a torrent's info."""
+    return table(spark, folder, "part").select("p_partkey", F.sha1(F.encode("p_name", "utf-8")).alias("infohash_v1"), F.sha2(F.encode("p_name", "utf-8"), 256).alias("infohash_v2"))
+
+
+def nfkc_fold(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "records").select("record_id", search_text(F.col("title")).alias("title"))
+
+
+def _metainfo_bodies(spark: SparkSession, folder: str) -> DataFrame:
+    """A metainfo body for each inspection, of one file of its size."""
+    name = F.regexp_replace(F.coalesce("name", F.lit("")), "[^A-Za-z0-9 _-]", "_")
+    total, piece = F.col("total_size"), F.greatest(F.col("piece_length"), F.lit(16384))
+    count = F.ceil(total / piece).cast("int")
+    info = F.concat(F.lit("d6:lengthi"), total.cast("string"), F.lit("e4:name"), F.length(name).cast("string"), F.lit(":"), name, F.lit("12:piece lengthi"), piece.cast("string"), F.lit("e6:pieces"), (count * 20).cast("string"), F.lit(":"), F.repeat(F.lit("x" * 20), count), F.lit("e"))
+    held = table(spark, folder, "inspections").where((total >= 0) & (total / piece <= 5000) & (name != ""))
+    return held.select("inspection_id", "total_size", info.alias("info"), F.encode(F.concat(F.lit("d4:info"), info, F.lit("e")), "utf-8").alias("content"))
+
+
+def inspect_metainfo(spark: SparkSession, folder: str) -> DataFrame:
+    """Torrent metadata of bodies made from the inspections; the hash is compared with the built-in digest."""
+    bodies = _metainfo_bodies(spark, folder)
+    got = inspect_bodies(bodies, "inspection_id", "content").select("inspection_id", "format", "infohash_v1", F.col("total_size").alias("read_size"), "error")
+    said = bodies.select("inspection_id", F.col("total_size").alias("said_size"), F.sha1(F.encode("info", "utf-8")).alias("said_v1"))
+    return got.join(said, "inspection_id").select("inspection_id", "format", "error", (F.col("infohash_v1") == F.col("said_v1")).alias("hash_agrees"), (F.col("read_size") == F.col("said_size")).alias("size_agrees"))
+
+
 def squashed_titles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "snapshot_records").select("snapshot_id", "ordinal", squash(F.col("title")).alias("title"))
 
@@ -239,7 +266,7 @@ QUERIES: dict[str, Query] = {name: _searched(text, **more) for name, (text, more
     for f in (
         group_transitive_hash, group_size_histogram, group_values, record_completeness, record_structured_text, catalogue_scan, posting_stats, document_frequency, field_length, dedupe_source_key, record_errors,
         record_infohash_valid, record_identifiers, raw_completeness, agreed_sizes, normalize_search_text_ascii, sanitize_text, parse_byte_quantity, parse_iso_date, sync_replace_provider, magnet_parse, inspection_totals, piece_offsets,
-        ndjson_encode, squashed_titles, p2_found, p2_changes,
+        ndjson_encode, squashed_titles, infohash_from_bytes, nfkc_fold, inspect_metainfo, p2_found, p2_changes,
     )
 } | {"compact_text": compact_text_query}
 
@@ -251,7 +278,7 @@ _IDS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(coale
 SQL: dict[str, str] = {name: search_sql(**more) for name, (_, _, more) in SEARCHES.items()} | {
     "group_transitive_hash": CATALOGUE_SQL + 'SELECT provider, source_id, grp AS "group" FROM rec',
     "group_size_histogram": CATALOGUE_SQL + "SELECT n_sources, count(*) AS n_groups FROM (SELECT count(*) AS n_sources FROM rec GROUP BY grp) GROUP BY n_sources",
-    "group_values": CATALOGUE_SQL + """SELECT grp AS "group", CASE WHEN min(size_bytes) = max(size_bytes) THEN max(size_bytes) END AS size_bytes, CASE WHEN min(published_at) = max(published_at) THEN max(published_at) END AS published_at,
+    "group_values": CATALOGUE_SQL + """SELECT grp AS "group", CASE WHEN min(size_bytes) = max(size_bytes) THEN max(size_bytes) END AS size_bytes, CASE WHEN min(published_at) = max(published_at) THEN max(published_at) END::DATE::VARCHAR AS published_at,
   max(completeness) AS completeness, count(*) AS source_count, string_agg(DISTINCT provider, ',' ORDER BY provider) AS providers FROM rec GROUP BY grp""",
     "record_completeness": CATALOGUE_SQL + "SELECT provider, source_id, completeness::BIGINT AS completeness FROM rec",
     "record_structured_text": CATALOGUE_SQL + "SELECT source_id, structured FROM rec",
@@ -272,6 +299,7 @@ SQL: dict[str, str] = {name: search_sql(**more) for name, (_, _, more) in SEARCH
     "piece_offsets": """SELECT inspection_id, file_index, f_offset AS "offset", (f_offset // piece_length)::BIGINT AS piece FROM (
   SELECT inspection_id, file_index, coalesce(sum(size) OVER (PARTITION BY inspection_id ORDER BY file_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f_offset FROM inspection_files
 ) JOIN inspections USING (inspection_id) WHERE piece_length > 0""",
+    "infohash_from_bytes": "SELECT p_partkey, sha1(p_name) AS infohash_v1, sha256(p_name) AS infohash_v2 FROM part",
     "squashed_titles": "SELECT snapshot_id, ordinal, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS title FROM snapshot_records",
     "p2_found": _SQL_STATES + "SELECT snapshot_id, source_id, change_kind FROM compared WHERE change_kind IS NOT NULL",
     "p2_changes": _SQL_STATES + "SELECT * FROM compared WHERE change_kind IS NOT NULL",
