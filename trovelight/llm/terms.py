@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trovelight.session import cut_lineage
@@ -17,15 +17,18 @@ from trovelight.session import cut_lineage
 def _rows(records: DataFrame, id_col: str, entry_cols: Sequence[str], text_cols: Sequence[str], list_cols: Sequence[str], keep: str) -> DataFrame:
     """One row per record: its sorted terms, their number, and the hash of its entry."""
     text = F.concat_ws(" ", *[F.col(c) for c in text_cols], *[F.array_join(c, " ") for c in list_cols])
-    terms = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x.rlike(keep))
+    terms = F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{keep})(?![\p{{L}}\p{{N}}])"), F.lit(0))
     return (
-        records.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_e{k}") for k, c in enumerate(entry_cols)], F.sort_array(terms).alias("_all"))
-        .withColumn("_entry", F.xxhash64(*[F.coalesce(F.col(f"_e{k}").cast("string"), F.lit("\x00")) for k in range(len(entry_cols))]))
+        records.select(F.col(id_col).alias("_id"), *[F.col(c).alias(f"_e{k}") for k, c in enumerate(entry_cols)], _entry(entry_cols).alias("_entry"), F.sort_array(terms).alias("_all"))
         .withColumn("_n", F.size("_all"))
         .where(F.col("_n") > 0)
     )
 
 
+def _entry(entry_cols: Sequence[str]) -> Column:
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in entry_cols])
+
+
 def _pairs(rows: DataFrame, *extra: str) -> DataFrame:
     """One row per record and term, with the term's count in the record (``tf``)."""
     starts = F.filter(F.transform("_all", lambda x, i: F.struct(i.alias("i"), x.alias("t"))), lambda z: (z["i"] == 0) | (F.get("_all", z["i"] - 1) != z["t"]))
@@ -41,15 +44,15 @@ def term_scores(
     entry_cols: Sequence[str] = ("provider", "source_id"),
     text_cols: Sequence[str] = ("title", "description"),
     list_cols: Sequence[str] = ("categories",),
-    keep: str = "^[a-z]{4,}$",
+    keep: str = "[a-z]{4,}+",
     exponent: float = 0.75,
-    frequent: int = 4096,
+    frequent: int = 65_536,
     broadcast_entries: int = 100_000,
 ) -> DataFrame:
     """Every term of every record: ``id_col``, ``term``, ``tf``, ``entries`` and ``ppmi``.
 
     Terms are the pieces of the lower-cased texts between characters that are neither letters nor
-    digits, of them those that match ``keep``. ``entries`` is the number of distinct entries (by
+    digits, of them those that are a ``keep`` (possessive). ``entries`` is the number of distinct entries (by
     ``entry_cols``) that hold the term; an entry delivered again counts once. The score is
     ``max(0, ln(p(term, record) / (p(term) * q(record))))`` where ``q`` is the record's share of
     the term counts raised to ``exponent``, which damps the bonus of short records.
@@ -62,7 +65,7 @@ def term_scores(
     keys = [f"_e{k}" for k in range(len(entry_cols))]
 
     # an entry of one row adds 1 to each of its terms; only entries of several rows need a distinct
-    again = cut_lineage(rows.groupBy("_entry").count().where("count > 1").select("_entry", F.lit(True).alias("_again")))
+    again = cut_lineage(records.groupBy(_entry(entry_cols).alias("_entry")).count().where("count > 1").select("_entry", F.lit(True).alias("_again")))
     if again.limit(broadcast_entries + 1).count() <= broadcast_entries:
         again = F.broadcast(again)
     owner = F.when(F.col("_again"), F.struct(*keys))
@@ -71,7 +74,9 @@ def term_scores(
     counts = cut_lineage(owned.groupBy("term").agg(F.sum("n").alias("n"), F.sum(held).alias("entries")))
     all_q = rows.agg(F.sum(F.pow(F.col("_n").cast("double"), F.lit(exponent)))).scalar()
 
-    common = F.broadcast(counts.orderBy(F.desc("entries"), "term").limit(frequent))
+    # of terms that each hold a share of 1/frequent of all pairs there can't be more than frequent
+    pairs_in_all = counts.agg(F.sum("entries")).first()[0] or 0
+    common = F.broadcast(counts.where(F.col("entries") > pairs_in_all // frequent))
     pairs = _pairs(rows).join(common.withColumnsRenamed({"n": "_cn", "entries": "_ce"}), "term", "left")
     near = pairs.where("_ce IS NOT NULL").withColumnsRenamed({"_cn": "n", "_ce": "entries"})
     far = pairs.where("_ce IS NULL").drop("_cn", "_ce").join(counts, "term")
