@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trovelight.operators.sampling import hash_sample
 from trovelight.session import cut_lineage
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -124,7 +125,7 @@ def train(
     decay: float = 1e-4,
     seed: int = 7,
 ) -> Model:
-    """Fit the model on at most ``sample`` labelled documents, those of lowest id hash.
+    """Fit the model on at most ``sample`` labelled documents, about those of lowest id hash.
 
     A document's row in ``labels`` with a null subject says it has none; subjects that the subject
     table lacks are ignored. Every step is one job over the blocks: gradients of all partitions are
@@ -134,7 +135,7 @@ def train(
     spark = docs.sparkSession
     names = sorted(r[0] for r in subjects.select(subject_col).distinct().limit(10_000).collect() if r[0])
     place = {s: k for k, s in enumerate(names)}
-    wanted = labels.groupBy(id_col).agg(F.collect_set(subject_col).alias("_s")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
+    wanted = hash_sample(labels.groupBy(id_col).agg(F.collect_set(subject_col).alias("_s")), id_col, rows=sample)
     text = docs.select(id_col, F.col(text_col).alias("_t")).where("_t IS NOT NULL")
     blocks = max(1, spark.sparkContext.defaultParallelism)
     held = text.join(F.broadcast(wanted), id_col).repartition(blocks, F.xxhash64(id_col))
