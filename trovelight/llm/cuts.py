@@ -55,7 +55,10 @@ def spikes(values: DataFrame, least: int = 8, times: float = 3.0, around: int =
 
 def _word_state(word: Column, context: Column) -> Column:
     """``known`` if the context holds the word, ``begun`` if it holds only longer words that begin so."""
-    return F.when(word == "", None).when(F.array_contains(context, word), "known").when(F.exists(context, lambda x: x.startswith(word)), "begun")
+    alone, more = r"(?<![\p{L}\p{M}\p{N}])", r"[\p{L}\p{M}\p{N}]"
+    known = F.rlike(context, F.concat(F.lit(alone), word, F.lit(f"(?!{more})")))
+    begun = F.rlike(context, F.concat(F.lit(alone), word, F.lit(more)))
+    return F.when((word == "") | ~F.contains(context, word), None).when(known, "known").when(begun, "begun")
 
 
 def cut_values(
@@ -83,14 +86,13 @@ def cut_values(
     for name, df, id_col, titles, texts in tables:
         for is_title, fields in ((True, titles), (False, texts)):
             # a title's last word is looked for in the record's texts
-            context = F.split(F.concat_ws(" ", *[F.col(c) for c in texts]), r"[^\p{L}\p{M}\p{N}]+") if is_title and texts else F.array().cast("array<string>")
-            parts += [df.select(F.lit(name).alias("table_name"), F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.lit(f).alias("field_name"), F.lit(is_title).alias("is_title"), F.col(f).alias("value"), _word_state(F.regexp_extract(_tail(F.col(f)), r"([\p{L}\p{M}]{2,})$", 1), context).alias("word")) for f in fields]
+            context = F.concat_ws(" ", *[F.col(c) for c in texts]) if is_title and texts else F.lit("")
+            parts += [df.select(F.lit(name).alias("table_name"), F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.lit(f).alias("field_name"), F.lit(is_title).alias("is_title"), F.col(f).alias("value"), context.alias("context")) for f in fields]
     values = reduce(DataFrame.unionByName, parts).where(F.col("value").rlike(r"\S"))
 
-    tail = values.select("*", _tail(F.col("value")).alias("t")).withColumn("line", F.regexp_extract("t", r"([^\n]*)$", 1))
-    single = ~F.col("value").contains("\n")
-    words = F.size(F.split(F.trim("value"), r"\s+"))
-    note = single & (words <= note_words) & F.col("value").rlike(r"^\s*[\p{Ll}\d]")
+    tail = values.select("*", _tail(F.col("value")).alias("t")).withColumns({"line": F.regexp_extract("t", r"([^\n]*)$", 1), "last": F.when(F.col("is_title"), F.regexp_extract("t", r"([\p{L}\p{M}]{2,})$", 1)).otherwise("")})
+    tail = tail.withColumn("word", _word_state(F.col("last"), F.col("context")))
+    note = F.col("value").rlike(rf"^\s*[\p{{Ll}}\d]\S*(?:[^\S\n]+\S+){{0,{note_words - 1}}}\s*$")
     balanced = F.length(F.regexp_replace("t", r"[^(\[]", "")) <= F.length(F.regexp_replace("t", r"[^)\]]", ""))
     judged = tail.select(
         "table_name", "row_id", "source", "field_name", "is_title", "value",
