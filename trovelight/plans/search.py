@@ -139,7 +139,8 @@ def matching_groups(index: Index, query: Query) -> DataFrame:
     """
     scores = matching_documents(index, query).groupBy("group").agg(F.max("score").alias("score"))
     usable = index.records.where(_providers(query, F.col("provider"))).join(scores, "group")
-    usable = usable.withColumn("_title", search_text(F.col("title")))
+    titled = any(o.field == "title" for o in query.order)  # else no Python worker is needed
+    usable = usable.withColumn("_title", search_text(F.col("title")) if titled else F.lit(""))
     wanted = {f: [v.value for v in getattr(query, f)] for f in FAMILIES if getattr(query, f)}
     met = [F.bool_or(F.coalesce(F.arrays_overlap(F.col(f), F.array(*map(F.lit, v))), F.lit(False))).alias(f"_has_{f}") for f, v in wanted.items()]
     rank = F.struct(*[k.alias(f"k{i}") for i, k in enumerate([*_keys(query), -F.col("completeness"), F.col("provider"), F.col("source_id")])])
