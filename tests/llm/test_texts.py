@@ -94,6 +94,16 @@ def test_twice_and_partly(models):
     assert detector.restore("Une côte a été numÃ©risÃ©e près de là")[1] == "Une côte a été numérisée près de là"
 
 
+@pytest.mark.parametrize("written, read", [("cp1251", "koi8-r"), ("koi8-r", "cp1251")])
+def test_small_words_read_as_capitals(models, written, read):
+    """Such a word holds letters of the same alphabet only, and no small letter before a capital."""
+    detector = models.ready()
+    for word in ("наблюдения", "снимки", "каталоги", "таблицы"):
+        bad = word.encode(written).decode(read)
+        assert bad.isupper() and detector.restore(f"{bad} 1955") == ([f"{read}>{written}"], f"{word} 1955")
+        assert not detector.garbled(f"{word.upper()} 1955") and not detector.garbled(f"{word} США")
+
+
 def test_not_garbled(models):
     detector = models.ready()
     for text in ("", None, "plain", *(t for held in TEXTS.values() for t in held), "The label reads AÇÃO E SÃO", "p\u0430tients", "The β phase and the α line", "10 € ± 2 €", "\ufb01nd", "Straße, naïve and coöperate", "👩\u200d🔬"):
