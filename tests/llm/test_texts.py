@@ -172,6 +172,17 @@ def test_boilerplate(spark):
     assert sorted(r.record_id for r in split.collect()) == sorted(r[0] for r in rows)
 
 
+@pytest.mark.parametrize("limits", [{"shard_pages": 2}, {"shard_chars": 300}, {"shard_pages": 3, "broadcast_hosts": 0}])
+def test_boilerplate_of_split_hosts(spark, limits):
+    """Pages of a host that meet in no shard share their boilerplate all the same."""
+    notes = [" ".join(f"{w}{k}" for k in range(36)) for w in "abcde"]
+    rows = [(k, f"Page {k} says {k * 7}. {notes[k % 5]} <b>end</b> {k}", f"https://{'a' if k < 13 else 'b'}.example/{k}", "p") for k in range(16)] + [(3, None, "https://a.example/x", "p"), (4, "", "https://a.example/y", "p")]
+    rows += [(0, rows[0][1], rows[0][2], "p")]
+    df = spark.createDataFrame(rows, "record_id long, description string, details_url string, provider string")
+    want, got = markup.clean_markup(df).collect(), markup.clean_markup(df, **limits).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and sum(r.removed > 0 for r in want) == 10
+
+
 # cut texts
 
 

@@ -7,6 +7,7 @@ unique runs stay.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from trovelight.session import cut_lineage
 
@@ -169,27 +171,78 @@ def repeated_cover(tokens: np.ndarray, page: np.ndarray, length: int, pages: int
     return np.cumsum(edge)[:n] > 0
 
 
+def _token_hash(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def window_hashes(texts: list[str], length: int) -> list[np.ndarray]:
+    """64-bit hashes of the windows of ``length`` tokens (a power of two) of each text, by place."""
+    number: dict[str, int] = {}
+    streams = [np.fromiter((number.setdefault(w, len(number)) for w in _TOKEN.findall(t)), np.int64) for t in texts]
+    codes = np.fromiter((_token_hash(w) for w in number), np.uint64, len(number))
+    h, step = codes[np.concatenate([np.empty(0, np.int64), *streams])], 1
+    while step < length:
+        a, b = h[: max(0, len(h) - step)], h[step:]
+        h = a * np.uint64(0xD6E8FEB86659FD93) + (b ^ (b >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
+        h ^= h >> np.uint64(32)
+        step *= 2
+    out, at = [], 0
+    for s in streams:
+        out.append(h[at : max(at, at + len(s) - length + 1)].view(np.int64))
+        at += len(s)
+    return out
+
+
+def _covered(common: np.ndarray, n: int, length: int) -> np.ndarray:
+    """Which of ``n`` tokens lie in a window marked in ``common``."""
+    edge = np.zeros(n + 1, np.int64)
+    hit = np.flatnonzero(common)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, hit + length, -1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _plain(text: str) -> tuple[list[str], str]:
+    kinds = markup_kinds(text)
+    return kinds, to_text(text) if kinds else text.strip()
+
+
+def _without(text: str, gone: np.ndarray) -> tuple[str, int]:
+    """The text without the covered tokens, and their number."""
+    if not gone.any():
+        return text, 0
+    kept, last = [], 0
+    for m, covered in zip(_TOKEN.finditer(text), gone, strict=True):
+        if covered:
+            kept.append(text[last : m.start()])
+            last = m.end()
+    kept.append(text[last:])
+    return re.sub(r"[ \t]{2,}", " ", "".join(kept)).strip(), int(gone.sum())
+
+
 def _clean_shard(texts: list[str], length: int, pages: int) -> list[tuple[list[str], str, str, int]]:
-    """(kinds, clean text, unique text, tokens removed) of each page of a shard."""
-    kinds = [markup_kinds(t) for t in texts]
-    clean = [to_text(t) if k else t.strip() for t, k in zip(texts, kinds, strict=True)]
+    """(kinds, clean text, unique text, tokens removed) of each page of a whole host."""
+    plain = [_plain(t) for t in texts]
     number: dict[str, int] = {}
-    streams = [np.fromiter((number.setdefault(w, len(number)) for w in _TOKEN.findall(t)), np.int64) for t in clean]
+    streams = [np.fromiter((number.setdefault(w, len(number)) for w in _TOKEN.findall(t)), np.int64) for _, t in plain]
     cover = repeated_cover(np.concatenate(streams), np.repeat(np.arange(len(texts)), [len(s) for s in streams]), length, pages) if streams else np.empty(0, bool)
     out, at = [], 0
-    for k, t, s in zip(kinds, clean, streams, strict=True):
-        gone = cover[at : at + len(s)]
+    for (k, t), s in zip(plain, streams, strict=True):
+        out.append((k, t, *_without(t, cover[at : at + len(s)])))
         at += len(s)
-        if not gone.any():
-            out.append((k, t, t, 0))
-            continue
-        kept, last = [], 0
-        for m, covered in zip(_TOKEN.finditer(t), gone, strict=True):
-            if covered:
-                kept.append(t[last : m.start()])
-                last = m.end()
-        kept.append(t[last:])
-        out.append((k, t, re.sub(r"[ \t]{2,}", " ", "".join(kept)).strip(), int(gone.sum())))
+    return out
+
+
+def _clean_part(texts: list[str], length: int, common: np.ndarray) -> list[tuple[list[str], str, str, int]]:
+    """The same of part of a host, whose windows on enough pages have the hashes ``common``."""
+    plain = [_plain(t) for t in texts]
+    hashes = window_hashes([t for _, t in plain], length)
+    hits = np.isin(np.concatenate([np.empty(0, np.int64), *hashes]), common)
+    out, at = [], 0
+    for (k, t), h in zip(plain, hashes, strict=True):
+        hit = hits[at : at + len(h)]
+        at += len(h)
+        out.append((k, t, *_without(t, _covered(hit, len(h) + length - 1, length))) if hit.any() else (k, t, t, 0))
     return out
 
 
@@ -198,11 +251,12 @@ def clean_markup(records: DataFrame, *, id_col: str = "record_id", text_col: str
 
     ``clean`` is the whole text without markup. ``unique_text`` is ``clean`` without the host's
     boilerplate: tokens covered by substrings of ``length`` tokens that at least ``pages`` distinct
-    pages of the host's shard hold; ``removed`` counts them. A host is that of ``host_col``, else
-    ``fallback_col``. Hosts of over ``shard_pages`` pages are split by a hash of the page into
-    shards, each with a suffix array of its own, so a hot host never gathers in one task; a shard of
-    over ``shard_chars`` characters is split further. The sizes of up to ``broadcast_hosts`` such hosts
-    are broadcast, of more joined by shuffle.
+    pages of the host hold; ``removed`` counts them. A host is that of ``host_col``, else
+    ``fallback_col``. A host of up to ``shard_pages`` pages and ``shard_chars`` characters has a
+    suffix array. A larger one is split by a hash of the page, so it never gathers in one task: its
+    shards emit the 64-bit hashes of their windows with the pages that hold them, these counts are
+    added over the host, and each shard gets back those of its windows that are on enough pages.
+    The sizes of up to ``broadcast_hosts`` such hosts are broadcast, of more joined by shuffle.
 
     Null texts come out as null with no kinds, empty ones as empty; repeated ids and equal rows are
     pages of their own; other columns are ignored; an empty table gives an empty result.
@@ -213,32 +267,49 @@ def clean_markup(records: DataFrame, *, id_col: str = "record_id", text_col: str
     schema = T.StructType([kind, T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean", T.StringType()), T.StructField("unique_text", T.StringType()), T.StructField("removed", T.IntegerType())])
     host = F.coalesce(F.nullif(F.regexp_extract(F.col(host_col), "^[a-z]+://([^/?#]+)", 1), F.lit("")), F.col(fallback_col), F.lit("")) if host_col in records.columns else F.coalesce(F.col(fallback_col), F.lit(""))
     pages_of = records.select(F.col(id_col), F.col(text_col).alias("t"), F.xxhash64(host).alias("host"))
-    hot = cut_lineage(pages_of.groupBy("host").count().where(F.col("count") > shard_pages).select("host", F.ceil(F.col("count") / shard_pages).alias("parts")))
-    if hot.limit(broadcast_hosts + 1).count() <= broadcast_hosts:
+    sizes = pages_of.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars"))
+    hot = cut_lineage(sizes.select("host", F.ceil(F.greatest(F.col("n") / shard_pages, F.col("chars") / shard_chars)).alias("parts")).where("parts > 1"))
+    n_hot = hot.limit(broadcast_hosts + 1).count()
+    if n_hot <= broadcast_hosts:
         hot = F.broadcast(hot)
-    shard = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(id_col, "t"), F.col("parts")))
-    placed = pages_of.join(hot, "host", "left").withColumn("shard", shard).drop("parts")
+    placed = pages_of.join(hot, "host", "left")
+    types = [pa.int64() if isinstance(kind.dataType, T.LongType) else pa.int32() if isinstance(kind.dataType, T.IntegerType) else pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        for _, group in groupby(rows(), key=lambda r: (r[2], r[3])):
-            held, size = [], 0  # about shard_pages pages
-            for r in group:
-                held.append(r)
-                size += len(r[1] or "")
-                if size >= shard_chars:
-                    yield cleaned(held)
-                    held, size = [], 0
-            if held:
-                yield cleaned(held)
-
-    def cleaned(held: list[tuple]) -> pa.RecordBatch:
-        done = iter(_clean_shard([r[1] for r in held if r[1] is not None], length, pages))
-        out = [(r[0], *next(done)) if r[1] is not None else (r[0], [], None, None, 0) for r in held]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=schema.names)
+        for _, group in groupby(rows(), key=lambda r: r[2:]):
+            yield list(group)
 
-    types = [pa.int64() if isinstance(kind.dataType, T.LongType) else pa.int32() if isinstance(kind.dataType, T.IntegerType) else pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
-    return placed.select(id_col, "t", "host", "shard").repartition("host", "shard").sortWithinPartitions("host", "shard").mapInArrow(run, schema)
+    def columns(ids: list, texts: list, done: Iterator[tuple]) -> list[pa.Array]:
+        out = [(i, *next(done)) if t is not None else (i, [], None, None, 0) for i, t in zip(ids, texts, strict=True)]
+        return [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in groups(batches):
+            texts = [r[1] for r in held]
+            yield pa.RecordBatch.from_arrays(columns([r[0] for r in held], texts, iter(_clean_shard([t for t in texts if t is not None], length, pages))), names=schema.names)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in groups(batches):
+            each = window_hashes([_plain(r[1])[1] for r in held if r[1] is not None], length)
+            found, n = np.unique(np.concatenate([np.unique(h) for h in each] or [np.empty(0, np.int64)]), return_counts=True)
+            for k in range(0, len(found), 100_000):
+                h = found[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), held[0][2])), pa.array(np.full(len(h), held[0][3])), pa.array(h), pa.array(n[k : k + 100_000])], names=["host", "shard", "window", "n"])
+
+    def marked(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts = left.column("t").to_pylist()
+        done = iter(_clean_part([t for t in texts if t is not None], length, right.column("window").to_numpy()))
+        return pa.Table.from_arrays(columns(left.column(id_col).to_pylist(), texts, done), names=schema.names)
+
+    cold = placed.where("parts IS NULL").select(id_col, "t", "host")
+    out = cold.repartition("host").sortWithinPartitions("host").mapInArrow(whole, schema)
+    if not n_hot:
+        return out
+    parted = placed.where("parts IS NOT NULL").select(id_col, "t", "host", F.pmod(F.xxhash64(id_col, "t"), F.col("parts")).alias("shard"))
+    counted = parted.repartition("host", "shard").sortWithinPartitions("host", "shard").mapInArrow(windows, "host long, shard long, window long, n long")
+    common = counted.withColumn("n", F.sum("n").over(Window.partitionBy("host", "window"))).where(F.col("n") >= pages)
+    return out.unionAll(parted.groupBy("host", "shard").cogroup(common.groupBy("host", "shard")).applyInArrow(marked, schema))
