@@ -207,3 +207,13 @@ def test_bulk_files(spark, tmp_path):
         metainfo.read_metainfo(spark, str(tmp_path / "l.torrent"))
     kinds = spark.createDataFrame([(s,) for s in ("magnet:?x", "https://a", "http://a", "C:\\x.torrent", "x.torrent", "file:///x", "")], "s string").select("s", metainfo.source_kind(metainfo.F.col("s")).alias("k")).collect()
     assert [r.k for r in kinds] == ["magnet", "https", None, "local", "local", None, None]
+
+
+def test_long_piece_lists_are_inspected(spark, tmp_path):
+    """Bodies of many pieces reach the parser; those over its limit are error rows."""
+    from trovelight.queries import QUERIES
+
+    rows = [(1, "small", 40_000, 16384), (2, "long", 5001 * 16384, 16384), (3, "longer", 100_000 * 16384, 16384), (4, "too long", 2**62, 16384), (5, "unknown", None, 16384)]
+    spark.createDataFrame(rows, "inspection_id long, name string, total_size long, piece_length long").write.parquet(f"{tmp_path}/inspections.parquet")
+    got = {r.inspection_id: (r.error, r.hash_agrees, r.size_agrees) for r in QUERIES["inspect_metainfo"](spark, str(tmp_path)).collect()}
+    assert got == {1: (None, True, True), 2: (None, True, True), 3: (None, True, True), 4: ("too large", None, None)}

@@ -20,6 +20,7 @@ from trovelight.operators.snapshots import snapshot_changes
 from trovelight.output import json_lines
 from trovelight.plans.query import byte_quantity, iso_date
 from trovelight.plans.search import search
+from trovelight.schema import METAINFO_BYTES
 from trovelight.session import table
 from trovelight.sources.metainfo import inspect_bodies, inspect_magnets
 from trovelight.sync import replace_provider
@@ -240,12 +241,15 @@ def nfkc_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _metainfo_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """A metainfo body for each inspection, of one file of its size."""
+    """A metainfo body for each inspection, of one file of its size.
+
+    One whose pieces alone exceed ``METAINFO_BYTES`` ends one piece behind them, as its reader refuses it whatever follows.
+    """
     name = F.regexp_replace(F.coalesce("name", F.lit("")), "[^A-Za-z0-9 _-]", "_")
     total, piece = F.col("total_size"), F.greatest(F.col("piece_length"), F.lit(16384))
-    count = F.ceil(total / piece).cast("int")
+    count = F.least(F.ceil(total / piece), F.lit(METAINFO_BYTES // 20 + 1)).cast("int")
     info = F.concat(F.lit("d6:lengthi"), total.cast("string"), F.lit("e4:name"), F.length(name).cast("string"), F.lit(":"), name, F.lit("12:piece lengthi"), piece.cast("string"), F.lit("e6:pieces"), (count * 20).cast("string"), F.lit(":"), F.repeat(F.lit("x" * 20), count), F.lit("e"))
-    held = table(spark, folder, "inspections").where((total >= 0) & (total / piece <= 5000) & (name != ""))
+    held = table(spark, folder, "inspections").where((total >= 0) & (name != ""))
     return held.select("inspection_id", "total_size", info.alias("info"), F.encode(F.concat(F.lit("d4:info"), info, F.lit("e")), "utf-8").alias("content"))
 
 
