@@ -1,6 +1,7 @@
 import io
 import json
 import os
+import re
 import shutil
 
 import pytest
@@ -133,3 +134,23 @@ def test_command_line(built, tmp_path):
     assert json.loads(out.splitlines()[0])["data"]["infohash_v1"] == "a" * 40
     code, out, _ = run("records", str(built.root))
     assert out.splitlines()[1].split() == ["archive", "1", "alpha"]
+
+
+def test_whole_texts_are_indexed(spark, tmp_path):
+    """The index queries over unaltered texts, against plain Python."""
+    from collections import Counter
+    from unicodedata import normalize
+
+    from trovelight.queries import QUERIES
+
+    texts = ["Les élèves, ÉLÈVES – folder", "Новые каталоги и folder", "Straße Ｆｏｌｄｅｒ", "каталоги", " ", None]
+    rows = [(k, t, "s", "fr", "readme", len(t or "")) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, doc_kind string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [re.findall(r"\w+", normalize("NFKC", normalize("NFKC", t).casefold())) for t in texts[:4]]
+    got = {r.term: r.n for r in QUERIES["whole_posting_stats"](spark, str(tmp_path)).where("field = 'description'").collect()}
+    assert got == Counter(w for held in words for w in held) and got["élèves"] == 2
+    df = {r.term: r.df for r in QUERIES["whole_document_frequency"](spark, str(tmp_path)).where("field = 'description'").collect()}
+    assert df == Counter(w for held in words for w in set(held)) and df["каталоги"] == 2
+    assert sorted(r.n for r in QUERIES["whole_field_length"](spark, str(tmp_path)).where("field = 'description'").collect()) == sorted(map(len, words))
+    assert sorted(r.source_id for r in QUERIES["whole_search_required_term"](spark, str(tmp_path)).collect()) == ["0", "1", "2"]
+    assert QUERIES["whole_catalogue_scan"](spark, str(tmp_path)).count() == 4

@@ -14,15 +14,20 @@ from trovelight.plans.query import Query, Span, Value, parse
 from trovelight.schema import RECORD
 from trovelight.session import shared_dir, table
 
-_open: dict[tuple[str, str], Catalogue] = {}
+_open: dict[tuple[str, str, str], Catalogue] = {}
 
 
-def provider_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as a provider's rows: ASCII words as texts, hashes of their ends, facets from their columns."""
+def provider_rows(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    """Documents as a provider's rows: texts, hashes of their ends, facets from their columns.
+
+    The texts are unaltered where ``whole`` is true, else the ASCII words that the SQL beside the queries also reads.
+    """
     docs = table(spark, folder, "documents")
-    text = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9_]+", " "))
+    text = F.coalesce("text", F.lit(""))
+    if not whole:
+        text = F.trim(F.regexp_replace(text, "[^A-Za-z0-9_]+", " "))
     language = F.lower("lang")
-    out = docs.withColumn("t", text).where("t <> ''").select(
+    out = docs.withColumn("t", text).where(F.trim("t") != "").select(
         F.regexp_replace(F.lower(F.coalesce("source", F.lit("unknown"))), "[^a-z0-9_-]", "_").alias("provider"),
         F.col("doc_id").cast("string").alias("source_id"),
         F.trim(F.substring("t", 1, 60)).alias("title"),
@@ -38,19 +43,19 @@ def provider_rows(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*[(F.col(f.name) if f.name in out.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD])
 
 
-def catalogue(spark: SparkSession, folder: str) -> Catalogue:
+def catalogue(spark: SparkSession, folder: str, whole: bool = False) -> Catalogue:
     """The published catalogue of a data folder, built once a session."""
-    key = (spark.sparkContext.applicationId, os.path.realpath(folder))
+    key = (spark.sparkContext.applicationId, os.path.realpath(folder), "whole" if whole else "words")
     if key not in _open:
         root = shared_dir(spark).removeprefix("file://").removeprefix("file:")
         made = Catalogue(spark, f"{root}/catalogue-{hashlib.sha1('|'.join(key).encode()).hexdigest()[:16]}")
-        made.rebuild(provider_rows(spark, folder))
+        made.rebuild(provider_rows(spark, folder, whole))
         _open[key] = made
     return _open[key]
 
 
-def index(spark: SparkSession, folder: str) -> Index:
-    return catalogue(spark, folder).index()
+def index(spark: SparkSession, folder: str, whole: bool = False) -> Index:
+    return catalogue(spark, folder, whole).index()
 
 
 def query(text: str, allow: tuple[str, ...] = (), deny: tuple[str, ...] = ()) -> Query:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,8 +62,8 @@ WITH chained AS (
 
 
 def _searched(text: str, limit: int | None = None, **providers) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        hits = search(demo.index(spark, folder), demo.query(text, **providers), limit)
+    def run(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+        hits = search(demo.index(spark, folder, whole), demo.query(text, **providers), limit)
         return hits.select(F.col("rank").cast("long").alias("rank"), "group", F.col("record.source_id").alias("source_id"), "source_count")
 
     return run
@@ -108,42 +109,42 @@ SEARCHES: dict[str, tuple[str, dict, dict]] = {
 }
 
 
-def group_transitive_hash(spark: SparkSession, folder: str) -> DataFrame:
-    return demo.index(spark, folder).records.select("provider", "source_id", "group")
+def group_transitive_hash(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return demo.index(spark, folder, whole).records.select("provider", "source_id", "group")
 
 
-def group_size_histogram(spark: SparkSession, folder: str) -> DataFrame:
-    return demo.index(spark, folder).records.groupBy("group").count().groupBy(F.col("count").alias("n_sources")).agg(F.count("*").alias("n_groups"))
+def group_size_histogram(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return demo.index(spark, folder, whole).records.groupBy("group").count().groupBy(F.col("count").alias("n_sources")).agg(F.count("*").alias("n_groups"))
 
 
-def group_values(spark: SparkSession, folder: str) -> DataFrame:
+def group_values(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """Agreed size and day, completeness, sources and providers of each group."""
-    return group_summary(demo.index(spark, folder).records).withColumn("published_at", F.col("published_at").cast("string"))
+    return group_summary(demo.index(spark, folder, whole).records).withColumn("published_at", F.col("published_at").cast("string"))
 
 
-def record_completeness(spark: SparkSession, folder: str) -> DataFrame:
-    return demo.index(spark, folder).records.select("provider", "source_id", F.col("completeness").cast("long").alias("completeness"))
+def record_completeness(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return demo.index(spark, folder, whole).records.select("provider", "source_id", F.col("completeness").cast("long").alias("completeness"))
 
 
-def record_structured_text(spark: SparkSession, folder: str) -> DataFrame:
-    records = demo.index(spark, folder).records
+def record_structured_text(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    records = demo.index(spark, folder, whole).records
     return records.select("source_id", structured_text(records).alias("structured"))
 
 
-def catalogue_scan(spark: SparkSession, folder: str) -> DataFrame:
-    return demo.catalogue(spark, folder).records().select("provider", "source_id", "title")
+def catalogue_scan(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return demo.catalogue(spark, folder, whole).records().select("provider", "source_id", "title")
 
 
-def posting_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return demo.index(spark, folder).postings.groupBy("field", "term").agg(F.count("*").alias("n"))
+def posting_stats(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return demo.index(spark, folder, whole).postings.groupBy("field", "term").agg(F.count("*").alias("n"))
 
 
-def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return demo.index(spark, folder).terms.select("field", "term", "df")
+def document_frequency(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return demo.index(spark, folder, whole).terms.select("field", "term", "df")
 
 
-def field_length(spark: SparkSession, folder: str) -> DataFrame:
-    return demo.index(spark, folder).lengths.select(*DOCUMENT, "field", "n")
+def field_length(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    return demo.index(spark, folder, whole).lengths.select(*DOCUMENT, "field", "n")
 
 
 def dedupe_source_key(spark: SparkSession, folder: str) -> DataFrame:
@@ -200,9 +201,9 @@ def parse_iso_date(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame([(t, iso_date(t)) for t in _DATES], "text string, day string")
 
 
-def sync_replace_provider(spark: SparkSession, folder: str) -> DataFrame:
+def sync_replace_provider(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
     """The demo catalogue's rows with one provider's replaced by the half of them with even ids."""
-    rows = demo.provider_rows(spark, folder)
+    rows = demo.provider_rows(spark, folder, whole)
     fresh = rows.where((F.col("provider") == _MIRROR) & (F.col("source_id").cast("long") % 2 == 0))
     return replace_provider(rows, fresh, _MIRROR).select("provider", "source_id", "title")
 
@@ -226,8 +227,8 @@ def piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(pieces, "inspection_id").select("inspection_id", "file_index", "offset", F.floor(F.col("offset") / F.col("piece_length")).alias("piece"))
 
 
-def ndjson_encode(spark: SparkSession, folder: str) -> DataFrame:
-    hits = _searched("folder", 10)(spark, folder)
+def ndjson_encode(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+    hits = _searched("folder", 10)(spark, folder, whole)
     return json_lines(hits, "result", "rank")
 
 
@@ -273,6 +274,11 @@ QUERIES: dict[str, Query] = {name: _searched(text, **more) for name, (text, more
         ndjson_encode, squashed_titles, infohash_from_bytes, nfkc_fold, inspect_metainfo, p2_found, p2_changes,
     )
 } | {"compact_text": compact_text_query}
+#: The same over the unaltered texts; Unicode folding has no equal in SQL, so they have none.
+QUERIES |= {
+    f"whole_{name}": partial(QUERIES[name], whole=True)
+    for name in [*SEARCHES, *"group_transitive_hash group_size_histogram group_values record_completeness record_structured_text catalogue_scan posting_stats document_frequency field_length sync_replace_provider ndjson_encode".split()]
+}
 
 _VALUES = {"1.5GiB": 1610612736, "0.5KiB": 512, "1.25KB": 1250, "0.1KiB": None, "8EiB": None, "7EiB": 8070450532247928832, "10": None, "x5MB": None, "12b": 12, "1.GB": None}
 _TRIM = "E' \\t\\n\\r'"
