@@ -204,6 +204,16 @@ def test_cut_values(spark):
     assert cuts.cut_values([("records", df.limit(0), "record_id", ("title",), ("description",))]).count() == 0
 
 
+def test_endings_of_long_last_lines(spark):
+    """A last line, and a title's brackets, are read whole, however long."""
+    words = ", ".join(f"word{k}" for k in range(60))
+    half = "and so it goes on " * 13
+    rows = [(1, "p", "A note", f"First line.\nKeywords: {words}"), (2, "p", "A note", f"This is one (long) line that was cut and holds, far on, {words[:30]}, xlabel: {half}"[:-1] + " nowher"), (3, "p", f"Open (list {'of maps ' * 40}and views", "Done."), (4, "p", f"List (maps {'of towns ' * 40}) 1955", "Done.")]
+    df = spark.createDataFrame(rows, "record_id long, provider string, title string, description string")
+    got = {(r.row_id, r.field_name): r.how for r in cuts.cut_values([("records", df, "record_id", ["title"], ["description"])]).collect()}
+    assert got[1, "description"] is None and got[2, "description"] == "open" and got[3, "title"] == "open" and got[4, "title"] is None
+
+
 # tokens
 
 

@@ -31,7 +31,11 @@ _OPEN_END = rf"(?i)(?:[\s,](?:{'|'.join(OPEN_WORDS.split())})|[,;&(\[–-])$"
 
 def _tail(c: Column) -> Column:
     """The last characters, full-width forms as ASCII, without outer whitespace."""
-    return F.regexp_replace(F.translate(F.right(c, F.lit(240)), FULL_WIDTH, HALF_WIDTH), f"{WHITESPACE}+$", "")
+    return _trimmed(F.right(c, F.lit(240)))
+
+
+def _trimmed(c: Column) -> Column:
+    return F.regexp_replace(F.translate(c, FULL_WIDTH, HALF_WIDTH), f"{WHITESPACE}+$", "")
 
 
 def spikes(values: DataFrame, least: int = 8, times: float = 3.0, around: int = 8) -> DataFrame:
@@ -90,10 +94,11 @@ def cut_values(
             parts += [df.select(F.lit(name).alias("table_name"), F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.lit(f).alias("field_name"), F.lit(is_title).alias("is_title"), F.col(f).alias("value"), context.alias("context")) for f in fields]
     values = reduce(DataFrame.unionByName, parts).where(F.col("value").rlike(r"\S"))
 
-    tail = values.select("*", _tail(F.col("value")).alias("t")).withColumns({"line": F.regexp_extract("t", r"([^\n]*)$", 1), "last": F.when(F.col("is_title"), F.regexp_extract("t", r"([\p{L}\p{M}]{2,})$", 1)).otherwise("")})
+    tail = values.select("*", _tail(F.col("value")).alias("t")).withColumns({"line": F.substring_index(_trimmed(F.col("value")), "\n", -1), "last": F.when(F.col("is_title"), F.regexp_extract("t", r"([\p{L}\p{M}]{2,})$", 1)).otherwise("")})
     tail = tail.withColumn("word", _word_state(F.col("last"), F.col("context")))
     note = F.col("value").rlike(rf"^\s*[\p{{Ll}}\d]\S*(?:[^\S\n]+\S+){{0,{note_words - 1}}}\s*$")
-    balanced = F.length(F.regexp_replace("t", r"[^(\[]", "")) <= F.length(F.regexp_replace("t", r"[^)\]]", ""))
+    held = F.translate("value", FULL_WIDTH, HALF_WIDTH)  # brackets may open long before the end
+    balanced = F.length(F.regexp_replace(held, r"[^(\[]", "")) <= F.length(F.regexp_replace(held, r"[^)\]]", ""))
     judged = tail.select(
         "table_name", "row_id", "source", "field_name", "is_title", "value",
         F.col("t").rlike(SIGN).alias("sign"),
