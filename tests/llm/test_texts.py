@@ -2,12 +2,14 @@
 
 import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from trovelight.llm import cuts, glyphs, lookalikes, markup, mojibake, tokens
+from trovelight.llm.markup_text import convert
 
 RECORD = "record_id long, title string, description string, extra int"
 
@@ -131,17 +133,54 @@ MARKED = {
     "<pre><code>run --all</code></pre>": "```\nrun --all\n```",
     "Text \\(n \\ge 2\\) here": "Text $n \\ge 2$ here",
     "cut off <p class=\"le": "cut off",
+    '<pre>&lt;div class="x"&gt;hi&lt;/div&gt;</pre>': '```\n<div class="x">hi</div>\n```',
+    "```\nprint('<b>')  # &amp;\n```": "```\nprint('<b>')  # &amp;\n```",
+    "```py\nif a:\n    b()": "```\nif a:\n    b()\n```",
+    "5 &lt;b 6 and the end": "5 <b 6 and the end",
+    "Use the &lt;div&gt; tag": "Use the <div> tag",
+    "<p>a &amp;lt; b</p>": "a &lt; b",
+    "\\textbf{a \\emph{b} c}": "a b c",
+    "{\\bf a {b}} and\\footnote{see \\emph{x}}": "a b and (see x)",
+    "{{Infobox|a={{nested|x}}|b=2}}": "a: x; b: 2",
+    "[[File:x.png|thumb|A [[word|label]] here]]": "A label here",
+    "'''a ''b'' c'''": "a b c",
+    "{|\n! a !! b\n|-\n| style=\"x\" | 1 || 2\n|}": "a | b\n1 | 2",
+    "* a\n** b\n* c": "- a\n  - b\n- c",
+    "[https://a.example/x label] text\n# one\n# two": "label text\n1. one\n2. two",
+    "<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</li></ul>": "- a\n  1. b\n  2. c\n- d",
+    "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>": "a | b\n1 | 2",
+    "- a\n  - b\n    - c\n- d": "- a\n  - b\n    - c\n- d",
+    "\\begin{itemize}\\item a\\begin{enumerate}\\item b\\end{enumerate}\\item c\\end{itemize}": "- a\n  1. b\n- c",
+    "\\begin{equation}a_{1} < b\\end{equation}": "$a_{1} < b$",
+    "na\\\"{\\i}ve caf\\'e": "naïve café",
+    "[![alt](i.png)](https://a.example/x \"t\") **a *b* c**": "alt a b c",
+    "\ue1000\ue101 &amp; <b>x</b>": "\ue1000\ue101 & x",
 }
 
 
 @pytest.mark.parametrize("raw, clean", MARKED.items())
 def test_markup(raw, clean):
-    assert markup.markup_kinds(raw) and markup.to_text(raw) == clean and not set(markup.markup_kinds(markup.to_text(raw))) & {"html", "entity", "wiki"}
+    kinds, got = convert(raw)
+    assert kinds and got == clean
 
 
-@pytest.mark.parametrize("text", ["size < 5 MB or > 900 MB", "Price was $20 to $35 per box, #3 sold out", "See note [4] and the remark (page 12) [more]", "user_name_v2, and 5 * 3 * 2", "https://a.example/list?x=1&y=2", "R&D notes use C# and F#", "The set {a, b} is 50% of it", "a -> b means next, x^2 is a square", "Keywords: field_work, maps", "", None])
+@pytest.mark.parametrize("raw", [r for r in MARKED if "lt;" not in r and "```" not in r])
+def test_clean_text_stays_clean(raw):
+    once = convert(raw)[1]
+    assert convert(once)[1] == once and not set(convert(once)[0]) & {"html", "entity", "wiki"}
+
+
+@pytest.mark.parametrize("sign", ["{{", "[[", "<b", "<p '", "$", "**a ", "__b ", "\\textbf{", "''", "&lt;", "`", "<code>", "|", "\ue1007\ue101", "# ", "$_"])
+def test_odd_texts_end(sign):
+    """Repeated signs, unclosed or nested without end, take time in proportion."""
+    began = time.perf_counter()
+    kinds, got = convert(sign * 20_000)
+    assert time.perf_counter() - began < 10 and isinstance(got, str)
+
+
+@pytest.mark.parametrize("text", ["size < 5 MB or > 900 MB", "Price was $20 to $35 per box, #3 sold out", "See note [4] and the remark (page 12) [more]", "user_name_v2, and 5 * 3 * 2", "https://a.example/list?x=1&y=2", "R&D notes use C# and F#", "The set {a, b} is 50% of it", "a -> b means next, x^2 is a square", "Keywords: field_work, maps", "for 3 <b and c> 4", "5 <b 6", "#1 and #2\n#3", "", None])
 def test_no_markup(text):
-    assert markup.markup_kinds(text) == []
+    assert convert(text) == ([], (text or "").strip())
 
 
 def test_cover_against_brute_force():

@@ -1,4 +1,4 @@
-"""Markup in descriptions: detection, conversion to clean text, and removal of a host's boilerplate.
+"""Markup in descriptions: conversion to clean text, and removal of a host's boilerplate.
 
 The conversion keeps headings, lists, code blocks and formulas. Boilerplate is found with a suffix
 array over the token streams of a host's pages: long substrings repeated across distinct pages go,
@@ -8,7 +8,6 @@ unique runs stay.
 from __future__ import annotations
 
 import hashlib
-import html
 import re
 from collections.abc import Iterator
 from itertools import groupby
@@ -20,120 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from trovelight.llm.markup_text import convert
 from trovelight.session import cut_lineage
 
-# The element names of HTML, and those that wikis add.
-ELEMENTS = (
-    "a abbr acronym address article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data dd del details dfn dialog div dl dt em embed fieldset figcaption figure font footer form frame frameset "
-    "h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark math meta meter nav noscript object ol optgroup option output p param picture pre progress q rp rt ruby s samp script section select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr "
-    "ref references nowiki gallery syntaxhighlight includeonly noinclude"
-)
-_NAMES = "|".join(sorted(ELEMENTS.split(), key=len, reverse=True))
-
-ENTITY = re.compile(r"&(?:[a-zA-Z][a-zA-Z0-9]{1,31}|#\d{1,7}|#[xX][0-9a-fA-F]{1,6});")
-TAG = re.compile(rf"</?(?:{_NAMES})(?:\s[^<>]*)?/?>|<!--.*?(?:-->|$)|<!doctype[^>]*>|</?(?:{_NAMES})(?:\s[^<>]*)?$", re.I | re.S)
-WIKI = re.compile(r"\[\[[^\[\]]*(?:\]\]|$)|\{\{[^{}]*(?:\}\}|$)|^\{\||^\|[-}]|^!\s.*$|'''?(?=\S).*?\S'''?|^(={2,6})[^=\n].*?\1\s*$|^;\s*\S.*\s:\s|\[(?:https?|ftp)://[^\s\]]+(?:\s[^\]\n]*)?(?:\]|$)", re.M)
-MARKDOWN = re.compile(
-    r"^\s{0,3}#{1,6}[ \t]+\S|^\s{0,3}(?:```|~~~)|(?<![\w*])\*\*?(?=[^\s*])[^*\n]*?(?<=\S)\*\*?(?![\w*])|(?<![\w_])__(?=[^\s_])[^\n]*?(?<=\S)__(?![\w_])|(?<![\w_])_(?=[^\s_])[^_\n]*(?<=\S)_(?![\w_])"
-    r"|~~(?=\S)[^~\n]*~~|(?<!`)`[^`\n]+`(?!`)|!?\[[^\[\]\n]*\]\([^()\s]+(?:\)|$)|!\[[^\[\]\n]*(?:\]|$)|\[\^[\w-]+\]|^[^\n]+\n={3,}\s*$|^[^\n]+\n-{3,}\s*$|^\|?(?:\s*:?-{3,}:?\s*\|)+\s*(?::?-{3,}:?)?\s*$|^\|.*\|\s*$|^[ \t]{2,}[*+-] \S|^[*+] \S|^>\s?\S",
-    re.M,
-)
-BULLETS = re.compile(r"^[ \t]*(?:[-•]|\d{1,3}[.)]) \S[^\n]*\n+[ \t]*(?:[-•]|\d{1,3}[.)]) \S", re.M)
-FORMULA = re.compile(r"(?<![\\\w$])\$\$?(?=\S)(?:[^$\n]*[\\^_{}][^$\n]*|[A-Za-z])(?<=\S)\$\$?(?![\w$])|\\\[.*?(?:\\\]|$)|\\\(.*?(?:\\\)|$)", re.S)
-LATEX = re.compile(r"(?<![\w:\\])~?\\(?:[a-zA-Z]{2,}\*?|[%&#_{}\"'`^])(?=[\s{\[\\]|$)|(?<!\w)\\item\b|\\(?:begin|end)\{")
-_HINT = re.compile(r"[<&\[{'=*#`_~|>$\\;+]|^[ \t]*(?:[-•]|\d{1,3}[.)]) |^-{3,}", re.M)
-_KINDS = (("entity", ENTITY), ("html", TAG), ("wiki", WIKI), ("formula", FORMULA), ("latex", LATEX), ("markdown", MARKDOWN), ("list", BULLETS))
-
-
-def markup_kinds(text: str | None) -> list[str]:
-    """The kinds of markup a text holds; comparisons, prices, remarks, plain names and URLs are none."""
-    if not text or not _HINT.search(text):
-        return []
-    return [kind for kind, pattern in _KINDS if pattern.search(text)]
-
-
-_BLOCKS = re.compile(r"<pre[^>]*>(.*?)</pre>|^[ \t]*```[^\n]*\n(.*?)^[ \t]*```[ \t]*$|\\begin\{(?:verbatim|lstlisting)\}(.*?)\\end\{(?:verbatim|lstlisting)\}|<syntaxhighlight[^>]*>(.*?)</syntaxhighlight>", re.I | re.S | re.M)
-_INLINE = re.compile(r"(?<!`)`([^`\n]+)`(?!`)|<code[^>]*>(.*?)</code>", re.I | re.S)
-_PLACE = re.compile("\ue100(\\d+)\ue101")
-
-# What replaces each construct, in the order applied.
-_HTML = [
-    (re.compile(r"<(style|script)\b.*?</\1>|<!--.*?(?:-->|$)|<!doctype[^>]*>", re.I | re.S), ""),
-    (re.compile(r"<h([1-6])[^>]*>(.*?)</h\1>", re.I | re.S), lambda m: f"\n\n{'#' * int(m[1])} {m[2].strip()}\n\n"),
-    (re.compile(r"<ref[^>]*/>", re.I), ""),
-    (re.compile(r"<ref[^>]*>(.*?)</ref>", re.I | re.S), r" (\1)"),
-    (re.compile(r"<img\b[^>]*\balt=[\"']([^\"']*)[\"'][^>]*>", re.I), r"\1"),
-    (re.compile(r"<(?:li|dt)\b[^>]*>", re.I), "\n- "),
-    (re.compile(r"<dd\b[^>]*>", re.I), ": "),
-    (re.compile(r"</t[dh]>\s*<t[dh][^>]*>", re.I), " | "),
-    (re.compile(r"</?(?:p|div|tr|table|ul|ol|dl|blockquote|section|article|header|footer|thead|tbody|figure|pre|hr|h[1-6])\b[^<>]*>|<br\b[^<>]*>", re.I), "\n"),
-    (TAG, ""),
-]
-_WIKI = [
-    (re.compile(r"^(={2,6})\s*([^=\n].*?)\s*\1\s*$", re.M), lambda m: f"\n{'#' * len(m[1])} {m[2]}\n"),
-    (re.compile(r"\[\[(?:category|file|image|kategorie|datei|fichier|archivo|categoría|catégorie|категория|файл):[^\]]*(?:\]\]|$)", re.I), ""),
-    (re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)(?:\]\]|$)"), r"\1"),
-    (re.compile(r"\{\{([^{}]*)(?:\}\}|$)"), lambda m: "; ".join(p.replace("=", ": ", 1).strip() for p in m[1].split("|")[1:])),
-    (re.compile(r"^\{\|.*$|^\|\}\s*|^\|-.*$", re.M), ""),
-    (re.compile(r"^[!|]\s*([^|\n]*?)\s*$", re.M), r"\1"),
-    (re.compile(r"'''?(?=\S)(.*?\S)'''?"), r"\1"),
-    (re.compile(r"^;\s*(.*?)\s+:\s+", re.M), r"- \1: "),
-    (re.compile(r"\[(?:https?|ftp)://[^\s\]]+\s([^\]\n]*)(?:\]|$)", re.M), r"\1"),
-]
-_LATEX = [
-    (re.compile(r"\\(?:part|chapter|section)\*?\{([^{}]*)\}"), r"\n# \1\n"),
-    (re.compile(r"\\sub(?:sub)?section\*?\{([^{}]*)\}"), r"\n## \1\n"),
-    (re.compile(r"~?\\(?:cite|ref|label|index)[a-z]*(?:\[[^\]]*\])?\{[^{}]*(?:\}|$)"), ""),
-    (re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?"), "\n"),
-    (re.compile(r"\\item\b\s*"), "\n- "),
-    (re.compile(r"(?<![\w:\\])\\[a-zA-Z]{2,}\*?(?:\[[^\]]*\])?\{([^{}]*)(?:\}|$)"), r"\1"),
-    (re.compile(r"\\([%&#_{}])"), r"\1"),
-    (re.compile(r"(?<![\w:\\])\\[a-zA-Z]{2,}\*?(?=[\s{\[\\]|$)"), ""),
-]
-_MARKDOWN = [
-    (re.compile(r"^([^\n]+)\n={3,}\s*$", re.M), r"# \1\n"),
-    (re.compile(r"^([^\n|]+)\n-{3,}\s*$", re.M), r"## \1\n"),
-    (re.compile(r"^\s{0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", re.M), r"\1 \2"),
-    (re.compile(r"^\|?(?:\s*:?-{3,}:?\s*\|)+\s*(?::?-{3,}:?)?\s*$\n?", re.M), ""),
-    (re.compile(r"^\|\s*(.*?)\s*\|\s*$", re.M), r"\1"),
-    (re.compile(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:\)|$)"), r"\1"),
-    (re.compile(r"\[\^[\w-]+\]:[ \t]*", re.M), "- "),
-    (re.compile(r"\[\^[\w-]+\]"), ""),
-    (re.compile(r"(?<![\w*])(\*\*?)(?=[^\s*])([^*\n]*?)(?<=\S)\1(?![\w*])"), r"\2"),
-    (re.compile(r"(?<![\w_])__(?=[^\s_])([^\n]*?)(?<=\S)__(?![\w_])"), r"\1"),
-    (re.compile(r"(?<![\w_])_(?=[^\s_])([^_\n]*)(?<=\S)_(?![\w_])"), r"\1"),
-    (re.compile(r"~~(?=\S)([^~\n]*)~~"), r"\1"),
-    (re.compile(r"^[ \t]*[*+•] (?=\S)", re.M), "- "),
-    (re.compile(r"^>\s?", re.M), ""),
-]
-
-
-def to_text(text: str) -> str:
-    """The text without markup, its headings (``#``), list items (``-``), code and formulas kept."""
-    for _ in range(3):
-        if not ENTITY.search(text):
-            break
-        text = html.unescape(text)
-    held: list[str] = []
-
-    def hold(value: str) -> str:
-        held.append(value)
-        return f"\ue100{len(held) - 1}\ue101"
-
-    text = _BLOCKS.sub(lambda m: "\n" + hold("```\n" + TAG.sub("", next(g for g in m.groups() if g is not None)).strip("\n") + "\n```") + "\n", text)
-    text = _INLINE.sub(lambda m: hold("`" + (m[1] or m[2] or "").strip() + "`"), text)
-    text = FORMULA.sub(lambda m: hold("$" + re.sub(r"^(?:\$\$?|\\[\[(])|(?:\$\$?|\\[\])])$", "", m.group()).strip() + "$"), text)
-    for rules in (_HTML, _WIKI, _LATEX, _MARKDOWN):
-        for pattern, by in rules:
-            text = pattern.sub(by, text)
-    text = re.sub(r"[ \t\xa0]+", " ", text)
-    text = re.sub(r" ?\n ?", "\n", text)
-    text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    while _PLACE.search(text):
-        text = _PLACE.sub(lambda m: held[int(m[1])], text)
-    return text
-
-
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -175,21 +63,49 @@ def _token_hash(token: str) -> int:
     return int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
-def window_hashes(texts: list[str], length: int) -> list[np.ndarray]:
-    """64-bit hashes of the windows of ``length`` tokens (a power of two) of each text, by place."""
+def _streams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The texts' tokens as numbers, in one array; how many each text has; the tokens by number."""
     number: dict[str, int] = {}
-    streams = [np.fromiter((number.setdefault(w, len(number)) for w in _TOKEN.findall(t)), np.int64) for t in texts]
-    codes = np.fromiter((_token_hash(w) for w in number), np.uint64, len(number))
-    h, step = codes[np.concatenate([np.empty(0, np.int64), *streams])], 1
+    each = [np.fromiter((number.setdefault(w, len(number)) for w in _TOKEN.findall(t)), np.int64) for t in texts]
+    return np.concatenate([np.empty(0, np.int64), *each]), np.array([len(s) for s in each], np.int64), list(number)
+
+
+def _doubled(h: np.ndarray, length: int, step: int = 1) -> np.ndarray:
+    """Hashes of windows of ``length`` tokens from those of ``step`` tokens, both powers of two."""
     while step < length:
         a, b = h[: max(0, len(h) - step)], h[step:]
         h = a * np.uint64(0xD6E8FEB86659FD93) + (b ^ (b >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
         h ^= h >> np.uint64(32)
         step *= 2
+    return h
+
+
+def _least(h: np.ndarray, n: int) -> np.ndarray:
+    """The least of each ``n`` neighbours."""
+    m, width = h, 1
+    while width < n:
+        step = min(width, n - width)
+        m = np.minimum(m[: len(m) - step], m[step:])
+        width += step
+    return m
+
+
+def window_hashes(texts: list[str], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the 64-bit hashes of its windows of ``length`` tokens (a power of two), by place, and each window's anchor.
+
+    The anchor is the least hash of the half as long windows inside a window: equal windows have
+    equal anchors, and neighbouring ones mostly share theirs, so a page has few distinct ones.
+    """
+    tokens, sizes, names = _streams(texts)
+    codes = np.fromiter((_token_hash(w) for w in names), np.uint64, len(names))
+    half = _doubled(codes[tokens], length // 2)
+    whole = _doubled(half, length, length // 2).view(np.int64)
     out, at = [], 0
-    for s in streams:
-        out.append(h[at : max(at, at + len(s) - length + 1)].view(np.int64))
-        at += len(s)
+    for n in sizes:
+        k = max(0, n - length + 1)
+        inside = half[at : at + max(0, n - length // 2 + 1)]
+        out.append((whole[at : at + k], _least(inside, length // 2 + 1).view(np.int64) if k else whole[:0]))
+        at += n
     return out
 
 
@@ -202,11 +118,6 @@ def _covered(common: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _plain(text: str) -> tuple[list[str], str]:
-    kinds = markup_kinds(text)
-    return kinds, to_text(text) if kinds else text.strip()
-
-
 def _without(text: str, gone: np.ndarray) -> tuple[str, int]:
     """The text without the covered tokens, and their number."""
     if not gone.any():
@@ -220,96 +131,117 @@ def _without(text: str, gone: np.ndarray) -> tuple[str, int]:
     return re.sub(r"[ \t]{2,}", " ", "".join(kept)).strip(), int(gone.sum())
 
 
-def _clean_shard(texts: list[str], length: int, pages: int) -> list[tuple[list[str], str, str, int]]:
-    """(kinds, clean text, unique text, tokens removed) of each page of a whole host."""
-    plain = [_plain(t) for t in texts]
-    number: dict[str, int] = {}
-    streams = [np.fromiter((number.setdefault(w, len(number)) for w in _TOKEN.findall(t)), np.int64) for _, t in plain]
-    cover = repeated_cover(np.concatenate(streams), np.repeat(np.arange(len(texts)), [len(s) for s in streams]), length, pages) if streams else np.empty(0, bool)
-    out, at = [], 0
-    for (k, t), s in zip(plain, streams, strict=True):
-        out.append((k, t, *_without(t, cover[at : at + len(s)])))
-        at += len(s)
-    return out
+def _unique_of_host(texts: list[str], length: int, pages: int) -> list[tuple[str, int]]:
+    """(unique text, tokens removed) of each page of a whole host, by a suffix array."""
+    tokens, sizes, _ = _streams(texts)
+    cover = repeated_cover(tokens, np.repeat(np.arange(len(texts)), sizes), length, pages)
+    return [_without(t, c) for t, c in zip(texts, np.split(cover, np.cumsum(sizes)[:-1]) if texts else [], strict=True)]
 
 
-def _clean_part(texts: list[str], length: int, common: np.ndarray) -> list[tuple[list[str], str, str, int]]:
+def _unique_of_part(texts: list[str], length: int, common: np.ndarray) -> list[tuple[str, int]]:
     """The same of part of a host, whose windows on enough pages have the hashes ``common``."""
-    plain = [_plain(t) for t in texts]
-    hashes = window_hashes([t for _, t in plain], length)
-    hits = np.isin(np.concatenate([np.empty(0, np.int64), *hashes]), common)
-    out, at = [], 0
-    for (k, t), h in zip(plain, hashes, strict=True):
-        hit = hits[at : at + len(h)]
-        at += len(h)
-        out.append((k, t, *_without(t, _covered(hit, len(h) + length - 1, length))) if hit.any() else (k, t, t, 0))
+    if not len(common):
+        return [(t, 0) for t in texts]
+    out = []
+    for t, (h, _) in zip(texts, window_hashes(texts, length), strict=True):
+        hit = np.isin(h, common)
+        out.append(_without(t, _covered(hit, len(h) + length - 1, length)) if hit.any() else (t, 0))
     return out
 
 
+def _counted(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and on how many pages each is."""
+    return np.unique(np.concatenate([np.empty(0, np.int64), *[np.unique(h) for h in each]]), return_counts=True)
+
+
 def clean_markup(records: DataFrame, *, id_col: str = "record_id", text_col: str = "description", host_col: str = "details_url", fallback_col: str = "provider", length: int = 32, pages: int = 3, shard_pages: int = 4_000, shard_chars: int = 8_000_000, broadcast_hosts: int = 200_000) -> DataFrame:
-    """Clean texts: ``id_col``, ``kinds`` of markup found, ``clean``, ``unique_text`` and ``removed``.
+    """Clean texts: ``id_col``, ``kinds`` of markup met, ``clean``, ``unique_text`` and ``removed``.
+
+    ``clean`` is the whole text without markup, ``kinds`` what its conversion replaced or kept as
+    structure. ``unique_text`` is ``clean`` without the host's boilerplate: tokens covered by
+    substrings of ``length`` tokens that at least ``pages`` distinct pages of the host hold;
+    ``removed`` counts them. A host is that of ``host_col``, else ``fallback_col``.
 
-    ``clean`` is the whole text without markup. ``unique_text`` is ``clean`` without the host's
-    boilerplate: tokens covered by substrings of ``length`` tokens that at least ``pages`` distinct
-    pages of the host hold; ``removed`` counts them. A host is that of ``host_col``, else
-    ``fallback_col``. A host of up to ``shard_pages`` pages and ``shard_chars`` characters has a
-    suffix array. A larger one is split by a hash of the page, so it never gathers in one task: its
-    shards emit the 64-bit hashes of their windows with the pages that hold them, these counts are
-    added over the host, and each shard gets back those of its windows that are on enough pages.
-    The sizes of up to ``broadcast_hosts`` such hosts are broadcast, of more joined by shuffle.
+    Texts are converted once, before any shuffle, and written to the shared folder. A host of up to
+    ``shard_pages`` pages and ``shard_chars`` characters then has a suffix array. A larger one is
+    split by a hash of the page, so it never gathers in one task, and the same windows are found by
+    counts over the whole host: first of the pages' anchors, which are few (see
+    :func:`window_hashes`), then of the windows whose anchor is on enough pages. Sums are combined
+    map-side. So the result depends neither on the split nor on a host's size. The sizes of up to
+    ``broadcast_hosts`` split hosts are broadcast, of more joined by shuffle.
 
     Null texts come out as null with no kinds, empty ones as empty; repeated ids and equal rows are
     pages of their own; other columns are ignored; an empty table gives an empty result.
     """
-    if length & (length - 1):
+    if length < 2 or length & (length - 1):
         raise ValueError("length must be a power of two")
     kind = records.select(id_col).schema[0]
-    schema = T.StructType([kind, T.StructField("kinds", T.ArrayType(T.StringType())), T.StructField("clean", T.StringType()), T.StructField("unique_text", T.StringType()), T.StructField("removed", T.IntegerType())])
+    kinds = T.StructField("kinds", T.ArrayType(T.StringType()))
+    clean = T.StructField("clean", T.StringType())
+    schema = T.StructType([kind, kinds, clean, T.StructField("unique_text", T.StringType()), T.StructField("removed", T.IntegerType())])
     host = F.coalesce(F.nullif(F.regexp_extract(F.col(host_col), "^[a-z]+://([^/?#]+)", 1), F.lit("")), F.col(fallback_col), F.lit("")) if host_col in records.columns else F.coalesce(F.col(fallback_col), F.lit(""))
-    pages_of = records.select(F.col(id_col), F.col(text_col).alias("t"), F.xxhash64(host).alias("host"))
-    sizes = pages_of.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("chars"))
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = [convert(t) if t is not None else ([], None) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.list_(pa.string())), pa.array([d[1] for d in done], pa.string()), batch.column(2)], names=[id_col, "kinds", "clean", "host"])
+
+    converted = cut_lineage(records.select(F.col(id_col), F.col(text_col).alias("t"), F.xxhash64(host).alias("host")).mapInArrow(plain, T.StructType([kind, kinds, clean, T.StructField("host", T.LongType())])))
+    sizes = converted.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.length("clean")).alias("chars"))
     hot = cut_lineage(sizes.select("host", F.ceil(F.greatest(F.col("n") / shard_pages, F.col("chars") / shard_chars)).alias("parts")).where("parts > 1"))
     n_hot = hot.limit(broadcast_hosts + 1).count()
     if n_hot <= broadcast_hosts:
         hot = F.broadcast(hot)
-    placed = pages_of.join(hot, "host", "left")
-    types = [pa.int64() if isinstance(kind.dataType, T.LongType) else pa.int32() if isinstance(kind.dataType, T.IntegerType) else pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
+    placed = converted.join(hot, "host", "left")
+    id_type = pa.int64() if isinstance(kind.dataType, T.LongType) else pa.int32() if isinstance(kind.dataType, T.IntegerType) else pa.string()
+    types = [id_type, pa.list_(pa.string()), pa.string(), pa.string(), pa.int32()]
+
+    def columns(ids: list, met: list, texts: list, done: Iterator[tuple[str, int]]) -> list[pa.Array]:
+        out = [(i, k, t, *(next(done) if t is not None else (None, 0))) for i, k, t in zip(ids, met, texts, strict=True)]
+        return [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)]
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
-        for _, group in groupby(rows(), key=lambda r: r[2:]):
-            yield list(group)
-
-    def columns(ids: list, texts: list, done: Iterator[tuple]) -> list[pa.Array]:
-        out = [(i, *next(done)) if t is not None else (i, [], None, None, 0) for i, t in zip(ids, texts, strict=True)]
-        return [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, types, strict=True)]
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in groups(batches):
-            texts = [r[1] for r in held]
-            yield pa.RecordBatch.from_arrays(columns([r[0] for r in held], texts, iter(_clean_shard([t for t in texts if t is not None], length, pages))), names=schema.names)
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in groups(batches):
-            each = window_hashes([_plain(r[1])[1] for r in held if r[1] is not None], length)
-            found, n = np.unique(np.concatenate([np.unique(h) for h in each] or [np.empty(0, np.int64)]), return_counts=True)
-            for k in range(0, len(found), 100_000):
-                h = found[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), held[0][2])), pa.array(np.full(len(h), held[0][3])), pa.array(h), pa.array(n[k : k + 100_000])], names=["host", "shard", "window", "n"])
+        for _, group in groupby(rows(), key=lambda r: r[3]):
+            ids, met, texts, _ = zip(*group, strict=True)
+            yield pa.RecordBatch.from_arrays(columns(ids, met, texts, iter(_unique_of_host([t for t in texts if t is not None], length, pages))), names=schema.names)
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
+            held: dict[tuple, list[np.ndarray]] = {}
+            for key, (_, a) in zip(keys, window_hashes(batch.column(0).to_pylist(), length), strict=True):
+                held.setdefault(key, []).append(a)
+            for (h, part), each in held.items():
+                found, n = _counted(each)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), h)), pa.array(np.full(len(found), part)), pa.array(found), pa.array(n)], names=["host", "shard", "value", "n"])
+
+    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = right.column("value").to_numpy()
+        texts = [t for t in left.column("clean").to_pylist() if t is not None] if len(known) else []
+        found, n = _counted([h[np.isin(a, known)] for h, a in window_hashes(texts, length)])
+        key = [left.column(c)[0].as_py() if left.num_rows else 0 for c in ("host", "shard")]
+        return pa.table([pa.array(np.full(len(found), key[0], np.int64)), pa.array(np.full(len(found), key[1], np.int64)), pa.array(found), pa.array(n)], names=["host", "shard", "value", "n"])
 
     def marked(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("t").to_pylist()
-        done = iter(_clean_part([t for t in texts if t is not None], length, right.column("window").to_numpy()))
-        return pa.Table.from_arrays(columns(left.column(id_col).to_pylist(), texts, done), names=schema.names)
+        texts = left.column("clean").to_pylist()
+        done = iter(_unique_of_part([t for t in texts if t is not None], length, right.column("value").to_numpy()))
+        return pa.Table.from_arrays(columns(left.column(id_col).to_pylist(), left.column("kinds").to_pylist(), texts, done), names=schema.names)
+
+    def often(counts: DataFrame) -> DataFrame:
+        """Values on enough pages of the host, for each shard that holds them."""
+        summed = counts.groupBy("host", "shard", "value").agg(F.sum("n").alias("n"))
+        return summed.withColumn("n", F.sum("n").over(Window.partitionBy("host", "value"))).where(F.col("n") >= pages)
 
-    cold = placed.where("parts IS NULL").select(id_col, "t", "host")
+    cold = placed.where("parts IS NULL").select(id_col, "kinds", "clean", "host")
     out = cold.repartition("host").sortWithinPartitions("host").mapInArrow(whole, schema)
     if not n_hot:
         return out
-    parted = placed.where("parts IS NOT NULL").select(id_col, "t", "host", F.pmod(F.xxhash64(id_col, "t"), F.col("parts")).alias("shard"))
-    counted = parted.repartition("host", "shard").sortWithinPartitions("host", "shard").mapInArrow(windows, "host long, shard long, window long, n long")
-    common = counted.withColumn("n", F.sum("n").over(Window.partitionBy("host", "window"))).where(F.col("n") >= pages)
+    parted = placed.where("parts IS NOT NULL").select(id_col, "kinds", "clean", "host", F.pmod(F.xxhash64(id_col, "clean"), F.col("parts")).alias("shard"))
+    counts = "host long, shard long, value long, n long"
+    shared = often(parted.where("clean IS NOT NULL").select("clean", "host", "shard").mapInArrow(anchors, counts))
+    common = often(parted.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInArrow(windows, counts))
     return out.unionAll(parted.groupBy("host", "shard").cogroup(common.groupBy("host", "shard")).applyInArrow(marked, schema))
