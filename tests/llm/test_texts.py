@@ -232,8 +232,12 @@ def test_cut_values(spark):
     rows = [(k, "a", "Title " + str(1900 + k), long(rng.randint(5, 40)) + ".") for k in range(60)]
     rows += [(100 + k, "a", "Whole title", (long(40) + ".")[:80]) for k in range(20)]
     rows += [(200, "b", "A guide to", "Ends. Keywords: a, b"), (201, "b", "Cut tit…", "First.\nContact: the desk"), (202, "b", "Maps (19", "Text.\nhttps://a.example/list"), (203, None, None, " "), (204, "b", "Charter of colle", "The collection [more]")]
+    # what the table's own values teach: words that no title ends with, closing lines and notes
+    rows += [(300 + k, "c", f"A guide to maps of {1000 + k}", f"One text.\nContact: the {k} desk") for k in range(160)] + [(500 + k, "c", None, f"Text {k}.\nhttps://a.example/{k}") for k in range(9)] + [(600 + k, "c", None, "mirror copy") for k in range(9)]
+    rows += [(700, "c", None, "Text 1.\nThe mirror copy and"), (701, "c", "The desk", "A text of three words here")]
     df = spark.createDataFrame(rows, "record_id long, provider string, title string, description string")
     got = {(r.row_id, r.field_name): r.how for r in cuts.cut_values([("records", df, "record_id", ("title",), ("description",))]).collect()}
+    assert all(got[k, "description"] is None for k in (*range(300, 460), *range(500, 509), *range(600, 609))) and got[700, "description"] == got[701, "description"] == "open" and got[701, "title"] is None
     cut = [k for k in range(100, 120) if not dict((r[0], r[3]) for r in rows)[k].endswith(".")]
     assert cut and all(got[k, "description"] == "limit" for k in cut) and all(got[k, "description"] is None for k in range(60))
     assert [got[200, "title"], got[201, "title"], got[202, "title"], got[204, "title"], got[204, "description"]] == ["open", "sign", "open", "open", "sign"]
@@ -247,7 +251,7 @@ def test_endings_of_long_last_lines(spark):
     """A last line, and a title's brackets, are read whole, however long."""
     words = ", ".join(f"word{k}" for k in range(60))
     half = "and so it goes on " * 13
-    rows = [(1, "p", "A note", f"First line.\nKeywords: {words}"), (2, "p", "A note", f"This is one (long) line that was cut and holds, far on, {words[:30]}, xlabel: {half}"[:-1] + " nowher"), (3, "p", f"Open (list {'of maps ' * 40}and views", "Done."), (4, "p", f"List (maps {'of towns ' * 40}) 1955", "Done.")]
+    rows = [(10 + k, "p", None, f"Line.\nKeywords: a{k}") for k in range(8)] + [(1, "p", "A note", f"First line.\nKeywords: {words}"), (2, "p", "A note", f"This is one (long) line that was cut and holds, far on, {words[:30]}, xlabel: {half}"[:-1] + " nowher"), (3, "p", f"Open (list {'of maps ' * 40}and views", "Done."), (4, "p", f"List (maps {'of towns ' * 40}) 1955", "Done.")]
     df = spark.createDataFrame(rows, "record_id long, provider string, title string, description string")
     got = {(r.row_id, r.field_name): r.how for r in cuts.cut_values([("records", df, "record_id", ["title"], ["description"])]).collect()}
     assert got[1, "description"] is None and got[2, "description"] == "open" and got[3, "title"] == "open" and got[4, "title"] is None

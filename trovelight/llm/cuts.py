@@ -1,8 +1,9 @@
 """Texts cut off by a field limit or in transfer, and how often each source cuts them.
 
 Per source and column the length histograms, in characters and in bytes, are tested for spikes;
-values of a spike's length that don't end like a whole text are cut. Off the spikes the ending
-alone decides.
+values of a spike's length that don't end like a whole text are cut at the limit. Values cut in
+transfer lie at no spike. For them the table's own endings tell: which words no title ends with,
+and which closing lines and notes end without a sign.
 """
 
 from __future__ import annotations
@@ -22,11 +23,9 @@ SIGN = r"(?i)(?:…|\.\.\.|\[(?:more|mehr|suite|más|\.\.\.|…)\]|â€¦|вЂ
 SENTENCE_END = r"[.!?。！？؟]['\"”“»›’)\]*_]*$"
 #: A construct that closes: a bracket, a tag, a code fence, a table, a formula, an entity.
 CLOSER = r"(?:[)\]}>|$]|```|={3,}|\\[\])])$"
-#: A closing line: an address, a label with its values, a place in a set.
-CLOSING_LINE = r"^[-\s]*(?:(?:https?|ftp|magnet):\S+|www\.\S+|\S+@\S+|\p{L}[\p{L} _-]{0,24}:(?:\s.*)?|\p{L}+ \d+ \p{L}+ \d+)$"
-# Words after which no title ends.
-OPEN_WORDS = "a an and by des der die du en et for from in la las le les los mit of on or para por pour según the to und y über с и в для"
-_OPEN_END = rf"(?i)(?:[\s,](?:{'|'.join(OPEN_WORDS.split())})|[,;&(\[–-])$"
+#: A token that is an address, whatever it names.
+ADDRESS = r"^(?:(?:https?|ftp|magnet):|www\.)\S+$|^\S+@\S+$"
+_OPEN_SIGN = r"[,;&(\[–-]$"
 
 
 def _tail(c: Column) -> Column:
@@ -59,10 +58,34 @@ def spikes(values: DataFrame, least: int = 8, times: float = 3.0, around: int =
 
 def _word_state(word: Column, context: Column) -> Column:
     """``known`` if the context holds the word, ``begun`` if it holds only longer words that begin so."""
-    alone, more = r"(?<![\p{L}\p{M}\p{N}])", r"[\p{L}\p{M}\p{N}]"
-    known = F.rlike(context, F.concat(F.lit(alone), word, F.lit(f"(?!{more})")))
-    begun = F.rlike(context, F.concat(F.lit(alone), word, F.lit(more)))
-    return F.when((word == "") | ~F.contains(context, word), None).when(known, "known").when(begun, "begun")
+    held = F.split(context, r"[^\p{L}\p{M}\p{N}]+")
+    return F.when((word == "") | ~F.contains(context, word), None).when(F.array_contains(held, word), "known").when(F.exists(held, lambda x: F.startswith(x, word)), "begun")
+
+
+def _learned(judged: DataFrame, least: int, frequent: int, note_words: int) -> DataFrame:
+    """What the values' own endings teach: ``table_name``, ``field_name``, ``is_title`` and ``key``.
+
+    For titles, the words that at least ``frequent`` distinct titles hold and fewer than one in
+    ``frequent`` of those ends with off the spikes. For texts, the first tokens of last lines of
+    which at least ``least`` distinct ones occur and fewer than half end with a sign; of notes, texts
+    of at most ``note_words`` words, repeated ones count each time.
+    """
+    title = F.col("is_title")
+    note = F.col("value").rlike(rf"^\s*\S+(?:[^\S\n]+\S+){{0,{note_words - 1}}}\s*$")
+    h = F.when(title, 0).when(note, F.xxhash64("row_id")).otherwise(F.xxhash64("value"))
+    distinct = judged.where("NOT sign").groupBy("table_name", "field_name", "is_title", F.when(title, F.col("value")).alias("value"), "last", "opener", h.alias("h")).agg(F.bool_and("at_limit").alias("at_limit"), F.bool_or("ended").alias("ended"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
+    ends = (F.col("last") != "") & ~F.col("at_limit")
+    told = F.when(title, F.transform(words, lambda w: F.struct(w.alias("key"), (ends & (w == F.col("last"))).cast("int").alias("hit")))).otherwise(F.array(F.struct(F.col("opener").alias("key"), F.col("ended").cast("int").alias("hit"))))
+    total = distinct.select("table_name", "field_name", "is_title", F.explode(told).alias("x")).groupBy("table_name", "field_name", "is_title", "x.key").agg(F.count("*").alias("n"), F.sum("x.hit").alias("hit"))
+    kept = F.when(title, (F.col("n") >= frequent) & (F.col("hit") > 0) & (F.col("hit") * frequent < F.col("n"))).otherwise((F.col("n") >= least) & (F.col("hit") * 2 < F.col("n")))
+    return total.where(kept).select("table_name", "field_name", "is_title", "key")
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """``df`` written, and broadcast if it has at most ``most`` rows."""
+    df = cut_lineage(df)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def cut_values(
@@ -71,19 +94,26 @@ def cut_values(
     source_col: str = "provider",
     least: int = 8,
     times: float = 3.0,
+    frequent: int = 150,
     note_words: int = 3,
-    broadcast_sources: int = 20_000,
+    broadcast_rows: int = 20_000,
 ) -> DataFrame:
     """Every value with its verdict: ``table_name``, ``row_id``, ``source``, ``field_name`` and ``how``.
 
-    ``tables``: (name, table, id column, title columns, text columns). ``how`` is ``sign`` (a mark
-    such as an ellipsis ends it), ``limit`` (it has a spike's length and no whole ending), ``open``
-    (its last sentence or bracket doesn't end) or null for a whole value. Null and blank values
-    have no row. Whole are: texts that end a sentence, a bracket or a construct of markup; closing
-    lines such as keywords, contacts and links; notes of at most ``note_words`` words in small
-    letters; titles that stop at no limit, no comma, no word like *and*, and within no word that the
-    record's texts hold in full. A null source is a
-    source of its own. The spikes are broadcast for up to ``broadcast_sources`` sources, else joined by
+    ``tables``: (name, table, id column, title columns, text columns). ``how`` is
+
+    * ``sign``: a mark such as an ellipsis ends it;
+    * ``limit``: it has a spike's length and no whole ending;
+    * ``open``: off the spikes, it ends as whole values of its field don't;
+    * null: a whole value.
+
+    Whole are texts that end a sentence, a bracket or a construct of markup, and those whose last
+    line begins like a closing line or note, which the field's values teach (see :func:`_learned`).
+    Titles are whole where they end a sentence, bracket or number or a word that the record's texts
+    hold in full. Off the spikes a title is open only with evidence: a comma or the like, a bracket
+    never closed, a word that titles hold often but don't end with, or a part of a word that the
+    record's texts hold in full. Null and blank values have no row. A null source is a source of its
+    own. Spikes and learned endings are broadcast up to ``broadcast_rows`` rows, else joined by
     shuffle. Repeated ids are rows of their own; other columns are ignored.
     """
     parts = []
@@ -94,25 +124,29 @@ def cut_values(
             parts += [df.select(F.lit(name).alias("table_name"), F.col(id_col).cast("long").alias("row_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.lit(f).alias("field_name"), F.lit(is_title).alias("is_title"), F.col(f).alias("value"), context.alias("context")) for f in fields]
     values = reduce(DataFrame.unionByName, parts).where(F.col("value").rlike(r"\S"))
 
-    tail = values.select("*", _tail(F.col("value")).alias("t")).withColumns({"line": F.substring_index(_trimmed(F.col("value")), "\n", -1), "last": F.when(F.col("is_title"), F.regexp_extract("t", r"([\p{L}\p{M}]{2,})$", 1)).otherwise("")})
-    tail = tail.withColumn("word", _word_state(F.col("last"), F.col("context")))
-    note = F.col("value").rlike(rf"^\s*[\p{{Ll}}\d]\S*(?:[^\S\n]+\S+){{0,{note_words - 1}}}\s*$")
+    title = F.col("is_title")
+    tail = values.select("*", _tail(F.col("value")).alias("t"))
+    token = F.lower(F.regexp_extract(F.substring_index(_trimmed(F.col("value")), "\n", -1), r"(\S+)", 1))
+    last = F.regexp_extract("t", r"([\p{L}\p{M}]+)$", 1)
+    found = tail.withColumns({
+        "sign": F.col("t").rlike(SIGN), "ended": F.col("t").rlike(SENTENCE_END) | (F.col("t").rlike(CLOSER) & ~title),
+        "word": F.when(title, last).otherwise(""), "last": F.when(title, F.lower(last)).otherwise(""), "opener": F.when(title, "").when(token.rlike(ADDRESS), "://").otherwise(token),
+    })
+    lengths = _small(spikes(found.where("NOT sign").select("source", "field_name", "value"), least, times).groupBy("source", "field_name").agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(u) for u in ("chars", "bytes")]), broadcast_rows)
+    at_limit = F.coalesce(F.array_contains("chars", F.length("value")) | F.array_contains("bytes", F.octet_length("value")), F.lit(False))
+    judged = found.join(lengths, ["source", "field_name"], "left").withColumn("at_limit", at_limit)
+    learned = _small(_learned(judged, least, frequent, note_words), broadcast_rows).withColumn("taught", F.lit(True))
+    known = judged.withColumn("key", F.when(title, F.col("last")).otherwise(F.col("opener"))).join(learned, ["table_name", "field_name", "is_title", "key"], "left")
+
+    taught = F.col("taught").isNotNull()
+    state = F.when(title & (F.length("word") > 1), _word_state(F.col("word"), F.col("context")))
     held = F.translate("value", FULL_WIDTH, HALF_WIDTH)  # brackets may open long before the end
     balanced = F.length(F.regexp_replace(held, r"[^(\[]", "")) <= F.length(F.regexp_replace(held, r"[^)\]]", ""))
-    judged = tail.select(
-        "table_name", "row_id", "source", "field_name", "is_title", "value",
-        F.col("t").rlike(SIGN).alias("sign"),
-        F.when(F.col("is_title"), F.col("t").rlike(SENTENCE_END) | F.col("t").rlike(r"[)\]]$") | F.col("t").rlike(r"(?:\s\d{1,4}|[–-]\d{4})$") | (F.coalesce("word", F.lit("")) == "known"))
-        .otherwise(F.col("t").rlike(SENTENCE_END) | F.col("t").rlike(CLOSER) | note | F.col("line").rlike(CLOSING_LINE)).alias("whole"),
-        F.when(F.col("is_title"), F.col("t").rlike(_OPEN_END) | ~balanced | (F.coalesce("word", F.lit("")) == "begun")).otherwise(~note).alias("open"),
-    )
-    found = spikes(judged.where("NOT sign").select("source", "field_name", "value"), least, times)
-    lengths = cut_lineage(found.groupBy("source", "field_name").agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(u) for u in ("chars", "bytes")]))
-    if lengths.limit(broadcast_sources + 1).count() <= broadcast_sources:
-        lengths = F.broadcast(lengths)
-    at_limit = F.coalesce(F.array_contains("chars", F.length("value")) | F.array_contains("bytes", F.octet_length("value")), F.lit(False))
-    how = F.when(F.col("sign"), "sign").when(~F.col("whole") & at_limit, "limit").when(~F.col("whole") & F.col("open"), "open")
-    return judged.join(lengths, ["source", "field_name"], "left").select("table_name", "row_id", "source", "field_name", how.alias("how"))
+    end = F.col("t").rlike(r"[)\]]$") | F.col("t").rlike(r"(?:\s\d{1,4}|[–-]\d{4})$")
+    whole = F.when(title, ~taught & (F.col("ended") | end | (F.coalesce("state", F.lit("")) == "known"))).otherwise(F.col("ended") | taught)
+    is_open = F.when(title, taught | F.col("t").rlike(_OPEN_SIGN) | ~balanced | (F.coalesce("state", F.lit("")) == "begun")).otherwise(F.lit(True))
+    how = F.when(F.col("sign"), "sign").when(~whole & F.col("at_limit"), "limit").when(~whole & is_open, "open")
+    return known.withColumn("state", state).select("table_name", "row_id", "source", "field_name", how.alias("how"))
 
 
 def cut_rates(verdicts: DataFrame) -> DataFrame:
