@@ -90,32 +90,40 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
     return m
 
 
-def window_hashes(texts: list[str], length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Of each text the 64-bit hashes of its windows of ``length`` tokens (a power of two), by place, and each window's anchor.
+class Windows:
+    """Windows of ``length`` tokens (a power of two) of some texts, none across two texts.
 
-    The anchor is the least hash of the half as long windows inside a window: equal windows have
-    equal anchors, and neighbouring ones mostly share theirs, so a page has few distinct ones.
+    Of each: ``page``, the text's place; ``at``, its place in the joined stream; ``value``, its 64-bit
+    hash; ``anchor``, the least hash of the half as long windows inside it. Equal windows have equal
+    anchors and neighbouring ones mostly share theirs, so a page has few distinct ones.
     """
-    tokens, sizes, names = _streams(texts)
-    codes = np.fromiter((_token_hash(w) for w in names), np.uint64, len(names))
-    half = _doubled(codes[tokens], length // 2)
-    whole = _doubled(half, length, length // 2).view(np.int64)
-    out, at = [], 0
-    for n in sizes:
-        k = max(0, n - length + 1)
-        inside = half[at : at + max(0, n - length // 2 + 1)]
-        out.append((whole[at : at + k], _least(inside, length // 2 + 1).view(np.int64) if k else whole[:0]))
-        at += n
-    return out
-
-
-def _covered(common: np.ndarray, n: int, length: int) -> np.ndarray:
-    """Which of ``n`` tokens lie in a window marked in ``common``."""
-    edge = np.zeros(n + 1, np.int64)
-    hit = np.flatnonzero(common)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, hit + length, -1)
-    return np.cumsum(edge)[:n] > 0
+
+    def __init__(self, texts: list[str], length: int):
+        tokens, self.sizes, names = _streams(texts)
+        pages = np.repeat(np.arange(len(texts)), self.sizes)
+        self.n = len(tokens)
+        codes = np.fromiter((_token_hash(w) for w in names), np.uint64, len(names))
+        half = _doubled(codes[tokens], length // 2)
+        count = max(0, self.n - length + 1)
+        self.at = np.flatnonzero(pages[:count] == pages[length - 1 :]) if count else np.empty(0, np.int64)
+        self.page = pages[self.at]
+        self.value = _doubled(half, length, length // 2).view(np.int64)[self.at]
+        self.anchor = _least(half, length // 2 + 1).view(np.int64)[self.at] if count else self.value
+
+    def by_page(self, marked: np.ndarray, length: int) -> list[np.ndarray]:
+        """Which tokens of each text lie in a marked window."""
+        edge = np.zeros(self.n + 1, np.int64)
+        np.add.at(edge, self.at[marked], 1)
+        np.add.at(edge, self.at[marked] + length, -1)
+        return np.split(np.cumsum(edge)[: self.n] > 0, np.cumsum(self.sizes)[:-1])
+
+
+def _counted(value: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values and on how many pages each is."""
+    order = np.lexsort((page, value))
+    v, p = value[order], page[order]
+    fresh = np.r_[True, (v[1:] != v[:-1]) | (p[1:] != p[:-1])] if len(v) else np.empty(0, bool)
+    return np.unique(v[fresh], return_counts=True)
 
 
 def _without(text: str, gone: np.ndarray) -> tuple[str, int]:
@@ -140,18 +148,10 @@ def _unique_of_host(texts: list[str], length: int, pages: int) -> list[tuple[str
 
 def _unique_of_part(texts: list[str], length: int, common: np.ndarray) -> list[tuple[str, int]]:
     """The same of part of a host, whose windows on enough pages have the hashes ``common``."""
-    if not len(common):
+    if not len(common) or not texts:
         return [(t, 0) for t in texts]
-    out = []
-    for t, (h, _) in zip(texts, window_hashes(texts, length), strict=True):
-        hit = np.isin(h, common)
-        out.append(_without(t, _covered(hit, len(h) + length - 1, length)) if hit.any() else (t, 0))
-    return out
-
-
-def _counted(each: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values and on how many pages each is."""
-    return np.unique(np.concatenate([np.empty(0, np.int64), *[np.unique(h) for h in each]]), return_counts=True)
+    w = Windows(texts, length)
+    return [_without(t, c) for t, c in zip(texts, w.by_page(np.isin(w.value, common), length), strict=True)]
 
 
 def clean_markup(records: DataFrame, *, id_col: str = "record_id", text_col: str = "description", host_col: str = "details_url", fallback_col: str = "provider", length: int = 32, pages: int = 3, shard_pages: int = 4_000, shard_chars: int = 8_000_000, broadcast_hosts: int = 200_000) -> DataFrame:
@@ -166,7 +166,7 @@ def clean_markup(records: DataFrame, *, id_col: str = "record_id", text_col: str
     ``shard_pages`` pages and ``shard_chars`` characters then has a suffix array. A larger one is
     split by a hash of the page, so it never gathers in one task, and the same windows are found by
     counts over the whole host: first of the pages' anchors, which are few (see
-    :func:`window_hashes`), then of the windows whose anchor is on enough pages. Sums are combined
+    :class:`Windows`), then of the windows whose anchor is on enough pages. Sums are combined
     map-side. So the result depends neither on the split nor on a host's size. The sizes of up to
     ``broadcast_hosts`` split hosts are broadcast, of more joined by shuffle.
 
@@ -211,18 +211,21 @@ def clean_markup(records: DataFrame, *, id_col: str = "record_id", text_col: str
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True))
-            held: dict[tuple, list[np.ndarray]] = {}
-            for key, (_, a) in zip(keys, window_hashes(batch.column(0).to_pylist(), length), strict=True):
-                held.setdefault(key, []).append(a)
-            for (h, part), each in held.items():
-                found, n = _counted(each)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), h)), pa.array(np.full(len(found), part)), pa.array(found), pa.array(n)], names=["host", "shard", "value", "n"])
+            w = Windows(batch.column(0).to_pylist(), length)
+            host, shard = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            part = np.unique(np.stack([host, shard]), axis=1, return_inverse=True)[1].ravel()
+            for k in np.unique(part[w.page]):
+                here = part[w.page] == k
+                found, n = _counted(w.anchor[here], w.page[here])
+                first = int(np.argmax(part == k))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), host[first])), pa.array(np.full(len(found), shard[first])), pa.array(found), pa.array(n)], names=["host", "shard", "value", "n"])
 
     def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         known = right.column("value").to_numpy()
         texts = [t for t in left.column("clean").to_pylist() if t is not None] if len(known) else []
-        found, n = _counted([h[np.isin(a, known)] for h, a in window_hashes(texts, length)])
+        w = Windows(texts, length)
+        hit = np.isin(w.anchor, known)
+        found, n = _counted(w.value[hit], w.page[hit])
         key = [left.column(c)[0].as_py() if left.num_rows else 0 for c in ("host", "shard")]
         return pa.table([pa.array(np.full(len(found), key[0], np.int64)), pa.array(np.full(len(found), key[1], np.int64)), pa.array(found), pa.array(n)], names=["host", "shard", "value", "n"])
 
