@@ -188,3 +188,15 @@ def test_subjects(spark):
     assert subjects.assign(d.limit(0), model).count() == 0
     assert subjects.assign(d, subjects.train(d, lab.limit(0), names, steps=2, buckets=64)).count() == 0
     assert subjects.composition(subjects.assign(d, model), d.selectExpr("*", "CAST(NULL AS string) AS source")).count() <= 2
+
+
+def test_many_tied_values_take_no_time():
+    import time
+
+    options = [[((3, 0, -k), f"v{k}") for k in range(4096)] for _ in range(4)]
+    began = time.perf_counter()
+    assert survivors.branch_and_bound(options, [4095] * 4) == [0] * 4 and time.perf_counter() - began < 0.5
+    lone = [[((3, k, 0), None if k % 2 else f"v{(k * 7 + b) % 4096}") for k in range(4096)] for b in range(4)]
+    began = time.perf_counter()
+    survivors.branch_and_bound(lone, [1] * 4)
+    assert time.perf_counter() - began < 1

@@ -45,6 +45,11 @@ def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.assemble(survivors.survivors(records), records)
 
 
+def p5_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """The record that supplies each bundle of each group."""
+    return survivors.survivors(table(spark, folder, "records"))
+
+
 def _cut_values(spark: SparkSession, folder: str) -> DataFrame:
     records, inspections = table(spark, folder, "records"), table(spark, folder, "inspections")
     return cuts.cut_values([("records", records, "record_id", ("title",), ("description",)), ("inspections", inspections, "inspection_id", (), ("comment",))])
@@ -115,18 +120,49 @@ WITH t AS (
 """
 
 _FACETS = ("categories", "content_kinds", "media_kinds", "languages", "architectures", "codecs")
-_SQL_COMPLETENESS = " + ".join(
-    [f"(trim(coalesce({c}, ''), E' \\t\\n\\r') <> '')::INT" for c in ("description", "infohash_v1", "infohash_v2", "details_url", "magnet_uri", "torrent_url")]
-    + [f"({c} IS NOT NULL)::INT" for c in ("size_bytes", "published_at", "seeders", "leechers")]
-    + [f"len(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda x: lower(trim(x, E' \\t\\n\\r'))), lambda x: regexp_full_match(x, '[a-z0-9_-]{{1,64}}'))))" for c in _FACETS]
-    + ["len(list_distinct(list_filter(list_transform(coalesce(extensions, []), lambda x: regexp_replace(lower(trim(x, E' \\t\\n\\r')), '^\\.', '')), lambda x: regexp_full_match(x, '[a-z0-9]{1,16}'))))", "len(list_distinct(list_filter(coalesce(resolutions, []), lambda x: x BETWEEN 100 AND 8640)))"]
-)
+_TRIM = "E' \\t\\n\\r'"
+
+
+def _sql_values(c: str) -> str:
+    """The number of an array column's clean values."""
+    if c == "resolutions":
+        return "len(list_distinct(list_filter(coalesce(resolutions, []), lambda x: x BETWEEN 100 AND 8640)))"
+    bare, rule = f"lower(trim(x, {_TRIM}))", "[a-z0-9_-]{1,64}"
+    if c == "extensions":
+        bare, rule = f"regexp_replace({bare}, '^\\.', '')", "[a-z0-9]{1,16}"
+    return f"len(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda x: {bare}), lambda x: regexp_full_match(x, '{rule}'))))"
+
+
+def _sql_filled(c: str) -> str:
+    if c in (*_FACETS, "extensions", "resolutions"):
+        return f"({_sql_values(c)} > 0)::INT"
+    if c in ("size_bytes", "published_at", "seeders", "leechers"):
+        return f"({c} IS NOT NULL)::INT"
+    return f"(trim(coalesce({c}, ''), {_TRIM}) <> '')::INT"
+
+
+_SQL_COMPLETENESS = " + ".join([_sql_filled(c) for c in ("description", "infohash_v1", "infohash_v2", "details_url", "magnet_uri", "torrent_url", "size_bytes", "published_at", "seeders", "leechers")] + [_sql_values(c) for c in (*_FACETS, "extensions", "resolutions")])
+_SQL_RANKS = ", ".join(f"({' + '.join(map(_sql_filled, fields))}) AS {b}" for b, fields in survivors.BUNDLES.items())
+
+# every value of the second hash that a group names, with the best row of each bundle that agrees with it; the best of these
+_SQL_BUNDLES = f"""
+WITH r AS (
+  SELECT lower(trim(infohash_v1, {_TRIM})) AS h, lower(trim(infohash_v2, {_TRIM})) AS d2, record_id, fetched_at, coalesce(epoch_us(fetched_at), -4611686018427387904) AS us, {_SQL_COMPLETENESS} AS completeness, {_SQL_RANKS}
+  FROM records
+), g AS (SELECT *, CASE WHEN regexp_full_match(d2, '[0-9a-f]{{64}}') THEN d2 END AS d FROM r WHERE regexp_full_match(h, '[0-9a-f]{{40}}') QUALIFY count(*) OVER (PARTITION BY h) > 1
+), base AS (SELECT h, count(*) AS n_records, max_by(record_id, row(completeness, us, -record_id)) AS record_id FROM g GROUP BY h
+), named AS (SELECT DISTINCT h, d AS v FROM g WHERE d IS NOT NULL UNION ALL SELECT h, NULL FROM g GROUP BY h HAVING count(d) = 0
+), best AS (
+  SELECT g.h, v, {", ".join(f"max(row({b}, us, -record_id)) AS {b}" for b in survivors.BUNDLES)} FROM g JOIN named ON g.h = named.h AND (g.d IS NULL OR g.d IS NOT DISTINCT FROM v) GROUP BY g.h, v
+), taken AS (SELECT h, max(row({" + ".join(f"{b}[1]" for b in survivors.BUNDLES)}, {", ".join(survivors.BUNDLES)})) AS m FROM best GROUP BY h)
+SELECT base.h AS infohash_v1, record_id, n_records, {", ".join(f"-(m[{k}][3]) AS {b}_from" for k, b in enumerate(survivors.BUNDLES, 2))} FROM base JOIN taken USING (h)
+"""
 
 QUERIES = {
     "p1_found": p1_found, "p1_unified": p1_unified, "p3_found": p3_found, "p3_restored": p3_restored,
     "p4_found": p4_found, "p4_clean": p4_clean,
     "p6_found": p6_found, "p6_rates": p6_rates,
-    "p5_found": p5_found, "p5_survivors": p5_survivors, "p7_found": p7_found, "p7_scores": p7_scores,
+    "p5_found": p5_found, "p5_survivors": p5_survivors, "p5_bundles": p5_bundles, "p7_found": p7_found, "p7_scores": p7_scores,
     "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
@@ -136,6 +172,7 @@ SQL = {
 WITH r AS (SELECT lower(trim(infohash_v1, E' \\t\\n\\r')) AS infohash_v1, record_id, fetched_at, {_SQL_COMPLETENESS} AS completeness FROM records)
 SELECT infohash_v1, record_id FROM r WHERE regexp_full_match(infohash_v1, '[0-9a-f]{{40}}')
 QUALIFY count(*) OVER (PARTITION BY infohash_v1) > 1 AND row_number() OVER (PARTITION BY infohash_v1 ORDER BY completeness DESC, fetched_at DESC, record_id) = 1""",
+    "p5_bundles": _SQL_BUNDLES,
     "p7_found": _SQL_TERMS + "SELECT record_id, term FROM tf JOIN counts USING (term) WHERE entries >= 2 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY entries, tf DESC, term) = 1",
     "p7_scores": _SQL_TERMS + """, total AS (SELECT sum(pow(len(terms), 0.75)) AS all_q FROM t WHERE len(terms) > 0)
 SELECT record_id, term, tf, entries, round(greatest(0, ln((tf * all_q) / (n * pow(n_r, 0.75)))), 6) AS ppmi FROM tf JOIN counts USING (term), total""",

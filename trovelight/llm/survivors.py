@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from trovelight.functions.facets import clean_facet, completeness
 from trovelight.functions.text import filled, info_hash
+from trovelight.session import cut_lineage
 
 #: Bundles of fields that hold together: an address with its swarm, a payload, a text, its facets.
 BUNDLES: Mapping[str, Sequence[str]] = {
@@ -35,30 +36,41 @@ def branch_and_bound(options: Sequence[Sequence[tuple[tuple, str | None]]], star
     An option is (rank, determined value); two options whose values differ, both given, exclude
     each other. A rank is (trust, tie-breakers...); trusts add up, and of equal sums the
     lexicographically greater list of ranks wins. ``start`` is an allowed choice, the first bound.
+
+    Of a bundle's options with the same value only the best can be taken. They are indexed by value:
+    once one is fixed, two options are left of each later bundle, so the search is linear in them.
     """
-    order = [sorted(range(len(o)), key=lambda k: o[k][0], reverse=True) for o in options]
-    ahead = [0] * (len(options) + 1)
-    for b in range(len(options) - 1, -1, -1):
-        ahead[b] = ahead[b + 1] + options[b][order[b][0]][0][0]
+    index: list[dict[str | None, int]] = []
+    for held in options:
+        best_of: dict[str | None, int] = {}
+        for k, (rank, value) in enumerate(held):
+            if value not in best_of or rank > held[best_of[value]][0]:
+                best_of[value] = k
+        index.append(best_of)
+    order = [sorted(x.values(), key=lambda k, o=o: o[k][0], reverse=True) for x, o in zip(index, options, strict=True)]
+    most = [o[x[0]][0] for x, o in zip(order, options, strict=True)]
+    ahead = [sum(r[0] for r in most[b:]) for b in range(len(options) + 1)]
     best = list(start)
     best_value = (sum(o[k][0][0] for o, k in zip(options, start, strict=True)), [o[k][0] for o, k in zip(options, start, strict=True)])
     chosen: list[int] = []
+    ranks: list[tuple] = []
 
     def go(b: int, trust: int, fixed: str | None) -> None:
         nonlocal best, best_value
         if b == len(options):
-            value = (trust, [o[k][0] for o, k in zip(options, chosen, strict=True)])
-            if value > best_value:
-                best, best_value = list(chosen), value
+            if (trust, ranks) > best_value:
+                best, best_value = list(chosen), (trust, list(ranks))
             return
-        for k in order[b]:
+        left = order[b] if fixed is None else sorted((index[b][v] for v in (fixed, None) if v in index[b]), key=lambda k: options[b][k][0], reverse=True)
+        for k in left:
             rank, value = options[b][k]
-            if trust + rank[0] + ahead[b + 1] < best_value[0]:
-                return  # sorted by trust: no later option does better
-            if value is None or fixed is None or value == fixed:
-                chosen.append(k)
-                go(b + 1, trust + rank[0], value or fixed)
-                chosen.pop()
+            if (trust + rank[0] + ahead[b + 1], [*ranks, rank, *most[b + 1 :]]) <= best_value:
+                return  # sorted by rank: no later option does better
+            chosen.append(k)
+            ranks.append(rank)
+            go(b + 1, trust + rank[0], value or fixed)
+            chosen.pop()
+            ranks.pop()
 
     go(0, 0, None)
     return best
@@ -152,14 +164,31 @@ def survivors(
     return best.select(F.lower(F.hex("h")).alias(hash_col), (-F.col("base.back")).cast(id_type).alias(id_col), "n_records", *[(-F.col(f"{b}.back")).cast(id_type).alias(f"{b}_from") for b in names])
 
 
-def assemble(chosen: DataFrame, records: DataFrame, *, hash_col: str = "infohash_v1", id_col: str = "record_id", bundles: Mapping[str, Sequence[str]] = BUNDLES) -> DataFrame:
+def _among(rows: DataFrame, key: str, ids: DataFrame, bits: int) -> DataFrame:
+    """The rows whose key may be among ``ids``: all that are, and few others.
+
+    A bitmap of the ids' hashes of at most ``2**bits`` bits is broadcast, whatever their number.
+    """
+    at = F.pmod(F.xxhash64(F.col(key)), F.lit(2**bits)) + 1
+    bitmap = ids.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bitmap"))
+    bit = F.bitmap_bit_position(at).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket")
+    return joined.where(F.getbit(byte, bit % 8) == 1).drop("_bucket", "_bitmap")
+
+
+def assemble(chosen: DataFrame, records: DataFrame, *, hash_col: str = "infohash_v1", id_col: str = "record_id", bundles: Mapping[str, Sequence[str]] = BUNDLES, filter_bits: int = 25) -> DataFrame:
     """The surviving records: each hash with every bundle's fields, from the record that supplies them.
 
-    A repeated id supplies the fields of one of its rows, the least by their text form.
+    Records that supply nothing are left out before the shuffle by a bitmap of at most
+    ``2**filter_bits`` bits. A repeated id supplies the fields of one of its rows, that of lowest hash.
     """
     present = {b: [f for f in fields if f in records.columns] for b, fields in bundles.items()}
     every = [f for fields in present.values() for f in fields]
-    wanted = chosen.select(hash_col, "n_records", F.explode(F.array(*[F.struct(F.lit(b).alias("bundle"), F.col(f"{b}_from").alias("from_id")) for b in present])).alias("x")).select(hash_col, "n_records", "x.*")
-    source = records.select(F.col(id_col).alias("from_id"), F.struct(*every).alias("row")).groupBy("from_id").agg(F.min_by("row", F.to_json("row")).alias("row"))
-    got = wanted.join(source, "from_id").groupBy(hash_col, "n_records").agg(*[F.max_by("row", F.when(F.col("bundle") == b, 1)).alias(b) for b in present])
-    return got.select(hash_col, "n_records", *[F.col(f"{b}.{f}").alias(f if f != hash_col else f"{f}_raw") for b, fields in present.items() for f in fields])
+    froms = [F.col(f"{b}_from") for b in present]
+    chosen = cut_lineage(chosen)
+    wanted = chosen.select(F.col(hash_col).alias("_h"), "n_records", F.explode(F.array_distinct(F.array(*froms))).alias("from_id"), *[c.alias(f"_{b}_from") for b, c in zip(present, froms, strict=True)])
+    rows = records.select(F.col(id_col).alias("from_id"), *[F.struct(*fields).alias(f"_{b}") for b, fields in present.items()], F.xxhash64(*every).alias("_order"))
+    got = wanted.join(_among(rows, "from_id", wanted, filter_bits), "from_id")
+    best = got.groupBy("_h", "n_records").agg(*[F.min_by(f"_{b}", F.when(F.col("from_id") == F.col(f"_{b}_from"), F.col("_order"))).alias(b) for b in present])
+    return best.select(F.col("_h").alias(hash_col), "n_records", *[F.col(f"{b}.{f}").alias(f if f != hash_col else f"{f}_raw") for b, fields in present.items() for f in fields])
