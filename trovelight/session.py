@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +34,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder made.
+    Only a local session (tests, a laptop) may leave that setting out: it gets a temporary folder,
+    removed at its end. On a cluster a folder of one machine would hold data that the others can't
+    read, so there a missing setting is an error.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="trovelight-"))
-    return named or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+        if not named:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="trovelight-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def written(df: DataFrame, name: str) -> str:
+    """The URI of a new folder in the shared one, with ``df`` as Parquet."""
+    root = shared_dir(df.sparkSession)
+    folder = f"{root if '://' in root or root.startswith('file:') else 'file://' + root}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
