@@ -138,7 +138,7 @@ def test_leaks(spark):
         return {tuple(w[i : i + 8]): i for i in range(len(w) - 7)}
 
     want = sorted((d, i) for d, t in docs for i, x in items if grams(t).keys() & grams(x).keys())
-    for more in ({}, {"shard_words": 50, "block_items": 2}):
+    for more in ({}, {"shard_words": 50, "block_chars": 100}):
         got = leakage.leaked_spans(df, idf, **more)
         assert sorted((r.doc_id, r.item_id) for r in got.collect()) == want
     spans = leakage.leaked_spans(df, idf).where("doc_id = 62").first()
@@ -200,3 +200,10 @@ def test_many_tied_values_take_no_time():
     began = time.perf_counter()
     survivors.branch_and_bound(lone, [1] * 4)
     assert time.perf_counter() - began < 1
+
+
+def test_removals_merge_over_items(spark):
+    spans = spark.createDataFrame([(1, 1, [0, 30], [8, 40]), (1, 2, [8, 35], [20, 50]), (1, 3, [0], [8]), (2, 1, [5], [13])], "doc_id int, item_id long, starts array<long>, ends array<long>")
+    got = {r.doc_id: (r.starts, r.ends, r.n_words) for r in leakage.removal_spans(spans).collect()}
+    assert got == {1: ([0, 30], [20, 50], 40), 2: ([5], [13], 8)}
+    assert leakage.removal_spans(spans.limit(0)).count() == 0

@@ -89,6 +89,11 @@ def p9_items(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaked_spans(table(spark, folder, "documents"), items), items)
 
 
+def p9_removals(spark: SparkSession, folder: str) -> DataFrame:
+    """How many words of each document to remove, over all items."""
+    return leakage.removal_spans(leakage.leaked_spans(table(spark, folder, "documents"), table(spark, folder, "eval_items"))).select("doc_id", "n_words")
+
+
 def _assigned(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return subjects.assign(docs, subjects.train(docs, table(spark, folder, "subject_labels"), table(spark, folder, "subjects")))
@@ -163,7 +168,7 @@ QUERIES = {
     "p4_found": p4_found, "p4_clean": p4_clean,
     "p6_found": p6_found, "p6_rates": p6_rates,
     "p5_found": p5_found, "p5_survivors": p5_survivors, "p5_bundles": p5_bundles, "p7_found": p7_found, "p7_scores": p7_scores,
-    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items,
+    "p8_ids": p8_ids, "p8_decoded": p8_decoded, "p9_found": p9_found, "p9_items": p9_items, "p9_removals": p9_removals,
     "p10_found": p10_found, "p10_composition": p10_composition,
 }
 
@@ -178,4 +183,11 @@ QUALIFY count(*) OVER (PARTITION BY infohash_v1) > 1 AND row_number() OVER (PART
 SELECT record_id, term, tf, entries, round(greatest(0, ln((tf * all_q) / (n * pow(n_r, 0.75)))), 6) AS ppmi FROM tf JOIN counts USING (term), total""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p9_found": _SQL_GRAMS + "SELECT doc_id, item_id FROM found",
+    "p9_removals": _SQL_GRAMS + """, hit AS (
+  SELECT doc_id, k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d) WHERE array_to_string(w[k:k+7], ' ') IN (SELECT g FROM ig)
+) SELECT doc_id, count(DISTINCT k + j) AS n_words FROM (SELECT doc_id, k, unnest(range(8)) AS j FROM hit) GROUP BY doc_id""",
+    "p9_items": _SQL_GRAMS + """, hit AS (
+  SELECT DISTINCT doc_id, item_id, k FROM (SELECT doc_id, k, array_to_string(w[k:k+7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS k FROM d)) JOIN ig USING (g)
+), words AS (SELECT doc_id, item_id, count(DISTINCT k + j) AS n FROM (SELECT *, unnest(range(8)) AS j FROM hit) GROUP BY ALL
+) SELECT i.item_id, count(DISTINCT doc_id) AS n_docs, coalesce(max(n), 0)::BIGINT AS most_words FROM i LEFT JOIN words USING (item_id) GROUP BY i.item_id""",
 }
