@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trovelight.functions.text import FULL_WIDTH, HALF_WIDTH, WHITESPACE
+from trovelight.functions.text import FULL_WIDTH, HALF_WIDTH
 from trovelight.session import cut_lineage
 
 # Signs that a text was cut, also as a wrong encoding leaves them.
@@ -25,28 +25,26 @@ SENTENCE_END = r"[.!?。！？؟]['\"”“»›’)\]*_]*$"
 CLOSER = r"(?:[)\]}>|$]|```|={3,}|\\[\])])$"
 #: A token that is an address, whatever it names.
 ADDRESS = r"^(?:(?:https?|ftp|magnet):|www\.)\S+$|^\S+@\S+$"
+# The characters Unicode calls White_Space.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _OPEN_SIGN = r"[,;&(\[–-]$"
 
 
-def _tail(c: Column) -> Column:
-    """The last characters, full-width forms as ASCII, without outer whitespace."""
-    return _trimmed(F.right(c, F.lit(240)))
-
-
-def _trimmed(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, FULL_WIDTH, HALF_WIDTH), f"{WHITESPACE}+$", "")
+def _halved(c: Column) -> Column:
+    """Full-width forms as ASCII."""
+    return F.when(F.octet_length(c) > F.length(c), F.translate(c, FULL_WIDTH, HALF_WIDTH)).otherwise(c)
 
 
 def spikes(values: DataFrame, least: int = 8, times: float = 3.0, around: int = 8) -> DataFrame:
     """Lengths at which a source's values pile up: ``source``, ``field_name``, ``unit``, ``length``.
 
-    ``values`` holds ``source``, ``field_name`` and ``value``. Distinct values count, so a text that is
+    ``values`` holds ``source``, ``field_name`` and of each value ``chars``, ``bytes`` and its hash ``v``. Distinct values count, so a text that is
     often repeated makes no spike. A length is a spike when at least ``least`` values have it and
     they are ``times`` as many as the mean of the ``around`` lengths on either side, the two next
     to it (a space trimmed after the cut) left out, and as each of the two lengths above it: beyond
     a limit values are few. The histogram is one row per length.
     """
-    distinct = values.groupBy("source", "field_name", F.length("value").alias("chars"), F.octet_length("value").alias("bytes"), F.xxhash64("value").alias("v")).agg(F.lit(1).alias("one"))
+    distinct = values.groupBy("source", "field_name", "chars", "bytes", "v").agg(F.lit(1).alias("one"))
     each = distinct.select("source", "field_name", F.explode(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("length")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("length")))).alias("x"))
     count = each.groupBy("source", "field_name", "x.unit", "x.length").agg(F.count("*").alias("n"))
     # each length tells its count to the lengths around it; -d is how far it lies above them
@@ -62,18 +60,17 @@ def _word_state(word: Column, context: Column) -> Column:
     return F.when((word == "") | ~F.contains(context, word), None).when(F.array_contains(held, word), "known").when(F.exists(held, lambda x: F.startswith(x, word)), "begun")
 
 
-def _learned(judged: DataFrame, least: int, frequent: int, note_words: int) -> DataFrame:
+def _learned(judged: DataFrame, least: int, frequent: int) -> DataFrame:
     """What the values' own endings teach: ``table_name``, ``field_name``, ``is_title`` and ``key``.
 
     For titles, the words that at least ``frequent`` distinct titles hold and fewer than one in
     ``frequent`` of those ends with off the spikes. For texts, the first tokens of last lines of
-    which at least ``least`` distinct ones occur and fewer than half end with a sign; of notes, texts
-    of at most ``note_words`` words, repeated ones count each time.
+    which at least ``least`` distinct ones occur and fewer than half end with a sign; repeated notes
+    count each time.
     """
     title = F.col("is_title")
-    note = F.col("value").rlike(rf"^\s*\S+(?:[^\S\n]+\S+){{0,{note_words - 1}}}\s*$")
-    h = F.when(title, 0).when(note, F.xxhash64("row_id")).otherwise(F.xxhash64("value"))
-    distinct = judged.where("NOT sign").groupBy("table_name", "field_name", "is_title", F.when(title, F.col("value")).alias("value"), "last", "opener", h.alias("h")).agg(F.bool_and("at_limit").alias("at_limit"), F.bool_or("ended").alias("ended"))
+    h = F.when(title, 0).when(F.col("note"), F.xxhash64("row_id")).otherwise(F.col("v"))
+    distinct = judged.where("NOT sign").groupBy("table_name", "field_name", "is_title", "value", "last", "opener", h.alias("h")).agg(F.bool_and("at_limit").alias("at_limit"), F.bool_or("ended").alias("ended"))
     words = F.array_distinct(F.regexp_extract_all(F.lower("value"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0)))
     ends = (F.col("last") != "") & ~F.col("at_limit")
     told = F.when(title, F.transform(words, lambda w: F.struct(w.alias("key"), (ends & (w == F.col("last"))).cast("int").alias("hit")))).otherwise(F.array(F.struct(F.col("opener").alias("key"), F.col("ended").cast("int").alias("hit"))))
@@ -125,28 +122,29 @@ def cut_values(
     values = reduce(DataFrame.unionByName, parts).where(F.col("value").rlike(r"\S"))
 
     title = F.col("is_title")
-    tail = values.select("*", _tail(F.col("value")).alias("t"))
-    token = F.lower(F.regexp_extract(F.substring_index(_trimmed(F.col("value")), "\n", -1), r"(\S+)", 1))
-    last = F.regexp_extract("t", r"([\p{L}\p{M}]+)$", 1)
-    found = tail.withColumns({
-        "sign": F.col("t").rlike(SIGN), "ended": F.col("t").rlike(SENTENCE_END) | (F.col("t").rlike(CLOSER) & ~title),
-        "word": F.when(title, last).otherwise(""), "last": F.when(title, F.lower(last)).otherwise(""), "opener": F.when(title, "").when(token.rlike(ADDRESS), "://").otherwise(token),
-    })
-    lengths = _small(spikes(found.where("NOT sign").select("source", "field_name", "value"), least, times).groupBy("source", "field_name").agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(u) for u in ("chars", "bytes")]), broadcast_rows)
-    at_limit = F.coalesce(F.array_contains("chars", F.length("value")) | F.array_contains("bytes", F.octet_length("value")), F.lit(False))
+    trimmed = values.select("*", F.rtrim(F.col("value"), F.lit(SPACES)).alias("trimmed"))
+    tail = trimmed.select("*", F.rtrim(_halved(F.right(F.col("trimmed"), F.lit(240))), F.lit(SPACES)).alias("t"), _halved(F.lower(F.regexp_extract(F.substring_index("trimmed", "\n", -1), r"(\S+)", 1))).alias("token"))
+    ended = tail.select("*", F.regexp_extract("t", r"([\p{L}\p{M}]+)$", 1).alias("word"), (F.col("t").rlike(SENTENCE_END) | F.when(title, F.col("t").rlike(r"[)\]]$") | F.col("t").rlike(r"(?:\s\d{1,4}|[–-]\d{4})$")).otherwise(F.col("t").rlike(CLOSER))).alias("ended"))
+    held = _halved(F.col("value"))  # brackets may open long before the end
+    loose = F.col("t").rlike(_OPEN_SIGN) | (F.length(F.regexp_replace(held, r"[^(\[]", "")) > F.length(F.regexp_replace(held, r"[^)\]]", "")))
+    # all that is read of the texts, once
+    found = cut_lineage(ended.select(
+        "table_name", "row_id", "source", "field_name", "is_title", "ended", F.length("value").alias("chars"), F.octet_length("value").alias("bytes"), F.xxhash64("value").alias("v"),
+        F.when(title, F.col("value")).alias("value"), F.col("t").rlike(SIGN).alias("sign"), F.when(title, F.lower("word")).otherwise("").alias("last"), F.when(title, "").when(F.col("token").rlike(ADDRESS), "://").otherwise(F.col("token")).alias("opener"),
+        (~title & F.col("value").rlike(rf"^\s*\S+(?:[^\S\n]+\S+){{0,{note_words - 1}}}\s*$")).alias("note"), F.when(title, loose).otherwise(F.lit(False)).alias("loose"),
+        F.when(title & ~F.col("ended") & (F.length("word") > 1), _word_state(F.col("word"), F.col("context"))).alias("state"),
+    ))
+    lengths = _small(spikes(found.where("NOT sign"), least, times).groupBy("source", "field_name").agg(*[F.collect_set(F.when(F.col("unit") == u, F.col("length"))).alias(f"{u}_limits") for u in ("chars", "bytes")]), broadcast_rows)
+    at_limit = F.coalesce(F.array_contains("chars_limits", F.col("chars")) | F.array_contains("bytes_limits", F.col("bytes")), F.lit(False))
     judged = found.join(lengths, ["source", "field_name"], "left").withColumn("at_limit", at_limit)
-    learned = _small(_learned(judged, least, frequent, note_words), broadcast_rows).withColumn("taught", F.lit(True))
+    learned = _small(_learned(judged, least, frequent), broadcast_rows).withColumn("taught", F.lit(True))
     known = judged.withColumn("key", F.when(title, F.col("last")).otherwise(F.col("opener"))).join(learned, ["table_name", "field_name", "is_title", "key"], "left")
 
     taught = F.col("taught").isNotNull()
-    state = F.when(title & (F.length("word") > 1), _word_state(F.col("word"), F.col("context")))
-    held = F.translate("value", FULL_WIDTH, HALF_WIDTH)  # brackets may open long before the end
-    balanced = F.length(F.regexp_replace(held, r"[^(\[]", "")) <= F.length(F.regexp_replace(held, r"[^)\]]", ""))
-    end = F.col("t").rlike(r"[)\]]$") | F.col("t").rlike(r"(?:\s\d{1,4}|[–-]\d{4})$")
-    whole = F.when(title, ~taught & (F.col("ended") | end | (F.coalesce("state", F.lit("")) == "known"))).otherwise(F.col("ended") | taught)
-    is_open = F.when(title, taught | F.col("t").rlike(_OPEN_SIGN) | ~balanced | (F.coalesce("state", F.lit("")) == "begun")).otherwise(F.lit(True))
+    whole = F.when(title, ~taught & (F.col("ended") | (F.coalesce("state", F.lit("")) == "known"))).otherwise(F.col("ended") | taught)
+    is_open = F.when(title, taught | F.col("loose") | (F.coalesce("state", F.lit("")) == "begun")).otherwise(F.lit(True))
     how = F.when(F.col("sign"), "sign").when(~whole & F.col("at_limit"), "limit").when(~whole & is_open, "open")
-    return known.withColumn("state", state).select("table_name", "row_id", "source", "field_name", how.alias("how"))
+    return known.select("table_name", "row_id", "source", "field_name", how.alias("how"))
 
 
 def cut_rates(verdicts: DataFrame) -> DataFrame:
