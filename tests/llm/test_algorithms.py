@@ -155,7 +155,9 @@ def test_gradient_against_differences():
     rng = np.random.default_rng(1)
     block = subjects.Block(["alpha beta alpha", "gamma", ""], np.array([[1, 0], [0, 1], [0, 0]], float), 64)
     e, w, b = rng.normal(size=(64, 3)).astype(np.float32), rng.normal(size=(3, 2)).astype(np.float32), np.zeros(2, np.float32)
-    ge, gw, gb, loss, _ = block.gradient(e, w, b)
+    touched, gw, gb, loss, _ = block.gradient(e, w, b)
+    ge = np.zeros_like(e)
+    ge[block.buckets] = touched
     for array, grad in ((e, ge), (w, gw), (b, gb)):
         at = np.unravel_index(np.argmax(np.abs(grad)), grad.shape)
         up, down = array.copy(), array.copy()

@@ -1,8 +1,8 @@
 """Subject areas of documents: averaged word and subword embeddings with independent logistic outputs.
 
-The labelled sample lies in blocks, one per partition; each step every block computes its gradient,
-the driver adds them up and moves the parameters, which are small and bounded. Then every document
-is scored.
+The labelled sample lies in a fixed number of blocks; each step every block computes its gradient and
+sends the rows of the buckets it touches, the driver adds them up and moves the parameters, which
+are small and bounded. Neither depends on the cores or the corpus. Then every document is scored.
 """
 
 from __future__ import annotations
@@ -47,6 +47,28 @@ class Model:
         return self.embedding @ self.weights
 
 
+class Sums:
+    """Sums of rows by key; the order of the keys is found once."""
+
+    def __init__(self, key: np.ndarray):
+        self.order = None if (key[1:] >= key[:-1]).all() else np.argsort(key, kind="stable").astype(np.int32)
+        sorted_keys = key if self.order is None else key[self.order]
+        self.first = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]) if len(key) else np.empty(0, np.int64)
+        self.keys = sorted_keys[self.first]
+
+    def rows(self, value: np.ndarray) -> np.ndarray:
+        """One row for each of ``keys``."""
+        if not len(self.keys):
+            return np.zeros((0, value.shape[1]), np.float32)
+        return np.add.reduceat(value if self.order is None else value[self.order], self.first, axis=0)
+
+    def spread(self, value: np.ndarray, n: int) -> np.ndarray:
+        """``n`` rows by key."""
+        out = np.zeros((n, value.shape[1]), np.float32)
+        out[self.keys] = self.rows(value)
+        return out
+
+
 class Block:
     """Labelled documents as sparse counts: documents by words, and words by buckets."""
 
@@ -70,28 +92,24 @@ class Block:
         self.part = np.concatenate(parts) if parts else np.empty(0, np.int32)
         self.part_share = np.repeat(np.array([1 / len(p) for p in parts], np.float32), [len(p) for p in parts]) if parts else np.empty(0, np.float32)
 
-    @staticmethod
-    def _gather(key: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-        """Sums of the rows of ``value`` by ``key``."""
-        out = np.zeros((n, value.shape[1]), np.float32)
-        if len(key):
-            order = np.argsort(key, kind="stable")
-            k = key[order]
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            out[k[first]] = np.add.reduceat(value[order], first, axis=0)
-        return out
+        self.by_row, self.by_column, self.by_part, self.by_word = Sums(self.row), Sums(self.column), Sums(self.part), Sums(self.part_word)
+
+    @property
+    def buckets(self) -> np.ndarray:
+        """The buckets that the block's words touch; gradients come in their order."""
+        return self.by_part.keys
 
     def gradient(self, embedding: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, np.ndarray]:
-        """Gradients of the summed logistic loss, the loss, and the scores."""
-        word = self._gather(self.part_word, embedding[self.part] * self.part_share[:, None], self.n_words)
-        doc = self._gather(self.row, word[self.column] * self.share[:, None], self.n)
+        """Gradients of the summed logistic loss (of the touched buckets only), the loss, and the scores."""
+        word = self.by_word.spread(embedding[self.part] * self.part_share[:, None], self.n_words)
+        doc = self.by_row.spread(word[self.column] * self.share[:, None], self.n)
         score = doc @ weights + bias
         p = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
         off = p - self.labels
         loss = -np.log(np.where(self.labels > 0, p, 1 - p) + 1e-9).sum()
         to_doc = off @ weights.T
-        to_word = self._gather(self.column, to_doc[self.row] * self.share[:, None], self.n_words)
-        to_bucket = self._gather(self.part, to_word[self.part_word] * self.part_share[:, None], len(embedding))
+        to_word = self.by_column.spread(to_doc[self.row] * self.share[:, None], self.n_words)
+        to_bucket = self.by_part.rows(to_word[self.part_word] * self.part_share[:, None])
         return to_bucket, doc.T @ off, off.sum(0), float(loss), score
 
 
@@ -124,20 +142,23 @@ def train(
     rate: float = 0.2,
     decay: float = 1e-4,
     seed: int = 7,
+    blocks: int = 8,
+    most_subjects: int = 10_000,
 ) -> Model:
     """Fit the model on at most ``sample`` labelled documents, about those of lowest id hash.
 
     A document's row in ``labels`` with a null subject says it has none; subjects that the subject
-    table lacks are ignored. Every step is one job over the blocks: gradients of all partitions are
-    added, then Adam moves the parameters (``buckets`` by ``size`` floats, whatever the corpus). No
-    labels give a model that assigns nothing.
+    table lacks are ignored; more than ``most_subjects`` raise an error. Every step is one job over
+    the ``blocks`` blocks: their gradients are added, then Adam moves the parameters (``buckets`` by
+    ``size`` floats, whatever the corpus). No labels give a model that assigns nothing.
     """
     spark = docs.sparkSession
-    names = sorted(r[0] for r in subjects.select(subject_col).distinct().limit(10_000).collect() if r[0])
+    names = sorted(r[0] for r in subjects.select(subject_col).where(F.col(subject_col) != "").distinct().limit(most_subjects + 1).collect())
+    if len(names) > most_subjects:
+        raise ValueError(f"over {most_subjects} subjects")
     place = {s: k for k, s in enumerate(names)}
     wanted = hash_sample(labels.groupBy(id_col).agg(F.collect_set(subject_col).alias("_s")), id_col, rows=sample)
     text = docs.select(id_col, F.col(text_col).alias("_t")).where("_t IS NOT NULL")
-    blocks = max(1, spark.sparkContext.defaultParallelism)
     held = text.join(F.broadcast(wanted), id_col).repartition(blocks, F.xxhash64(id_col))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +185,7 @@ def train(
                 for raw in batch.column(0).to_pylist():
                     block = pickle.loads(raw)
                     *g, loss, score = block.gradient(*sent.value)
-                    out = (block.n, loss, score, block.labels) if with_scores else (block.n, *g)
+                    out = (block.n, loss, score, block.labels) if with_scores else (block.n, block.buckets, *g)
                     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(out)], pa.binary())], names=["g"])
 
         return packed.mapInArrow(run, gradients)
@@ -173,9 +194,10 @@ def train(
         sent = spark.sparkContext.broadcast(values)
         total, n = [np.zeros_like(v) for v in values], 0
         for row in step_over(sent, False).collect():
-            m, *g = pickle.loads(row[0])
+            m, touched, rows, *rest = pickle.loads(row[0])
             n += m
-            for a, b in zip(total, g, strict=True):
+            total[0][touched] += rows
+            for a, b in zip(total[1:], rest, strict=True):
                 a += b
         sent.destroy()
         if not n:
