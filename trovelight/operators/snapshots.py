@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from trovelight.functions.text import squash, strip
+from trovelight.operators.membership import among
+from trovelight.session import cut_lineage
 
 KINDS = ("added", "removed", "changed")
 _FOUND = T.StructType([T.StructField("chain", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("k1", T.LongType()), T.StructField("k2", T.LongType()), T.StructField("kind", T.ByteType())])
@@ -42,8 +44,8 @@ def chain_snapshots(states: DataFrame, chain_col: str = "provider", id_col: str
     )
 
 
-def _text(name: str, hashes: Sequence[str], sets: Sequence[str], kind: str) -> Column:
-    c = F.col(name)
+def _text(name: str, hashes: Sequence[str], sets: Sequence[str], kind: str, c: Column | None = None) -> Column:
+    c = F.col(name) if c is None else c
     if name in sets:
         values = F.filter(F.transform(F.coalesce(c, F.array().cast(kind)), lambda x: squash(x.cast("string"))), lambda x: x != "")
         return F.array_join(F.array_sort(F.array_distinct(values)), "\x1f")
@@ -92,12 +94,31 @@ def _dense(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_rows(col: dict[str, np.ndarray]) -> np.ndarray:
+    """Of each key of a snapshot the place of the row that holds: lowest ordinal, then lowest hash."""
+    order = np.lexsort((col["r2"], col["r1"], col["o"], col["k2"], col["k1"], col["seq"], col["chain"]))
+    same = np.ones(max(0, len(order) - 1), bool)
+    for c in ("chain", "seq", "k1", "k2"):
+        x = col[c][order]
+        same &= x[1:] == x[:-1]
+    return order[np.r_[True, ~same]] if len(order) else order
+
+
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch without rows that others of it replace: a key repeated very often shrinks before the shuffle."""
+    for batch in batches:
+        kept = _first_rows({n: batch.column(n).to_numpy() for n in batch.schema.names})
+        yield batch if len(kept) == batch.num_rows else batch.take(pa.array(kept))
+
+
 def _diff_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     t = pa.Table.from_batches(held)
     col = {n: t.column(n).to_numpy() for n in t.column_names}
+    kept = _first_rows(col)
+    col = {n: c[kept] for n, c in col.items()}
     key, row = _dense(col["k1"], col["k2"]), _dense(col["r1"], col["r2"])
     for chain, seq, at, kind in _differences(col["chain"], col["seq"], col["n_seq"], key, row):
         if len(at):
@@ -115,6 +136,7 @@ def snapshot_changes(
     snapshot_col: str = "snapshot_id",
     ordinal_col: str = "ordinal",
     chain_col: str = "provider",
+    bucket_rows: int = 500_000,
 ) -> DataFrame:
     """Keys added, removed or changed from each snapshot of a chain to the next.
 
@@ -127,6 +149,9 @@ def snapshot_changes(
     empty key. Records of unknown snapshots are left out; a snapshot without records removes
     every key of the one before; the first snapshot of a chain gives no rows. Empty tables give
     an empty result; other columns are ignored.
+
+    One shuffle of 64 bytes a row, into buckets of about ``bucket_rows`` rows; rows that others of
+    their batch replace don't enter it. Values are fetched by a join of differing keys.
     """
     types = dict(records.dtypes)
     compared = [c for c in compared if c in types]
@@ -134,25 +159,23 @@ def snapshot_changes(
     chained = chain_snapshots(states, chain_col, snapshot_col)
     key = strip(F.coalesce(F.col(key_col).cast("string"), F.lit("")))
     body = [_text(c, caseless, sets, types[c]) for c in compared]
-    hashed = records.select(
-        F.col(snapshot_col).alias("snapshot_id"),
-        F.xxhash64(key).alias("k1"),
-        F.xxhash64(F.lit("second"), key).alias("k2"),
-        F.struct(F.coalesce(F.col(ordinal_col), F.lit(2**62)).cast("long").alias("o"), F.xxhash64(*body, F.lit(0)).alias("r1"), F.xxhash64(F.lit("second"), *body).alias("r2")).alias("row"),
-    )
-    compact = (
-        hashed.groupBy("snapshot_id", "k1", "k2")
-        .agg(F.min("row").alias("row"))
+    ordinal = F.coalesce(F.col(ordinal_col), F.lit(2**62)).cast("long")
+    k1, k2 = F.xxhash64(key), F.xxhash64(F.lit("second"), key)
+    hashed = (
+        records.select(F.col(snapshot_col).alias("snapshot_id"), k1.alias("k1"), k2.alias("k2"), ordinal.alias("o"), F.xxhash64(*body, F.lit(0)).alias("r1"), F.xxhash64(F.lit("second"), *body).alias("r2"))
         .join(chained.select("snapshot_id", "chain", "seq", "n_seq"), "snapshot_id")
-        .select("chain", "seq", "n_seq", "k1", "k2", "row.r1", "row.r2")
-        .repartition("chain", "k1")
+        .select("chain", "seq", "n_seq", "k1", "k2", "o", "r1", "r2")
     )
-    found = compact.mapInArrow(_diff_partition, _FOUND).join(chained.select("chain", "seq", "snapshot_id", "before_id"), ["chain", "seq"])
+    buckets = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // bucket_rows))
+    thin = hashed.mapInArrow(_thin, hashed.schema).repartition(buckets, "chain", "k1")
+    found = cut_lineage(thin.mapInArrow(_diff_partition, _FOUND)).join(chained.select("chain", "seq", "snapshot_id", "before_id"), ["chain", "seq"])
 
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind").cast("int") + 1)
     later, before = F.when(F.col("kind") != 1, F.col("snapshot_id")), F.when(F.col("kind") != 0, F.col("before_id"))
     wanted = found.select("snapshot_id", "k1", "k2", kind.alias("change_kind"), F.explode(F.filter(F.array(F.struct(later.alias("at"), F.lit("after").alias("side")), F.struct(before.alias("at"), F.lit("before").alias("side"))) if values else F.array(F.struct(F.coalesce(later, before).alias("at"), F.lit("after").alias("side"))), lambda x: x["at"].isNotNull())).alias("x")).select("snapshot_id", "k1", "k2", "change_kind", "x.at", "x.side")
-    full = records.select(F.col(snapshot_col).alias("at"), F.xxhash64(key).alias("k1"), F.xxhash64(F.lit("second"), key).alias("k2"), key.alias("_key"), F.coalesce(F.col(ordinal_col), F.lit(2**62)).cast("long").alias("_o"), F.xxhash64(*body, F.lit(0)).alias("_r"), *[F.col(c).alias(f"_v_{c}") for c in values])
+    # full values of differing keys only; the rest is left out before the shuffle
+    some = among(records.select(F.col(snapshot_col).alias("at"), k1.alias("k1"), k2.alias("k2"), key.alias("_key"), ordinal.alias("_o"), F.struct(*[c for c in dict.fromkeys((*compared, *values)) if c in types] or [F.lit(0)]).alias("_row")), ["at", "k1", "k2"], wanted)
+    full = some.select("at", "k1", "k2", "_key", "_o", F.xxhash64(*[_text(c, caseless, sets, types[c], F.col("_row")[c]) for c in compared], F.lit(0)).alias("_r"), *[F.col("_row")[c].alias(f"_v_{c}") for c in values])
     keep = F.struct("_key", *[f"_v_{c}" for c in values])
     rows = wanted.join(full, ["at", "k1", "k2"]).groupBy("snapshot_id", "k1", "k2", "change_kind").agg(
         *[F.min_by(F.when(F.col("side") == s, keep), F.when(F.col("side") == s, F.struct("_o", "_r"))).alias(s) for s in ("before", "after")]
