@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from trovelight.functions.facets import clean_facet, completeness
 from trovelight.functions.text import filled, info_hash
+from trovelight.operators.membership import among
 from trovelight.session import cut_lineage
 
 #: Bundles of fields that hold together: an address with its swarm, a payload, a text, its facets.
@@ -164,19 +165,6 @@ def survivors(
     return best.select(F.lower(F.hex("h")).alias(hash_col), (-F.col("base.back")).cast(id_type).alias(id_col), "n_records", *[(-F.col(f"{b}.back")).cast(id_type).alias(f"{b}_from") for b in names])
 
 
-def _among(rows: DataFrame, key: str, ids: DataFrame, bits: int) -> DataFrame:
-    """The rows whose key may be among ``ids``: all that are, and few others.
-
-    A bitmap of the ids' hashes of at most ``2**bits`` bits is broadcast, whatever their number.
-    """
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(2**bits)) + 1
-    bitmap = ids.select(at.alias("_at")).groupBy(F.bitmap_bucket_number("_at").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_at")).alias("_bitmap"))
-    bit = F.bitmap_bit_position(at).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(at)).join(F.broadcast(bitmap), "_bucket")
-    return joined.where(F.getbit(byte, bit % 8) == 1).drop("_bucket", "_bitmap")
-
-
 def assemble(chosen: DataFrame, records: DataFrame, *, hash_col: str = "infohash_v1", id_col: str = "record_id", bundles: Mapping[str, Sequence[str]] = BUNDLES, filter_bits: int = 25) -> DataFrame:
     """The surviving records: each hash with every bundle's fields, from the record that supplies them.
 
@@ -189,6 +177,6 @@ def assemble(chosen: DataFrame, records: DataFrame, *, hash_col: str = "infohash
     chosen = cut_lineage(chosen)
     wanted = chosen.select(F.col(hash_col).alias("_h"), "n_records", F.explode(F.array_distinct(F.array(*froms))).alias("from_id"), *[c.alias(f"_{b}_from") for b, c in zip(present, froms, strict=True)])
     rows = records.select(F.col(id_col).alias("from_id"), *[F.struct(*fields).alias(f"_{b}") for b, fields in present.items()], F.xxhash64(*every).alias("_order"))
-    got = wanted.join(_among(rows, "from_id", wanted, filter_bits), "from_id")
+    got = wanted.join(among(rows, ["from_id"], wanted, filter_bits), "from_id")
     best = got.groupBy("_h", "n_records").agg(*[F.min_by(f"_{b}", F.when(F.col("from_id") == F.col(f"_{b}_from"), F.col("_order"))).alias(b) for b in present])
     return best.select(F.col("_h").alias(hash_col), "n_records", *[F.col(f"{b}.{f}").alias(f if f != hash_col else f"{f}_raw") for b, fields in present.items() for f in fields])
