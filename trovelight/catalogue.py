@@ -5,18 +5,19 @@ from __future__ import annotations
 import json
 import os
 import shutil
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from trovelight.operators.grouping import build_records
-from trovelight.operators.index import Index, arranged, build_index
+from trovelight.operators.index import DOCUMENT, Index, arranged, build_index
 from trovelight.operators.records import normalize_records, require_valid, split_records
 from trovelight.plans.query import parse
-from trovelight.plans.search import search
+from trovelight.plans.search import search, search_many
 from trovelight.schema import FIELDS
 
-MANIFEST, VERSION = "_GENERATION.json", 1
+MANIFEST, VERSION = "_GENERATION.json", 2
 TABLES = ("records", "postings", "lengths", "terms")
 
 
@@ -89,12 +90,13 @@ class Catalogue:
         shutil.rmtree(self.building, ignore_errors=True)
         self.building.parent.mkdir(parents=True, exist_ok=True)
         try:
-            records.write.parquet(f"{self.building}/records")
+            arranged("records", records).write.parquet(f"{self.building}/records")
             index = build_index(self.spark.read.parquet(f"{self.building}/records"))
             for name in TABLES[1:]:
                 arranged(name, index.tables()[name]).write.parquet(f"{self.building}/{name}")
             counts = {t: self.spark.read.parquet(f"{self.building}/{t}").count() for t in TABLES}
-            (self.building / MANIFEST).write_text(json.dumps({"version": VERSION, "tables": counts}))
+            documents = self.spark.read.parquet(f"{self.building}/lengths").select(*DOCUMENT).distinct().count()
+            (self.building / MANIFEST).write_text(json.dumps({"version": VERSION, "tables": counts, "documents": documents}))
         except Exception:
             shutil.rmtree(self.building, ignore_errors=True)
             raise
@@ -130,11 +132,20 @@ class Catalogue:
     def index(self) -> Index:
         if self._state(self.root) != "ok":
             raise CatalogueError("not initialised")
-        return Index(*[self.spark.read.parquet(f"{self.root}/{t}") for t in TABLES])
+        said = json.loads((self.root / MANIFEST).read_text())
+        return Index(*[self.spark.read.parquet(f"{self.root}/{t}") for t in TABLES], said["documents"])
+
+    def scan(self) -> DataFrame:
+        """Every source once, in no order."""
+        return self.index().records.select(*FIELDS)
 
     def records(self) -> DataFrame:
         """Every source once, by provider and source_id."""
-        return self.index().records.select(*FIELDS).orderBy("provider", "source_id")
+        return self.scan().orderBy("provider", "source_id")
 
     def search(self, text: str, limit: int | None = None) -> DataFrame:
         return search(self.index(), parse(text), limit)
+
+    def search_many(self, texts: Sequence[str], limit: int | None = None) -> DataFrame:
+        """The hits of several queries in one plan, by their place ``q``."""
+        return search_many(self.index(), [parse(t) for t in texts], [limit] * len(texts))

@@ -22,17 +22,24 @@ DOCUMENT = ("group", "provider")
 class Index:
     """Tables of one generation.
 
-    ``records``: grouped records. ``postings``: term, field, document, text and position.
-    ``lengths``: words per document and field. ``terms``: documents per field and term.
+    ``records``: grouped records. ``postings``: term, field, document, its words in the field, text
+    and position. ``lengths``: words per document and field. ``terms``: documents per field and term.
     """
 
     records: DataFrame
     postings: DataFrame
     lengths: DataFrame
     terms: DataFrame
+    n_documents: int | None = None
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {f.name: getattr(self, f.name) for f in fields(self) if f.name != "n_documents"}
+
+    def documents(self) -> int:
+        """The number of documents, counted once where the generation doesn't tell it."""
+        if self.n_documents is None:
+            self.n_documents = self.lengths.select(*DOCUMENT).distinct().count()
+        return self.n_documents
 
 
 def document_texts(records: DataFrame) -> DataFrame:
@@ -45,8 +52,8 @@ def document_texts(records: DataFrame) -> DataFrame:
 def build_index(records: DataFrame) -> Index:
     """The index of grouped records (see :func:`build_records`). Positions of structured texts aren't used."""
     words = document_texts(records).withColumn("words", tokens(F.col("text"))).where(F.size("words") > 0)
-    postings = words.select(*DOCUMENT, "field", "text_id", F.posexplode("words").alias("pos", "term"))
     lengths = words.groupBy(*DOCUMENT, "field").agg(F.sum(F.size("words")).alias("n"))
+    postings = words.join(lengths, [*DOCUMENT, "field"]).select(*DOCUMENT, "field", F.col("n").alias("words"), "text_id", F.posexplode("words").alias("pos", "term"))
     terms = words.select(*DOCUMENT, "field", F.explode(F.array_distinct("words")).alias("term")).distinct().groupBy("field", "term").agg(F.count("*").alias("df"))
     return Index(records, postings, lengths, terms)
 
@@ -58,8 +65,6 @@ def build(valid: DataFrame) -> Index:
 
 
 def arranged(name: str, df: DataFrame) -> DataFrame:
-    """A table laid out for its readers: postings and terms by term, so scans skip row groups."""
-    if name in ("postings", "terms"):
-        keys = ["term", *(["group"] if name == "postings" else ["field"])]
-        return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return df
+    """A table laid out for its readers, so scans skip row groups: postings and terms by term, records by group."""
+    keys = {"postings": ["term", "group"], "terms": ["term", "field"], "records": ["group", "provider"]}.get(name)
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df

@@ -28,7 +28,7 @@ def merge_stream(stream: DataFrame, catalogue: Catalogue, checkpoint: str) -> St
         fresh = latest_snapshots(batch)
         rows = conform(fresh)
         if catalogue.open():
-            kept = catalogue.records().join(fresh.select("provider").distinct(), "provider", "left_anti")
+            kept = catalogue.scan().join(fresh.select("provider").distinct(), "provider", "left_anti")
             rows = conform(kept).unionByName(rows)
         catalogue.rebuild(rows, strict=False)
 

@@ -75,7 +75,7 @@ def sync(catalogue: Catalogue, provider: XmlProvider) -> str:
 
     Whatever fails, the live generation stays as it was.
     """
-    existing = catalogue.records() if catalogue.open() else None
+    existing = catalogue.scan() if catalogue.open() else None
     snapshot = provider.sync()
     if snapshot.records.isEmpty():
         raise disk.SnapshotError("empty catalogue")
