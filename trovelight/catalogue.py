@@ -9,13 +9,15 @@ from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trovelight.operators.grouping import build_records
+from trovelight.operators.grouping import build_records, build_sound_records
 from trovelight.operators.index import DOCUMENT, Index, arranged, build_index
 from trovelight.operators.records import normalize_records, require_valid, split_records
 from trovelight.plans.query import parse
 from trovelight.plans.search import search, search_many
 from trovelight.schema import FIELDS
+from trovelight.session import cut_lineage
 
 MANIFEST, VERSION = "_GENERATION.json", 2
 TABLES = ("records", "postings", "lengths", "terms")
@@ -78,12 +80,17 @@ class Catalogue:
     def rebuild(self, raw: DataFrame, strict: bool = True) -> dict[str, int]:
         """Build and publish a generation of provider rows; returns its row counts.
 
-        ``strict``: one invalid row fails the build; else such rows are left out.
+        ``strict``: one invalid row or contradicting source fails the build; else such rows and
+        sources go to the generation's quarantine with their reasons.
         """
         normal = normalize_records(raw)
-        return self.publish(build_records(require_valid(normal) if strict else split_records(normal)[0]))
+        if strict:
+            return self.publish(build_records(require_valid(normal)))
+        valid, invalid = split_records(cut_lineage(normal))
+        sound, clashing = build_sound_records(valid)
+        return self.publish(sound, invalid.select(*FIELDS, "errors").unionByName(clashing))
 
-    def publish(self, records: DataFrame) -> dict[str, int]:
+    def publish(self, records: DataFrame, quarantine: DataFrame | None = None) -> dict[str, int]:
         """Write, verify and make live a generation of grouped records."""
         for at in (self.root, self.previous, self.building):
             self._state(at)
@@ -91,6 +98,8 @@ class Catalogue:
         self.building.parent.mkdir(parents=True, exist_ok=True)
         try:
             arranged("records", records).write.parquet(f"{self.building}/records")
+            if quarantine is not None:
+                quarantine.write.parquet(f"{self.building}/quarantine")
             index = build_index(self.spark.read.parquet(f"{self.building}/records"))
             for name in TABLES[1:]:
                 arranged(name, index.tables()[name]).write.parquet(f"{self.building}/{name}")
@@ -135,6 +144,12 @@ class Catalogue:
         said = json.loads((self.root / MANIFEST).read_text())
         return Index(*[self.spark.read.parquet(f"{self.root}/{t}") for t in TABLES], said["documents"])
 
+    def quarantine(self) -> DataFrame:
+        """Rows and sources left out of the generation, with ``errors``; none of one built strictly."""
+        if (self.root / "quarantine").exists():
+            return self.spark.read.parquet(f"{self.root}/quarantine")
+        return self.scan().where("false").withColumn("errors", F.array().cast("array<string>"))
+
     def scan(self) -> DataFrame:
         """Every source once, in no order."""
         return self.index().records.select(*FIELDS)

@@ -76,7 +76,7 @@ def group_records(records: DataFrame, limit: int = GROUP_HASHES) -> DataFrame:
     absent.
     """
     held = records.withColumn("_h", _named(F.coalesce("infohash_v1", F.lit("")), F.coalesce("infohash_v2", F.lit(""))))
-    edges = held.where(F.size("_h") > 0).select(F.get("_h", 0).alias("a"), F.element_at("_h", -1).alias("b")).distinct()
+    edges = held.where(F.size("_h") > 0).select(F.get("_h", 0).alias("a"), F.get("_h", F.size("_h") - 1).alias("b")).distinct()
     nodes = connected(edges)
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
     guarded = nodes.join(sizes.where(F.col("n") > limit), "label", "left").where(F.when(F.col("n").isNotNull(), F.raise_error(F.lit("a group links too many hashes")).cast("boolean")).otherwise(True))
@@ -94,8 +94,17 @@ def build_records(valid: DataFrame) -> DataFrame:
     """
     merged = merge_sources(cut_lineage(valid.select(*S.FIELDS)))
     clash = F.raise_error(F.concat(F.lit("conflicting hashes of "), F.col("provider"), F.lit("/"), F.col("source_id")))
-    sound = merged.where(F.when(F.col("conflict"), clash.cast("boolean")).otherwise(True)).drop("conflict", "n_rows")
-    return with_identity(group_records(cut_lineage(sound)))
+    return _grouped(merged.where(F.when(F.col("conflict"), clash.cast("boolean")).otherwise(True)))
+
+
+def build_sound_records(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of the sources without conflicts, and the sources with one, for the quarantine."""
+    merged = cut_lineage(merge_sources(valid.select(*S.FIELDS)))
+    return _grouped(merged.where(~F.col("conflict"))), merged.where("conflict").select(*S.FIELDS, F.array(F.lit("conflicting hashes")).alias("errors"))
+
+
+def _grouped(merged: DataFrame) -> DataFrame:
+    return with_identity(group_records(cut_lineage(merged.drop("conflict", "n_rows"))))
 
 
 def agreed(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trovelight import demo
-from trovelight.demo import CATALOGUE_SQL, search_sql
+from trovelight.demo import CATALOGUE_SQL, MERGED_SQL, batch_sql, search_sql, search_text_sql
 from trovelight.functions.facets import completeness, identifiers
 from trovelight.functions.text import info_hash, squash
 from trovelight.functions.unicode import compact_text, search_text, terminal_text
@@ -19,8 +19,7 @@ from trovelight.operators.index import DOCUMENT
 from trovelight.operators.records import normalize_records, split_records, structured_text
 from trovelight.operators.snapshots import snapshot_changes
 from trovelight.output import json_lines
-from trovelight.plans.query import byte_quantity, iso_date
-from trovelight.plans.search import search
+from trovelight.plans.search import hits, search
 from trovelight.schema import METAINFO_BYTES
 from trovelight.session import table
 from trovelight.sources.metainfo import inspect_bodies, inspect_magnets
@@ -62,95 +61,115 @@ WITH chained AS (
 
 
 def _searched(text: str, limit: int | None = None, **providers) -> Query:
-    def run(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-        hits = search(demo.index(spark, folder, whole), demo.query(text, **providers), limit)
-        return hits.select(F.col("rank").cast("long").alias("rank"), "group", F.col("record.source_id").alias("source_id"), "source_count")
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        got = search(demo.index(spark, folder), demo.query(text, **providers), limit)
+        return got.select(F.col("rank").cast("long").alias("rank"), "group", F.col("record.source_id").alias("source_id"), "source_count")
 
     return run
 
 
-_MIRROR, _SHELF = "ostzunowick-mirror", "mellodordun-shelf"
-_ALLOWED, _DENIED = f"rec.provider IN ('{_MIRROR}', '{_SHELF}')", f"rec.provider NOT IN ('{_MIRROR}')"
+_SHELF, _HARBOR, _MILL = "openshelf", "harbor_index", "old_mill"
+_ALLOWED, _DENIED = f"rec.provider IN ('{_SHELF}', '{_HARBOR}')", f"rec.provider NOT IN ('{_SHELF}')"
+_DATE_DESC, _DATE_ASC, _SIZE_ASC, _SIZE_DESC = "published_at DESC NULLS LAST,", "published_at NULLS LAST,", "size_bytes NULLS LAST,", "size_bytes DESC NULLS LAST,"
 
 #: name: (query text, further arguments, arguments of its SQL)
 SEARCHES: dict[str, tuple[str, dict, dict]] = {
-    "search_required_term": ("folder", {}, {"must": [["folder"]]}),
-    "search_two_terms_cross_field": ("readme markets", {}, {"must": [["readme"], ["markets"]]}),
-    "search_hyphen_all_tokens": ("each-folder", {}, {"must": [["each", "folder"]]}),
-    "search_optional_boost": ("folder ?markets", {}, {"must": [["folder"]], "optional": [["markets"]]}),
-    "search_optional_only": ("?markets", {}, {"optional": [["markets"]]}),
-    "search_excluded_term": ("folder -tracker", {}, {"must": [["folder"]], "excluded": [["tracker"]]}),
-    "search_excluded_only": ("-folder", {}, {"excluded": [["folder"]]}),
-    "search_match_all": ("limit:1000 lang:en", {}, {"where": "list_contains(langs, 'en')", "limit": 1000}),
-    "search_phrase": ('"each folder lists"', {}, {"phrases": [["each", "folder", "lists"]]}),
-    "search_phrase_excluded": ('folder -"each folder"', {}, {"must": [["folder"]], "phrases": [["-", "each", "folder"]]}),
+    "search_required_term": ("survey", {}, {"must": [["survey"]]}),
+    "search_two_terms_cross_field": ("survey reader", {}, {"must": [["survey"], ["reader"]]}),
+    "search_hyphen_all_tokens": ("kernels-survey", {}, {"must": [["kernels", "survey"]]}),
+    "search_optional_boost": ("survey ?reader", {}, {"must": [["survey"]], "optional": [["reader"]]}),
+    "search_optional_only": ("?galaxies", {}, {"optional": [["galaxies"]]}),
+    "search_excluded_term": ("survey -kernels", {}, {"must": [["survey"]], "excluded": [["kernels"]]}),
+    "search_excluded_only": ("-survey", {}, {"excluded": [["survey"]]}),
+    "search_match_all": ("limit:1000 lang:en", {}, {"where": "list_contains(languages, 'en')", "limit": 1000}),
+    "search_phrase": ('"second look"', {}, {"phrases": [["second", "look"]]}),
+    "search_phrase_excluded": ('collection -"collection of open"', {}, {"must": [["collection"]], "phrases": [["-", "collection", "of", "open"]]}),
+    "search_unicode_term": ("ÉTUDES", {}, {"must": [["études"]]}),
+    "search_cyrillic_phrase": ('"Старые карты"', {}, {"phrases": [["старые", "карты"]]}),
+    "search_folded_term": ("größere", {}, {"must": [["grössere"]]}),
     "search_ranked_topk": ("tracker", {"limit": 10}, {"must": [["tracker"]], "limit": 10}),
-    "filter_size_range": ("folder size:>=300B size:<900B", {}, {"must": [["folder"]], "where": "g_size >= 300 AND g_size < 900"}),
-    "filter_date_range": ("folder date:2021..2022", {}, {"must": [["folder"]], "where": "g_date BETWEEN DATE '2021-01-01' AND DATE '2022-12-31'"}),
-    "filter_date_unknown_excluded": ("folder since 2020", {}, {"must": [["folder"]], "where": "g_date >= DATE '2020-01-01'"}),
-    "filter_language_any": ("lang:fr lang:de", {}, {"where": "list_has_any(langs, ['fr', 'de'])"}),
-    "filter_category_any": ("category:readme category:help_page", {}, {"where": "list_has_any(cats, ['readme', 'help_page'])"}),
-    "filter_resolution_any": ("resolution:720p tracker", {}, {"must": [["tracker"]], "where": "list_contains(ress, 720)"}),
-    "filter_families": ("resolution:720p lang:en category:description", {}, {"where": "list_contains(ress, 720) AND list_contains(langs, 'en') AND list_contains(cats, 'description')"}),
-    "filter_provider_allow": ("folder", {"allow": (_MIRROR, _SHELF)}, {"must": [["folder"]], "providers": _ALLOWED}),
-    "filter_provider_deny": ("folder", {"deny": (_MIRROR,)}, {"must": [["folder"]], "providers": _DENIED}),
-    "filter_provider_deny_wins": ("folder", {"allow": (_MIRROR, _SHELF), "deny": (_MIRROR,)}, {"must": [["folder"]], "providers": f"{_ALLOWED} AND {_DENIED}"}),
-    "order_date_desc_nulls_last": ("folder newest first", {}, {"must": [["folder"]], "by": "published_at DESC NULLS LAST,", "each": "published_at DESC NULLS LAST,"}),
-    "order_date_asc_nulls_last": ("folder oldest first", {}, {"must": [["folder"]], "by": "published_at NULLS LAST,", "each": "published_at NULLS LAST,"}),
-    "order_size_asc": ("folder smallest first", {}, {"must": [["folder"]], "by": "size_bytes NULLS LAST,", "each": "size_bytes NULLS LAST,"}),
-    "order_size_desc": ("folder sort:largest", {}, {"must": [["folder"]], "by": "size_bytes DESC NULLS LAST,", "each": "size_bytes DESC NULLS LAST,"}),
-    "order_title": ("folder sort:title", {}, {"must": [["folder"]], "by": "lower(title),", "each": "lower(title),"}),
-    "order_title_desc": ("folder sort:title-desc", {}, {"must": [["folder"]], "by": "lower(title) DESC,", "each": "lower(title) DESC,"}),
-    "order_multi_key": ("folder sort:title sort:newest", {}, {"must": [["folder"]], "by": "lower(title), published_at DESC NULLS LAST,", "each": "lower(title), published_at DESC NULLS LAST,"}),
+    "filter_size_range": ("collection size:>=1MB size:<2GiB", {}, {"must": [["collection"]], "where": "g_size >= 1000000 AND g_size < 2147483648"}),
+    "filter_size_natural": ("collection between 1 MB and 2 GiB", {}, {"must": [["collection"]], "where": "g_size >= 1000000 AND g_size <= 2147483648"}),
+    "filter_date_range": ("collection date:2010..2015", {}, {"must": [["collection"]], "where": "g_date BETWEEN DATE '2010-01-01' AND DATE '2015-12-31'"}),
+    "filter_date_unknown_excluded": ("collection since 2004", {}, {"must": [["collection"]], "where": "g_date >= DATE '2004-01-01'"}),
+    "filter_date_after": ("collection after 2015", {}, {"must": [["collection"]], "where": "g_date >= DATE '2016-01-01'"}),
+    "filter_language_any": ("lang:fr lang:de", {}, {"where": "list_has_any(languages, ['fr', 'de'])"}),
+    "filter_language_natural": ("german galaxien", {}, {"must": [["galaxien"]], "where": "list_contains(languages, 'de')"}),
+    "filter_category_any": ("category:science category:law", {}, {"where": "list_has_any(categories, ['science', 'law'])"}),
+    "filter_kind_natural": ("survey dataset", {}, {"must": [["survey"]], "where": "list_contains(content_kinds, 'dataset')"}),
+    "filter_media_any": ("media:video media:audio", {}, {"where": "list_has_any(media_kinds, ['video', 'audio'])"}),
+    "filter_extension_any": ("ext:csv ext:.json survey", {}, {"must": [["survey"]], "where": "list_has_any(extensions, ['.csv', '.json'])"}),
+    "filter_resolution_any": ("resolution:720p resolution:4k", {}, {"where": "list_has_any(resolutions, [720, 2160])"}),
+    "filter_families": ("lang:en category:science kind:dataset", {}, {"where": "list_contains(languages, 'en') AND list_contains(categories, 'science') AND list_contains(content_kinds, 'dataset')"}),
+    "filter_provider_allow": ("collection", {"allow": (_SHELF, _HARBOR)}, {"must": [["collection"]], "providers": _ALLOWED}),
+    "filter_provider_deny": ("collection", {"deny": (_SHELF,)}, {"must": [["collection"]], "providers": _DENIED}),
+    "filter_provider_deny_wins": ("collection", {"allow": (_SHELF, _HARBOR), "deny": (_SHELF,)}, {"must": [["collection"]], "providers": f"{_ALLOWED} AND {_DENIED}"}),
+    "order_date_desc_nulls_last": ("collection newest first", {}, {"must": [["collection"]], "by": _DATE_DESC, "each": _DATE_DESC}),
+    "order_date_asc_nulls_last": ("collection oldest first", {}, {"must": [["collection"]], "by": _DATE_ASC, "each": _DATE_ASC}),
+    "order_size_asc": ("collection smallest first", {}, {"must": [["collection"]], "by": _SIZE_ASC, "each": _SIZE_ASC}),
+    "order_size_desc": ("collection sort:largest", {}, {"must": [["collection"]], "by": _SIZE_DESC, "each": _SIZE_DESC}),
+    "order_title": ("collection sort:title", {}, {"must": [["collection"]], "by": "folded,", "each": "folded,"}),
+    "order_title_desc": ("collection sort:title-desc", {}, {"must": [["collection"]], "by": "folded DESC,", "each": "folded DESC,"}),
+    "order_multi_key": ("collection sort:title sort:newest", {}, {"must": [["collection"]], "by": f"folded, {_DATE_DESC}", "each": f"folded, {_DATE_DESC}"}),
     "limit_default_50": ("the", {}, {"must": [["the"]]}),
     "limit_override": ("the limit:7", {}, {"must": [["the"]], "limit": 7}),
-    "representative_relevance": ("markets sort:relevance", {}, {"must": [["markets"]]}),
-    "representative_newest": ("markets newest first", {}, {"must": [["markets"]], "by": "published_at DESC NULLS LAST,", "each": "published_at DESC NULLS LAST,"}),
+    "representative_relevance": ("kernels sort:relevance", {}, {"must": [["kernels"]]}),
+    "representative_newest": ("kernels newest first", {}, {"must": [["kernels"]], "by": _DATE_DESC, "each": _DATE_DESC}),
 }
 
 
-def group_transitive_hash(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    return demo.index(spark, folder, whole).records.select("provider", "source_id", "group")
+_BATCH = ("search_two_terms_cross_field", "search_optional_only", "search_excluded_only", "search_phrase", "search_folded_term", "filter_date_range", "filter_families", "filter_language_any", "order_multi_key", "order_size_desc", "limit_override", "representative_newest")
 
 
-def group_size_histogram(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    return demo.index(spark, folder, whole).records.groupBy("group").count().groupBy(F.col("count").alias("n_sources")).agg(F.count("*").alias("n_groups"))
+def search_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """Searches of all kinds in one plan."""
+    names = [n for n in SEARCHES if n in _BATCH]
+    got = hits(demo.index(spark, folder), [demo.query(SEARCHES[n][0]) for n in names])
+    return got.select(F.element_at(F.array(*map(F.lit, names)), F.col("q") + 1).alias("name"), F.col("rank").cast("long").alias("rank"), "group", "source_id", "source_count")
 
 
-def group_values(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
+def group_transitive_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).records.select("provider", "source_id", "group")
+
+
+def group_size_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).records.groupBy("group").count().groupBy(F.col("count").alias("n_sources")).agg(F.count("*").alias("n_groups"))
+
+
+def group_values(spark: SparkSession, folder: str) -> DataFrame:
     """Agreed size and day, completeness, sources and providers of each group."""
-    return group_summary(demo.index(spark, folder, whole).records).withColumn("published_at", F.col("published_at").cast("string"))
+    return group_summary(demo.index(spark, folder).records).withColumn("published_at", F.col("published_at").cast("string"))
 
 
-def record_completeness(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    return demo.index(spark, folder, whole).records.select("provider", "source_id", F.col("completeness").cast("long").alias("completeness"))
+def record_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).records.select("provider", "source_id", F.col("completeness").cast("long").alias("completeness"))
 
 
-def record_structured_text(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    records = demo.index(spark, folder, whole).records
+def record_structured_text(spark: SparkSession, folder: str) -> DataFrame:
+    records = demo.index(spark, folder).records
     return records.select("source_id", structured_text(records).alias("structured"))
 
 
-def catalogue_scan(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    return demo.catalogue(spark, folder, whole).records().select("provider", "source_id", "title")
+def catalogue_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.catalogue(spark, folder).records().select("provider", "source_id", "title")
 
 
-def posting_stats(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    return demo.index(spark, folder, whole).postings.groupBy("field", "term").agg(F.count("*").alias("n"))
+def posting_stats(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).postings.groupBy("field", "term").agg(F.count("*").alias("n"))
 
 
-def document_frequency(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    return demo.index(spark, folder, whole).terms.select("field", "term", "df")
+def document_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).terms.select("field", "term", "df")
 
 
-def field_length(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    return demo.index(spark, folder, whole).lengths.select(*DOCUMENT, "field", "n")
+def field_length(spark: SparkSession, folder: str) -> DataFrame:
+    return demo.index(spark, folder).lengths.select(*DOCUMENT, "field", "n")
 
 
 def dedupe_source_key(spark: SparkSession, folder: str) -> DataFrame:
     """Delivered records merged by source, with the rows each had and whether they contradict."""
     valid, _ = split_records(normalize_records(table(spark, folder, "records")))
-    return merge_sources(valid).groupBy("provider", "conflict").agg(F.count("*").alias("n_sources"), F.sum("n_rows").alias("n_rows"))
+    return merge_sources(valid).select("provider", "source_id", "title", F.col("infohash_v1"), "conflict", F.col("n_rows").cast("long").alias("n_rows"))
 
 
 def record_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,6 +178,11 @@ def record_errors(spark: SparkSession, folder: str) -> DataFrame:
     return normal.select("provider", F.explode("errors").alias("error")).groupBy("provider", "error").agg(F.count("*").alias("n"))
 
 
+def quarantine(spark: SparkSession, folder: str) -> DataFrame:
+    """What the catalogue left out, by reason."""
+    return demo.catalogue(spark, folder).quarantine().select("provider", F.explode("errors").alias("error")).groupBy("provider", "error").agg(F.count("*").alias("n"))
+
+
 def record_infohash_valid(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "records").select("record_id", info_hash(F.col("infohash_v1")).alias("infohash_v1"), info_hash(F.col("infohash_v2"), 64).alias("infohash_v2"))
 
@@ -189,23 +213,11 @@ def sanitize_text(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "records").select("record_id", terminal_text(F.col("title"), 64).alias("title"))
 
 
-_QUANTITIES = ("1.5GiB", "0.5KiB", "1.25KB", "0.1KiB", "8EiB", "7EiB", "10", "x5MB", "12b", "1.GB")
-_DATES = ("2024-02-29", "2023-02-29", "2023-6-1", "0000-01-01", "1999-12-31")
-
-
-def parse_byte_quantity(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(t, byte_quantity(t)) for t in _QUANTITIES], "text string, bytes long")
-
-
-def parse_iso_date(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.createDataFrame([(t, iso_date(t)) for t in _DATES], "text string, day string")
-
-
-def sync_replace_provider(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    """The demo catalogue's rows with one provider's replaced by the half of them with even ids."""
-    rows = demo.provider_rows(spark, folder, whole)
-    fresh = rows.where((F.col("provider") == _MIRROR) & (F.col("source_id").cast("long") % 2 == 0))
-    return replace_provider(rows, fresh, _MIRROR).select("provider", "source_id", "title")
+def sync_replace_provider(spark: SparkSession, folder: str) -> DataFrame:
+    """The catalogue's sources with one provider's replaced by those of them that have a size."""
+    rows = demo.catalogue(spark, folder).scan()
+    fresh = rows.where((F.col("provider") == _MILL) & F.col("size_bytes").isNotNull())
+    return replace_provider(rows, fresh, _MILL).select("provider", "source_id", "title")
 
 
 def magnet_parse(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,9 +239,9 @@ def piece_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return files.join(pieces, "inspection_id").select("inspection_id", "file_index", "offset", F.floor(F.col("offset") / F.col("piece_length")).alias("piece"))
 
 
-def ndjson_encode(spark: SparkSession, folder: str, whole: bool = False) -> DataFrame:
-    hits = _searched("folder", 10)(spark, folder, whole)
-    return json_lines(hits, "result", "rank")
+def ndjson_encode(spark: SparkSession, folder: str) -> DataFrame:
+    got = _searched("survey", 10)(spark, folder)
+    return json_lines(got, "result", "rank")
 
 
 def infohash_from_bytes(spark: SparkSession, folder: str) -> DataFrame:
@@ -270,21 +282,20 @@ QUERIES: dict[str, Query] = {name: _searched(text, **more) for name, (text, more
     f.__name__: f
     for f in (
         group_transitive_hash, group_size_histogram, group_values, record_completeness, record_structured_text, catalogue_scan, posting_stats, document_frequency, field_length, dedupe_source_key, record_errors,
-        record_infohash_valid, record_identifiers, raw_completeness, agreed_sizes, normalize_search_text_ascii, sanitize_text, parse_byte_quantity, parse_iso_date, sync_replace_provider, magnet_parse, inspection_totals, piece_offsets,
+        record_infohash_valid, record_identifiers, raw_completeness, agreed_sizes, normalize_search_text_ascii, sanitize_text, quarantine, search_batch, sync_replace_provider, magnet_parse, inspection_totals, piece_offsets,
         ndjson_encode, squashed_titles, infohash_from_bytes, nfkc_fold, inspect_metainfo, p2_found, p2_changes,
     )
 } | {"compact_text": compact_text_query}
-#: The same over the unaltered texts; Unicode folding has no equal in SQL, so they have none.
-QUERIES |= {
-    f"whole_{name}": partial(QUERIES[name], whole=True)
-    for name in [*SEARCHES, *"group_transitive_hash group_size_histogram group_values record_completeness record_structured_text catalogue_scan posting_stats document_frequency field_length sync_replace_provider ndjson_encode".split()]
-}
-
-_VALUES = {"1.5GiB": 1610612736, "0.5KiB": 512, "1.25KB": 1250, "0.1KiB": None, "8EiB": None, "7EiB": 8070450532247928832, "10": None, "x5MB": None, "12b": 12, "1.GB": None}
 _TRIM = "E' \\t\\n\\r'"
 _HASH = "CASE WHEN regexp_full_match(lower(trim({c}, " + _TRIM + ")), '[0-9a-f]{{{n}}}') THEN lower(trim({c}, " + _TRIM + ")) END"
 _IDS = "array_to_string(list_sort(list_distinct(list_filter(list_transform(coalesce({c}, []), lambda x: lower(trim(x, " + _TRIM + "))), lambda x: regexp_full_match(x, '[a-z0-9_-]{{1,64}}')))), ',')"
 
+_SQL_COMPLETENESS = " + ".join(
+    [f"(trim(coalesce({c}, ''), {_TRIM}) <> '')::INT" for c in ("description", "infohash_v1", "infohash_v2", "details_url", "magnet_uri", "torrent_url")]
+    + [f"({c} IS NOT NULL)::INT" for c in ("size_bytes", "published_at", "seeders", "leechers")]
+    + [f"len({demo._facet_sql(c)})" for c in demo._FACETS]
+)
+
 SQL: dict[str, str] = {name: search_sql(**more) for name, (_, _, more) in SEARCHES.items()} | {
     "group_transitive_hash": CATALOGUE_SQL + 'SELECT provider, source_id, grp AS "group" FROM rec',
     "group_size_histogram": CATALOGUE_SQL + "SELECT n_sources, count(*) AS n_groups FROM (SELECT count(*) AS n_sources FROM rec GROUP BY grp) GROUP BY n_sources",
@@ -301,9 +312,13 @@ SQL: dict[str, str] = {name: search_sql(**more) for name, (_, _, more) in SEARCH
     "agreed_sizes": "SELECT provider, source_id, CASE WHEN min(size_bytes) = max(size_bytes) THEN max(size_bytes) END AS size_bytes FROM records GROUP BY ALL",
     "normalize_search_text_ascii": "SELECT p_partkey, lower(trim(p_name)) AS name FROM part",
     "compact_text": "SELECT p_partkey, regexp_replace(lower(trim(p_type)), '[-_. ]', '', 'g') AS kind FROM part",
-    "parse_byte_quantity": "SELECT * FROM (VALUES " + ", ".join(f"('{t}', {'NULL' if n is None else n}::BIGINT)" for t, n in _VALUES.items()) + ") v(text, bytes)",
-    "parse_iso_date": "SELECT t AS text, strftime(try_strptime(t, '%Y-%m-%d'), '%Y-%m-%d') AS day FROM (VALUES " + ", ".join(f"('{t}')" for t in _DATES if t not in ("2023-6-1", "0000-01-01")) + ") v(t) UNION ALL VALUES ('2023-6-1', NULL), ('0000-01-01', NULL)",
-    "sync_replace_provider": CATALOGUE_SQL + f"SELECT provider, source_id, title FROM r WHERE provider <> '{_MIRROR}' OR source_id::BIGINT % 2 = 0",
+    "sync_replace_provider": CATALOGUE_SQL + f"SELECT provider, source_id, title FROM r WHERE provider <> '{_MILL}' OR size_bytes IS NOT NULL",
+    "dedupe_source_key": MERGED_SQL + "SELECT provider, source_id, title, v1 AS infohash_v1, conflict, n_rows FROM merged",
+    "record_errors": MERGED_SQL + "SELECT provider, error, count(*) AS n FROM (SELECT provider, unnest(errors) AS error FROM judged) GROUP BY ALL",
+    "quarantine": MERGED_SQL + "SELECT provider, error, count(*) AS n FROM (SELECT provider, unnest(errors) AS error FROM judged UNION ALL SELECT provider, 'conflicting hashes' FROM merged WHERE conflict) GROUP BY ALL",
+    "nfkc_fold": f"WITH {MERGED_SQL.split('RECURSIVE ', 1)[1].split(', cleaned AS', 1)[0]} SELECT record_id, {search_text_sql('title')} AS title FROM records, folds",
+    "raw_completeness": f"SELECT record_id, ({_SQL_COMPLETENESS})::BIGINT AS completeness FROM records",
+    "search_batch": batch_sql({n: more for n, (_, given, more) in SEARCHES.items() if n in _BATCH}),
     "magnet_parse": "SELECT record_id, lower(regexp_extract(magnet_uri, '^magnet:\\?xt=urn:btih:([0-9a-fA-F]{40})$', 1)) AS infohash_v1 FROM records WHERE regexp_matches(magnet_uri, '^magnet:\\?xt=urn:btih:([0-9a-fA-F]{40})$')",
     "inspection_totals": "SELECT inspection_id, count(*) AS n_files, sum(size)::BIGINT AS total_size FROM inspection_files GROUP BY ALL",
     "piece_offsets": """SELECT inspection_id, file_index, f_offset AS "offset", (f_offset // piece_length)::BIGINT AS piece FROM (
