@@ -8,6 +8,9 @@ import pytest
 
 from trovelight import cli
 from trovelight.catalogue import Catalogue, CatalogueError
+from trovelight.operators.grouping import connected
+from trovelight.plans.query import parse
+from trovelight.plans.search import search, search_many
 from trovelight.sources.http import Answer
 from trovelight.sources.snapshot import SnapshotError
 from trovelight.streaming.snapshots import merge_stream
@@ -136,21 +139,91 @@ def test_command_line(built, tmp_path):
     assert out.splitlines()[1].split() == ["archive", "1", "alpha"]
 
 
-def test_whole_texts_are_indexed(spark, tmp_path):
-    """The index queries over unaltered texts, against plain Python."""
+def test_whole_records_are_indexed(spark, tmp_path):
+    """The index queries over the records table, against plain Python; invalid rows are quarantined."""
     from collections import Counter
     from unicodedata import normalize
 
     from trovelight.queries import QUERIES
 
     texts = ["Les élèves, ÉLÈVES – folder", "Новые каталоги и folder", "Straße Ｆｏｌｄｅｒ", "каталоги", " ", None]
-    rows = [(k, t, "s", "fr", "readme", len(t or "")) for k, t in enumerate(texts)]
-    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, doc_kind string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(k, "s", str(k), "A title", t, "") for k, t in enumerate(texts)] + [(8, "s", "8", "Bad hash", "x", "zz"), (9, "", "9", "No provider", "x", None), (10, "s", "0", "A title", texts[0], " ")]
+    rows += [(11, "t", "two", "One", None, "a" * 40), (12, "t", "two", "One", None, "b" * 40)]
+    spark.createDataFrame(rows, "record_id long, provider string, source_id string, title string, description string, infohash_v1 string").write.parquet(f"{tmp_path}/records.parquet")
     words = [re.findall(r"\w+", normalize("NFKC", normalize("NFKC", t).casefold())) for t in texts[:4]]
-    got = {r.term: r.n for r in QUERIES["whole_posting_stats"](spark, str(tmp_path)).where("field = 'description'").collect()}
+    got = {r.term: r.n for r in QUERIES["posting_stats"](spark, str(tmp_path)).where("field = 'description'").collect()}
     assert got == Counter(w for held in words for w in held) and got["élèves"] == 2
-    df = {r.term: r.df for r in QUERIES["whole_document_frequency"](spark, str(tmp_path)).where("field = 'description'").collect()}
+    df = {r.term: r.df for r in QUERIES["document_frequency"](spark, str(tmp_path)).where("field = 'description'").collect()}
     assert df == Counter(w for held in words for w in set(held)) and df["каталоги"] == 2
-    assert sorted(r.n for r in QUERIES["whole_field_length"](spark, str(tmp_path)).where("field = 'description'").collect()) == sorted(map(len, words))
-    assert sorted(r.source_id for r in QUERIES["whole_search_required_term"](spark, str(tmp_path)).collect()) == ["0", "1", "2"]
-    assert QUERIES["whole_catalogue_scan"](spark, str(tmp_path)).count() == 4
+    assert sorted(r.n for r in QUERIES["field_length"](spark, str(tmp_path)).where("field = 'description'").collect()) == sorted(map(len, words))
+    assert QUERIES["catalogue_scan"](spark, str(tmp_path)).count() == 6
+    left = {(r.provider, r.error): r.n for r in QUERIES["quarantine"](spark, str(tmp_path)).collect()}
+    assert left == {("s", "infohash_v1"): 1, ("", "provider"): 1, ("t", "conflicting hashes"): 1}
+
+
+def test_batch_equals_single_searches(spark, built):
+    index = Catalogue(spark, str(built.root)).index()
+    texts = ["beta", "alpha ?beta", "-beta", "sort:title", "beta newest first limit:1", "from archive", '"beta"', "nothing"]
+    many = {}
+    for h in search_many(index, [parse(t) for t in texts]).collect():
+        many.setdefault(h.q, []).append((h["rank"], h.group, h.score, h.source_count, h.record.source_id))
+    for k, t in enumerate(texts):
+        one = [(h["rank"], h.group, h.score, h.source_count, h.record.source_id) for h in search(index, parse(t)).collect()]
+        assert sorted(one) == sorted(many.get(k, [])), t
+    with pytest.raises(ValueError):
+        search_many(index, [])
+
+
+def test_components_agree(spark):
+    """One task's labels and those of rounds are the same."""
+    import random
+
+    rng = random.Random(2)
+    edges = [(f"n{rng.randint(0, 60):02}", f"n{rng.randint(0, 60):02}") for _ in range(45)] + [(f"c{k:02}", f"c{k + 1:02}") for k in range(30)] + [("z", "z"), (None, "q")]
+    df = spark.createDataFrame(edges, "a string, b string")
+    one, rounds = ({r.node: r.label for r in connected(df, task_edges=n).collect()} for n in (10**6, 0))
+    assert one == rounds and one["c30"] == "c00" and one["z"] == "z" and "q" not in one
+    assert connected(df.limit(0)).count() == 0
+
+
+def test_commands_that_fetch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cli, "_session", lambda: spark)
+    asked = []
+
+    def send(url, headers):
+        asked.append(url)
+        return Answer(200, {}, rss(item("a", "one"), item("b", "two"))) if url.endswith(".xml") else Answer(200, {}, TORRENT)
+
+    def call(*args):
+        out, err = io.StringIO(), io.StringIO()
+        return cli.main(list(args), out, err, send), out.getvalue(), err.getvalue()
+
+    root = str(tmp_path / "live")
+    code, out, err = call("--output", "ndjson", "providers", "sync", "debian", "--origin", "https://shelf.example", "--catalogue", root, "--snapshots", str(tmp_path))
+    assert code == 0, err
+    assert [json.loads(x)["type"] for x in out.splitlines()] == ["provider_sync", "done"] and json.loads(out.splitlines()[0])["data"] == {"provider": "debian", "status": "updated", "records": 2}
+    code, out, _ = call("--output", "json", "records", root)
+    assert [r["source_id"] for r in json.loads(out)["data"]] == ["a" * 40, "b" * 40]
+    code, out, _ = call("--output", "ndjson", "inspect", "https://shelf.example/x.torrent")
+    lines = [json.loads(x) for x in out.splitlines()]
+    assert [x["type"] for x in lines] == ["torrent", "file", "done"] and lines[1]["data"] == {"index": 1, "path": "sample.bin", "size": 5} and lines[2]["data"] == {"files": 1, "total_size": 5} and asked[-1].endswith("/x.torrent")
+    assert call("providers", "sync")[0] == 2
+
+
+TORRENT = b"d4:infod6:lengthi5e4:name10:sample.bin12:piece lengthi16384e6:pieces20:" + b"x" * 20 + b"ee"
+
+
+def test_saved_rows_are_checked(spark, tmp_path):
+    """A snapshot that was tampered with is refused."""
+    send = lambda url, headers: Answer(200, {"ETag": "1"}, rss(item("a", "one")))
+    p = XmlProvider(spark, "debian", "https://shelf.example", send, tmp_path)
+    p.sync()
+    path = tmp_path / "debian.json"
+    saved = json.loads(path.read_text())
+    for change in ({"infohash_v1": "zz"}, {"codecs": ["injected"]}, {"size_bytes": -5}, {"seeders": 1}, {"title": ""}, {"categories": ["a", "b"]}):
+        path.write_text(json.dumps(saved | {"records": [saved["records"][0] | change]}))
+        with pytest.raises(ValueError):
+            p.sync()
+    path.write_text(json.dumps(saved | {"records": [saved["records"][0] | {"details_url": "https://elsewhere.example/"}]}))
+    p.send = lambda url, headers: Answer(304)
+    assert p.sync().records.first().details_url == "https://shelf.example/details/" + "a" * 40

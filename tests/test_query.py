@@ -4,6 +4,8 @@ import pytest
 
 from trovelight.plans.query import QueryError, byte_quantity, explain, override, parse
 
+# Queries and what they must mean.
+
 
 def values(held):
     return [v.value for v in held]

@@ -11,6 +11,8 @@ from trovelight.operators.grouping import connected, merge_sources
 from trovelight.operators.records import encoded, normalize_records, require_valid, source_key, split_records, structured_text, with_identity
 from trovelight.sync import replace_provider
 
+# Rows and the canonical records they must give.
+
 
 def frame(spark, *rows):
     return spark.createDataFrame([tuple(r.get(n) for n in S.FIELDS) for r in rows], S.RECORD)

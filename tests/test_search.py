@@ -34,10 +34,10 @@ def day(text):
 def golden(spark):
     return index_of(
         spark,
-        record("internet_archive", "title-match", "Climate field recordings", description="Digitised environmental audio from public collections.", infohash_v1=H1, size_bytes=734003200, published_at=day("2024-08-10"), content_kinds=["dataset"], media_kinds=["audio"], extensions=[".flac"], languages=["en"]),
-        record("academic_torrents", "facet-match", "Open weather observations", description="A reproducible collection of measurements.", infohash_v1=H2, size_bytes=GIB, published_at=day("2025-02-03"), categories=["climate"], content_kinds=["dataset"], extensions=[".csv"], languages=["en"]),
-        record("internet_archive", "description-match", "Historical weather maps", description="Public-domain climate maps and supporting notes.", infohash_v1=H3, size_bytes=2 * GIB, published_at=day("2020-01-15"), content_kinds=["image"], extensions=[".tif"], languages=["en"]),
-        record("debian", "debian-13-amd64", "Debian 13 amd64 netinst", description="Official Debian installation image.", infohash_v1=H4, size_bytes=734003200, published_at=day("2025-07-01"), content_kinds=["disk_image"], media_kinds=["disk_image"], extensions=[".iso"], architectures=["amd64"]),
+        record("internet_archive", "title-match", "Climate of the northern fens", description="Sounds of reed beds, kept on tape.", infohash_v1=H1, size_bytes=734003200, published_at=day("2024-08-10"), content_kinds=["dataset"], media_kinds=["audio"], extensions=[".flac"], languages=["en"]),
+        record("academic_torrents", "facet-match", "Daily weather of one village", description="Rain and wind, read off each morning.", infohash_v1=H2, size_bytes=GIB, published_at=day("2025-02-03"), categories=["climate"], content_kinds=["dataset"], extensions=[".csv"], languages=["en"]),
+        record("internet_archive", "description-match", "Old weather charts", description="Sheets of climate maps with a page of notes.", infohash_v1=H3, size_bytes=2 * GIB, published_at=day("2020-01-15"), content_kinds=["image"], extensions=[".tif"], languages=["en"]),
+        record("debian", "debian-13-amd64", "A system image for amd64", description="Boots from a stick and installs the rest.", infohash_v1=H4, size_bytes=734003200, published_at=day("2025-07-01"), content_kinds=["disk_image"], media_kinds=["disk_image"], extensions=[".iso"], architectures=["amd64"]),
     )
 
 
@@ -47,11 +47,11 @@ def test_title_then_facets_then_description(golden):
 
 
 def test_optional_excluded_and_all(golden):
-    assert set(ids(golden, "weather -maps")) == {"facet-match"}
+    assert set(ids(golden, "weather -charts")) == {"facet-match"}
     assert ids(golden, "?weather")[0] in ("facet-match", "description-match") and len(ids(golden, "?weather")) == 4
     assert len(ids(golden, "-nothing")) == 4 and len(ids(golden, "lang:en")) == 3
     assert ids(golden, '"climate maps"') == ["description-match"] and ids(golden, '"maps climate"') == []
-    assert set(ids(golden, 'weather -"supporting notes"')) == {"facet-match"}
+    assert set(ids(golden, 'weather -"of notes"')) == {"facet-match"}
     assert ids(golden, "%%") == []
 
 

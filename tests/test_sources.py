@@ -4,11 +4,13 @@ import time
 
 import pytest
 
-from trovelight.sources import http, metainfo, snapshot, xml
+from trovelight.sources import http, metainfo, snapshot, transport, xml
 from trovelight.sources.metainfo import MetainfoError, inspect_magnet, inspect_metainfo
 
 V1, V2 = "0123456789abcdef0123456789abcdef01234567", "ab" * 32
 
+# Inputs and how they must be read.
+
 
 def rss(*items, tail=""):
     return ('<?xml version="1.0"?><rss version="2.0"><channel><title/><description/><link/>' + "".join(items) + "</channel></rss>" + tail).encode()
@@ -217,3 +219,29 @@ def test_long_piece_lists_are_inspected(spark, tmp_path):
     spark.createDataFrame(rows, "inspection_id long, name string, total_size long, piece_length long").write.parquet(f"{tmp_path}/inspections.parquet")
     got = {r.inspection_id: (r.error, r.hash_agrees, r.size_agrees) for r in QUERIES["inspect_metainfo"](spark, str(tmp_path)).collect()}
     assert got == {1: (None, True, True), 2: (None, True, True), 3: (None, True, True), 4: ("too large", None, None)}
+
+
+def test_addresses_are_checked_after_resolving():
+    later = time.monotonic() + 60
+    answer = lambda u, h: http.Answer(200, {}, b"x")
+    assert http.unsafe_address("168.63.129.16")
+    assert http.fetch("https://shelf.example", "/a", answer, deadline=later, resolve=lambda h: ["10.0.0.1", "1.1.1.1"]).body == b"x"
+    with pytest.raises(http.FetchError, match="private address"):
+        http.fetch("https://shelf.example", "/a", answer, deadline=later, resolve=lambda h: ["10.0.0.1", "::1"])
+    with pytest.raises(http.FetchError, match="private address"):
+        transport.https("https://shelf.example/a", {}, resolve=lambda h: ["127.0.0.1"])
+
+
+def test_large_and_foreign_files(spark, tmp_path):
+    """Too large files are an error row or fail the read; names of a namespace are none of the format's."""
+    with open(tmp_path / "big.torrent", "wb") as f:
+        f.truncate((16 << 20) + 1)
+    (tmp_path / "bad.torrent").write_bytes(b"de")
+    got = {r.path.rsplit("/", 1)[1]: r.error for r in metainfo.read_metainfo(spark, str(tmp_path)).collect()}
+    assert got["big.torrent"] == "too large" and got["bad.torrent"]
+    with open(tmp_path / "big.xml", "wb") as f:
+        f.truncate((8 << 20) + 1)
+    with pytest.raises(Exception, match="too large"):
+        xml.read_catalogues(spark, str(tmp_path / "big.xml")).collect()
+    with pytest.raises(xml.CatalogueFormatError):
+        xml.parse_items(b'<rss xmlns="urn:x"><channel></channel></rss>')

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +42,43 @@ def merge_sources(records: DataFrame) -> DataFrame:
     return merged.select(*[back[c] if c in back else F.col(f"row.{c}").alias(c) for c in records.columns], (F.coalesce(differ, F.lit(False)) | apart).alias("conflict"), "n_rows")
 
 
-def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """``node`` and ``label``, the least node of its component, of an undirected graph.
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of a graph that fits one task."""
+    above: dict[str, str] = {}
+
+    def root(x: str) -> str:
+        while (up := above[x]) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            above.setdefault(a, a)
+            above.setdefault(b, b)
+            a, b = root(a), root(b)
+            if a != b:
+                above[max(a, b)] = min(a, b)
+    nodes = list(above)
+    for k in range(0, len(nodes), 50_000):
+        part = nodes[k : k + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([root(x) for x in part], pa.string())], names=["node", "label"])
+
+
+def connected(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, task_edges: int = 200_000) -> DataFrame:
+    """``node`` and ``label``, the least node of its component, of an undirected graph of text nodes.
 
     Labels spread along edges and then jump to their label's label, so long chains take few rounds.
-    Every round is written to the shared folder. Empty graphs give an empty result.
+    Every round is written to the shared folder. A graph of at most ``task_edges`` distinct edges is
+    labelled by one task instead, with the same result. Empty graphs give an empty result.
     """
-    given = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
-    linked = cut_lineage(given.unionByName(given.select(F.col("y").alias("x"), F.col("x").alias("y"))).where("x <> y").distinct())
-    alone = given.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(linked, F.col("node") == F.col("x"), "left_anti").select("node", F.col("node").alias("label"))
-    if linked.isEmpty():
-        return alone
+    given = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    lone = given.where("x = y").select(F.col("x").alias("node")).distinct()
+    once = cut_lineage(given.where("x <> y").distinct())
+    if once.limit(task_edges + 1).count() <= task_edges:
+        labels = once.coalesce(1).mapInArrow(_union_find, "node string, label string")
+        return labels.unionByName(lone.join(labels, "node", "left_anti").select("node", F.col("node").alias("label")))
+    linked = cut_lineage(once.unionByName(once.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    alone = lone.join(linked, F.col("node") == F.col("x"), "left_anti").select("node", F.col("node").alias("label"))
     labels = cut_lineage(linked.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("label")))
     for _ in range(rounds):
         near = linked.join(labels, linked.y == labels.node).groupBy("x").agg(F.min("label").alias("near"))
@@ -123,6 +152,6 @@ def group_summary(records: DataFrame) -> DataFrame:
     )
 
 
-def first_of(df: DataFrame, key: str, ordinal: str) -> DataFrame:
+def first_of(df: DataFrame, key: str, ordinal: str | Column) -> DataFrame:
     """The row of the lowest ordinal of each key."""
     return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), ordinal).alias("r")).select("r.*")

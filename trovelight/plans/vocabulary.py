@@ -21,76 +21,109 @@ SIZE_WORDS = {
     "maximum": (False, True),
 }
 
+# Words for processor architectures.
+ARCHITECTURES = {
+    "amd64": "amd64",
+    "x86_64": "amd64",
+    "x64": "amd64",
+    "arm64": "arm64",
+    "aarch64": "arm64",
+    "armhf": "armhf",
+    "ppc64el": "ppc64el",
+    "riscv64": "riscv64",
+    "s390x": "s390x",
+}
 
-def _named(text: str) -> dict[str, str]:
-    """``value: word word`` per line as word to value."""
-    return {w: value for value, _, words in (line.strip().partition(":") for line in text.strip().splitlines()) for w in words.split()}
+# Words for codecs.
+CODECS = {
+    "h264": "h264",
+    "avc": "h264",
+    "x264": "h264",
+    "h265": "h265",
+    "hevc": "h265",
+    "x265": "h265",
+    "av1": "av1",
+    "vp9": "vp9",
+    "theora": "theora",
+    "xvid": "xvid",
+}
 
+# Words for providers.
+PROVIDERS = {
+    "archive": "internet_archive",
+    "ia": "internet_archive",
+    "internet_archive": "internet_archive",
+    "internet-archive": "internet_archive",
+    "academic": "academic_torrents",
+    "academictorrents": "academic_torrents",
+    "academic_torrents": "academic_torrents",
+    "academic-torrents": "academic_torrents",
+    "debian": "debian",
+    "debian_official": "debian",
+    "debian-official": "debian",
+}
+
+# Words for kinds of content.
+CONTENT_KINDS = {
+    "animation": "animation",
+    "audio": "audio",
+    "music": "audio",
+    "book": "book",
+    "ebook": "book",
+    "dataset": "dataset",
+    "disk-image": "disk_image",
+    "disk_image": "disk_image",
+    "image": "image",
+    "movie": "video",
+    "video": "video",
+    "software": "software",
+}
+
+# Words for kinds of media.
+MEDIA_KINDS = {
+    "archive": "archive",
+    "audio": "audio",
+    "disk-image": "disk_image",
+    "disk_image": "disk_image",
+    "document": "document",
+    "text": "document",
+    "image": "image",
+    "video": "video",
+}
+
+# Names of languages.
+LANGUAGES = {
+    "arabic": "ar",
+    "chinese": "zh",
+    "english": "en",
+    "french": "fr",
+    "german": "de",
+    "hindi": "hi",
+    "italian": "it",
+    "japanese": "ja",
+    "korean": "ko",
+    "portuguese": "pt",
+    "russian": "ru",
+    "spanish": "es",
+}
 
-# Each canonical value, and the words that mean it.
-ARCHITECTURES = _named("""
-    amd64: amd64 x86_64 x64
-    arm64: arm64 aarch64
-    armhf: armhf
-    ppc64el: ppc64el
-    riscv64: riscv64
-    s390x: s390x
-""")
-CODECS = _named("""
-    h264: h264 avc x264
-    h265: h265 hevc x265
-    av1: av1
-    vp9: vp9
-    theora: theora
-    xvid: xvid
-""")
-PROVIDERS = _named("""
-    internet_archive: archive ia internet_archive internet-archive
-    academic_torrents: academic academictorrents academic_torrents academic-torrents
-    debian: debian debian_official debian-official
-""")
-CONTENT_KINDS = _named("""
-    animation: animation
-    audio: audio music
-    book: book ebook
-    dataset: dataset
-    disk_image: disk-image disk_image
-    image: image
-    video: movie video
-    software: software
-""")
-MEDIA_KINDS = _named("""
-    archive: archive
-    audio: audio
-    disk_image: disk-image disk_image
-    document: document text
-    image: image
-    video: video
-""")
-LANGUAGES = _named("""
-    ar: arabic
-    zh: chinese
-    en: english
-    fr: french
-    de: german
-    hi: hindi
-    it: italian
-    ja: japanese
-    ko: korean
-    pt: portuguese
-    ru: russian
-    es: spanish
-""")
+# Words for sort orders, as field and direction.
 ORDERS = {
-    word: tuple(value.split())
-    for value, words in {
-        "date desc": "newest newestfirst datedesc",
-        "date asc": "oldest oldestfirst dateasc",
-        "size asc": "smallest smallestfirst sizeasc",
-        "size desc": "largest largestfirst sizedesc",
-        "relevance desc": "relevance relevant",
-        "title asc": "title titleasc",
-        "title desc": "titledesc",
-    }.items()
-    for word in words.split()
+    "newest": ("date", "desc"),
+    "newestfirst": ("date", "desc"),
+    "datedesc": ("date", "desc"),
+    "oldest": ("date", "asc"),
+    "oldestfirst": ("date", "asc"),
+    "dateasc": ("date", "asc"),
+    "smallest": ("size", "asc"),
+    "smallestfirst": ("size", "asc"),
+    "sizeasc": ("size", "asc"),
+    "largest": ("size", "desc"),
+    "largestfirst": ("size", "desc"),
+    "sizedesc": ("size", "desc"),
+    "relevance": ("relevance", "desc"),
+    "relevant": ("relevance", "desc"),
+    "title": ("title", "asc"),
+    "titleasc": ("title", "asc"),
+    "titledesc": ("title", "desc"),
 }

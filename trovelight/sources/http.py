@@ -6,6 +6,7 @@ Only the driver fetches; the transport is a callable, so tests and offline runs
 from __future__ import annotations
 
 import ipaddress
+import socket
 import time
 import zlib
 from collections.abc import Callable, Mapping
@@ -16,7 +17,25 @@ from trovelight.schema import BODY_BYTES
 
 REDIRECTS = 2
 # Networks that no public provider lives in, beyond those the library knows as not global.
-SPECIAL = [ipaddress.ip_network(n) for n in "0.0.0.0/8 100.64.0.0/10 192.0.0.0/24 192.88.99.0/24 198.18.0.0/15 240.0.0.0/4 64:ff9b::/96 64:ff9b:1::/48 2001::/23 2002::/16 fc00::/7 fec0::/10 ff00::/8".split()]
+SPECIAL = [
+    ipaddress.ip_network(n)
+    for n in (
+        "0.0.0.0/8",
+        "100.64.0.0/10",
+        "168.63.129.16/32",
+        "192.0.0.0/24",
+        "192.88.99.0/24",
+        "198.18.0.0/15",
+        "240.0.0.0/4",
+        "64:ff9b::/96",
+        "64:ff9b:1::/48",
+        "2001::/23",
+        "2002::/16",
+        "fc00::/7",
+        "fec0::/10",
+        "ff00::/8",
+    )
+]
 
 
 class FetchError(RuntimeError):
@@ -50,6 +69,22 @@ def origin_of(text: str) -> str:
     return f"https://{u.netloc}"
 
 
+def addresses_of(host: str) -> list[str]:
+    """The addresses a host resolves to."""
+    try:
+        return list(dict.fromkeys(a[4][0] for a in socket.getaddrinfo(host, 443, type=socket.SOCK_STREAM)))
+    except OSError as e:
+        raise FetchError("resolve") from e
+
+
+def safe_addresses(host: str, resolve: Callable[[str], list[str]]) -> list[str]:
+    """The public addresses of a host; an error where it has none."""
+    found = [a for a in resolve(host) if not unsafe_address(a)]
+    if not found:
+        raise FetchError("private address")
+    return found
+
+
 def path_of(origin: str, text: str) -> str:
     """The URL of an absolute path on the origin."""
     u = urlsplit(text)
@@ -86,8 +121,12 @@ def inflate(body: bytes, most: int) -> bytes:
     return out
 
 
-def fetch(origin: str, path: str, send: Callable[[str, Mapping[str, str]], Answer], *, deadline: float | None, etag: str = "", last_modified: str = "", most: int = BODY_BYTES, accept: Callable[[str], bool] | None = None) -> Fetched:
-    """Fetch a path; ``deadline`` is a monotonic time and must be given."""
+def fetch(origin: str, path: str, send: Callable[[str, Mapping[str, str]], Answer], *, deadline: float | None, etag: str = "", last_modified: str = "", most: int = BODY_BYTES, accept: Callable[[str], bool] | None = None, resolve: Callable[[str], list[str]] | None = None) -> Fetched:
+    """Fetch a path; ``deadline`` is a monotonic time and must be given.
+
+    With ``resolve``, the host must have a public address before each request is sent; a transport
+    of its own must connect to one of :func:`safe_addresses`, as ``transport.https`` does.
+    """
     if deadline is None:
         raise FetchError("no deadline")
     origin = origin_of(origin)
@@ -95,6 +134,8 @@ def fetch(origin: str, path: str, send: Callable[[str, Mapping[str, str]], Answe
     for hop in range(REDIRECTS + 1):
         if time.monotonic() > deadline:
             raise FetchError("deadline")
+        if resolve:
+            safe_addresses(urlsplit(url).hostname or "", resolve)
         answer = send(url, headers)
         given = {k.lower(): v for k, v in answer.headers.items()}
         if answer.status in (301, 302, 303, 307, 308):

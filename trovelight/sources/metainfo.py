@@ -379,11 +379,13 @@ def inspect_magnets(df: DataFrame, key: str, uri: str) -> DataFrame:
 
 
 def read_metainfo(spark: SparkSession, path: str) -> DataFrame:
-    """Inspections of the ``.torrent`` files at ``path`` that aren't too large; symlinks are refused."""
+    """Inspections of the ``.torrent`` files at ``path``; of too large ones only an ``error``. Symlinks are refused."""
     if "://" not in path and Path(path).is_symlink():
         raise MetainfoError("symlink")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.torrent").load(path).where(F.col("length") <= METAINFO_BYTES)
-    return inspect_bodies(files)
+    every = spark.read.format("binaryFile").option("pathGlobFilter", "*.torrent").load(path)
+    small = every.where(F.col("length") <= METAINFO_BYTES)
+    large = every.where(F.col("length") > METAINFO_BYTES).select("path", *[(F.lit("too large") if f.name == "error" else F.lit(None)).cast(f.dataType).alias(f.name) for f in INSPECTION.fields])
+    return inspect_bodies(small).unionByName(large)
 
 
 def files_of(inspections: DataFrame, key: str = "path") -> DataFrame:

@@ -71,9 +71,9 @@ def parse_items(body: bytes, most_bytes: int = S.CATALOGUE_BYTES, most_records:
     def end(name: str) -> None:
         path.pop()
         if path == ["rss", "channel", "item"]:
-            value = "".join(text).strip()
+            value = "".join(text)
             len(value.encode()) <= ITEM_FIELDS[name] or fail(f"{name} too long")
-            items[-1][name] = value
+            items[-1][name] = value.strip()
         elif name == "item" and path == ["rss", "channel"]:
             item = items[-1]
             set(item) == set(ITEM_FIELDS) or fail("missing field")
@@ -88,7 +88,7 @@ def parse_items(body: bytes, most_bytes: int = S.CATALOGUE_BYTES, most_records:
         elif s.strip():
             fail("stray text")
 
-    parser = expat.ParserCreate()
+    parser = expat.ParserCreate(namespace_separator=" ")  # a name of a namespace is none of ours
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, data
     parser.StartDoctypeDeclHandler = lambda *a: fail("doctype")
     parser.ProcessingInstructionHandler = lambda *a: fail("processing instruction")
@@ -102,15 +102,21 @@ def parse_items(body: bytes, most_bytes: int = S.CATALOGUE_BYTES, most_records:
 
 
 def read_catalogues(spark: SparkSession, path: str) -> DataFrame:
-    """Items of the XML files at ``path``, with ``path`` and ``ordinal``; of an infohash the first holds."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= S.CATALOGUE_BYTES).select("path", "content")
+    """Items of the XML files at ``path``, with ``path`` and ``ordinal``; of an infohash the first holds.
+
+    First is the lower path, then the lower place. A file that breaks the format or is too large fails
+    the read.
+    """
+    every = spark.read.format("binaryFile").load(path)
+    files = every.where(F.col("length") <= S.CATALOGUE_BYTES).select("path", "content")
+    large = every.where(F.col("length") > S.CATALOGUE_BYTES).select(F.raise_error(F.concat(F.lit("too large: "), F.col("path"))).cast("string").alias("path"), F.lit(None).cast("binary").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pylist([{"path": name, "ordinal": k} | i for k, i in enumerate(parse_items(body))], schema=_ARROW)
 
-    return first_of(files.mapInArrow(run, ITEM), "infohash", "ordinal")
+    return first_of(files.unionByName(large).mapInArrow(run, ITEM), "infohash", F.struct("path", "ordinal"))
 
 
 _ARROW = pa.schema([("path", pa.string()), ("ordinal", pa.int64()), *[(n, pa.string()) for n in ("title", "category", "infohash", "guid", "link", "description")], ("size_bytes", pa.int64())])
@@ -125,3 +131,26 @@ def item_records(items: DataFrame, provider: str, origin: str) -> DataFrame:
         F.concat(F.lit(f"{origin}/details/"), h).alias("details_url"), F.concat(F.lit("magnet:?xt=urn:btih:"), h).alias("magnet_uri"), F.concat(F.lit(f"{origin}/download/"), h, F.lit(".torrent")).alias("torrent_url"),
         "size_bytes", F.when(facet.rlike("^[a-z0-9_-]{1,64}$"), F.array(facet)).otherwise(F.array().cast("array<string>")).alias("categories"),
     )
+
+
+def check_item_record(record: dict, provider: str, origin: str) -> dict:
+    """A saved provider row of an item, its addresses derived anew; raises for what no item could have given."""
+    h, size = record.get("infohash_v1"), record.get("size_bytes")
+    given = {k for k, v in record.items() if v not in (None, "", [])}
+    sound = (
+        record.get("provider") == provider
+        and isinstance(h, str)
+        and re.fullmatch(r"[0-9a-f]{40}", h) is not None
+        and record.get("source_id") == h
+        and isinstance(size, int)
+        and 0 <= size < 2**63
+        and given <= {"provider", "source_id", "title", "description", "infohash_v1", "details_url", "magnet_uri", "torrent_url", "size_bytes", "categories"}
+        and isinstance(record.get("title"), str)
+        and 0 < len(record["title"].encode()) <= ITEM_FIELDS["title"]
+        and len((record.get("description") or "").encode()) <= ITEM_FIELDS["description"]
+        and len(record.get("categories") or []) <= 1
+        and all(re.fullmatch("[a-z0-9_-]{1,64}", c) for c in record.get("categories") or [])
+    )
+    if not sound:
+        raise CatalogueFormatError("saved record")
+    return record | {"details_url": f"{origin}/details/{h}", "magnet_uri": f"magnet:?xt=urn:btih:{h}", "torrent_url": f"{origin}/download/{h}.torrent"}

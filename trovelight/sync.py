@@ -17,7 +17,7 @@ from trovelight.sources import snapshot as disk
 from trovelight.sources.contract import CatalogSnapshot, Source
 from trovelight.sources.http import Answer, fetch
 from trovelight.sources.metainfo import MetainfoError, inspect_metainfo
-from trovelight.sources.xml import item_records, parse_items
+from trovelight.sources.xml import check_item_record, item_records, parse_items
 
 SYNC_SECONDS = 30.0
 
@@ -46,6 +46,7 @@ class XmlProvider:
     def sync(self) -> CatalogSnapshot:
         """Fetch what is new; an unchanged catalogue comes from the snapshot, and nothing is saved."""
         held = disk.load(self._snapshot(), self.name)
+        held.records = [check_item_record(r, self.name, self.origin) for r in held.records]
         got = fetch(self.origin, self.path, self.send, deadline=time.monotonic() + SYNC_SECONDS, etag=held.etag if held.records else "", last_modified=held.last_modified if held.records else "", most=CATALOGUE_BYTES)
         if got.unchanged:
             if not held.records:
