@@ -94,7 +94,7 @@ SEARCHES: dict[str, tuple[str, dict, dict]] = {
     "filter_date_unknown_excluded": ("collection since 2004", {}, {"must": [["collection"]], "where": "g_date >= DATE '2004-01-01'"}),
     "filter_date_after": ("collection after 2015", {}, {"must": [["collection"]], "where": "g_date >= DATE '2016-01-01'"}),
     "filter_language_any": ("lang:fr lang:de", {}, {"where": "list_has_any(languages, ['fr', 'de'])"}),
-    "filter_language_natural": ("german galaxien", {}, {"must": [["galaxien"]], "where": "list_contains(languages, 'de')"}),
+    "filter_language_natural": ("galaxien in german", {}, {"must": [["galaxien"]], "where": "list_contains(languages, 'de')"}),
     "filter_category_any": ("category:science category:law", {}, {"where": "list_has_any(categories, ['science', 'law'])"}),
     "filter_kind_natural": ("survey dataset", {}, {"must": [["survey"]], "where": "list_contains(content_kinds, 'dataset')"}),
     "filter_media_any": ("media:video media:audio", {}, {"where": "list_has_any(media_kinds, ['video', 'audio'])"}),
