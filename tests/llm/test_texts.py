@@ -46,6 +46,13 @@ def test_form_is_stable_and_keeps_every_row(odd, spark):
     assert glyphs.unify(odd.limit(0)).count() == 0
 
 
+def test_forms_of_other_scripts(spark):
+    rows = [(1, "\ufefb \ufe8d\ufedf", "\u2460 \u24d0 \u3371 \u3392"), (2, "\ufb2a\ufb4f", "\ufdfa")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], RECORD)
+    got = {(r.record_id, r.field_name): r.unified for r in glyphs.unify(df).collect()}
+    assert got == {(1, "title"): "\u0644\u0627 \u0627\u0644", (1, "description"): "1 a hPa MHz", (2, "title"): "\u05e9\u05c1\u05d0\u05dc", (2, "description"): "\u0635\u0644\u0649 \u0627\u0644\u0644\u0647 \u0639\u0644\u064a\u0647 \u0648\u0633\u0644\u0645"}
+
+
 def test_python_fold_agrees_with_sql(odd):
     for r in glyphs.unify(odd, changed_only=False).collect():
         if r.record_id != 7:

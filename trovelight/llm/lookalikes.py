@@ -29,8 +29,12 @@ SPACES = "\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 HYPHENS = "‐‑֊⁃﹣－"
 EMOJI = "‼-⁉←-⇿⌀-⏿☀-➿⬀-⯿\U0001f000-\U0001faff"
 LATIN, FOREIGN = r"A-Za-zªºÀ-ÖØ-öø-ɏḀ-ỿ", r"Ͱ-Ͽἀ-῿Ѐ-ԯԱ-֏ɑɡɩꓲ"
-#: Blocks whose compatibility forms stand for plain characters: widths, ligatures, styled letters, Roman numerals.
-FORMS = ((0xFF01, 0xFF9F), (0xFFA1, 0xFFDC), (0xFFE0, 0xFFEE), (0xFE50, 0xFE6B), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x1D400, 0x1D7FF), (0x2160, 0x217F), (0x0132, 0x0133), (0x01C4, 0x01CC))
+#: Blocks whose compatibility forms stand for plain characters: widths, ligatures, styled letters, Roman numerals,
+#: Hebrew and Arabic presentation forms, enclosed letters and numbers, East Asian squares.
+FORMS = (
+    (0xFF01, 0xFF9F), (0xFFA1, 0xFFDC), (0xFFE0, 0xFFEE), (0xFE50, 0xFE6B), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x1D400, 0x1D7FF), (0x2160, 0x217F), (0x0132, 0x0133), (0x01C4, 0x01CC),
+    (0xFB1D, 0xFB4F), (0xFB50, 0xFDFC), (0xFE70, 0xFEFC), (0x2460, 0x24FF), (0x3200, 0x33FF),
+)
 
 
 def expand(ranges: str) -> str:
