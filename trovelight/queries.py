@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,7 +22,8 @@ from trovelight.output import json_lines
 from trovelight.plans.search import hits, search
 from trovelight.schema import METAINFO_BYTES
 from trovelight.session import table
-from trovelight.sources.metainfo import inspect_bodies, inspect_magnets
+from trovelight.sources.metainfo import files_of, inspect_bodies, inspect_magnets
+from trovelight.sources.xml import items_of
 from trovelight.sync import replace_provider
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -253,25 +254,71 @@ def nfkc_fold(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "records").select("record_id", search_text(F.col("title")).alias("title"))
 
 
-def _metainfo_bodies(spark: SparkSession, folder: str) -> DataFrame:
-    """A metainfo body for each inspection, of one file of its size.
+def _string(c: Column) -> Column:
+    """An ASCII text as a metainfo string."""
+    return F.concat(F.length(c).cast("string"), F.lit(":"), c)
+
+
+def _safe_name(c: Column) -> Column:
+    return F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z0-9_-]", "_")
+
+
+def _inspected(bodies: DataFrame) -> DataFrame:
+    return inspect_bodies(bodies, "inspection_id", "content").select("inspection_id", "format", "infohash_v1", "infohash_v2", "total_size", "error")
+
+
+def inspect_metainfo(spark: SparkSession, folder: str) -> DataFrame:
+    """Torrent metadata of a body for each inspection, of one file of its size; without a size there is no body.
 
     One whose pieces alone exceed ``METAINFO_BYTES`` ends one piece behind them, as its reader refuses it whatever follows.
     """
-    name = F.regexp_replace(F.coalesce("name", F.lit("")), "[^A-Za-z0-9 _-]", "_")
     total, piece = F.col("total_size"), F.greatest(F.col("piece_length"), F.lit(16384))
     count = F.least(F.ceil(total / piece), F.lit(METAINFO_BYTES // 20 + 1)).cast("int")
-    info = F.concat(F.lit("d6:lengthi"), total.cast("string"), F.lit("e4:name"), F.length(name).cast("string"), F.lit(":"), name, F.lit("12:piece lengthi"), piece.cast("string"), F.lit("e6:pieces"), (count * 20).cast("string"), F.lit(":"), F.repeat(F.lit("x" * 20), count), F.lit("e"))
-    held = table(spark, folder, "inspections").where((total >= 0) & (name != ""))
-    return held.select("inspection_id", "total_size", info.alias("info"), F.encode(F.concat(F.lit("d4:info"), info, F.lit("e")), "utf-8").alias("content"))
+    info = F.concat(F.lit("d6:lengthi"), total.cast("string"), F.lit("e4:name"), _string(_safe_name(F.col("name"))), F.lit("12:piece lengthi"), piece.cast("string"), F.lit("e6:pieces"), (count * 20).cast("string"), F.lit(":"), F.repeat(F.lit("x" * 20), count), F.lit("e"))
+    return _inspected(table(spark, folder, "inspections").select("inspection_id", F.encode(F.concat(F.lit("d4:info"), info, F.lit("e")), "utf-8").alias("content")))
 
 
-def inspect_metainfo(spark: SparkSession, folder: str) -> DataFrame:
-    """Torrent metadata of bodies made from the inspections; the hash is compared with the built-in digest."""
-    bodies = _metainfo_bodies(spark, folder)
-    got = inspect_bodies(bodies, "inspection_id", "content").select("inspection_id", "format", "infohash_v1", F.col("total_size").alias("read_size"), "error")
-    said = bodies.select("inspection_id", F.col("total_size").alias("said_size"), F.sha1(F.encode("info", "utf-8")).alias("said_v1"))
-    return got.join(said, "inspection_id").select("inspection_id", "format", "error", (F.col("infohash_v1") == F.col("said_v1")).alias("hash_agrees"), (F.col("read_size") == F.col("said_size")).alias("size_agrees"))
+def inspect_metainfo_v2(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of a version 2 body, whose one file fits a piece and so needs no layer."""
+    piece, name = F.lit(16384), _string(_safe_name(F.col("name")))
+    size = F.pmod(F.col("total_size"), piece) + 1
+    info = F.concat(F.lit("d9:file treed"), name, F.lit("d0:d6:lengthi"), size.cast("string"), F.lit("e11:pieces root32:" + "r" * 32 + "eee12:meta versioni2e4:name"), name, F.lit("12:piece lengthi16384ee"))
+    return _inspected(table(spark, folder, "inspections").select("inspection_id", F.encode(F.concat(F.lit("d4:info"), info, F.lit("e")), "utf-8").alias("content")))
+
+
+def inspect_metainfo_hybrid(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of a body of both versions."""
+    name = _string(_safe_name(F.col("name")))
+    size = (F.pmod(F.col("total_size"), F.lit(16384)) + 1).cast("string")
+    info = F.concat(F.lit("d9:file treed"), name, F.lit("d0:d6:lengthi"), size, F.lit("e11:pieces root32:" + "r" * 32 + "eee6:lengthi"), size, F.lit("e12:meta versioni2e4:name"), name, F.lit("12:piece lengthi16384e6:pieces20:" + "x" * 20 + "e"))
+    return _inspected(table(spark, folder, "inspections").select("inspection_id", F.encode(F.concat(F.lit("d4:info"), info, F.lit("e")), "utf-8").alias("content")))
+
+
+def inspect_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a body made of each inspection's files, with their places in it."""
+    place = F.lpad(F.col("file_index").cast("string"), 6, "0")
+    name = F.concat(place, F.lit("-"), _safe_name(F.col("path")))
+    entry = F.struct("file_index", F.concat(F.lit("d6:lengthi"), F.col("size").cast("string"), F.lit("e4:pathl"), _string(name), F.lit("ee")).alias("entry"), "size")
+    held = table(spark, folder, "inspection_files").groupBy("inspection_id").agg(F.array_sort(F.collect_list(entry)).alias("f"))  # a torrent's own files
+    total = F.aggregate("f", F.lit(0).cast("long"), lambda a, x: a + x["size"])
+    piece = F.greatest(F.lit(16384).cast("long"), F.ceil(total / 1000))
+    info = F.concat(F.lit("d5:filesl"), F.array_join(F.transform("f", lambda x: x["entry"]), ""), F.lit("e4:name1:t12:piece lengthi"), piece.cast("string"), F.lit("e6:pieces"), (F.ceil(total / piece) * 20).cast("string"), F.lit(":"), F.repeat(F.lit("x" * 20), F.ceil(total / piece).cast("int")), F.lit("e"))
+    got = inspect_bodies(held.select("inspection_id", F.encode(F.concat(F.lit("d4:info"), info, F.lit("e")), "utf-8").alias("content")), "inspection_id", "content")
+    return files_of(got, "inspection_id").select("inspection_id", F.col("file_index").cast("long").alias("file_index"), "file_path", "size")
+
+
+def catalogue_xml_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of an XML body made of each record; a record that can't be an item gives its error."""
+    def field(name: str, c: Column) -> Column:
+        text = F.coalesce(c, F.lit(""))
+        for sign, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+            text = F.replace(text, F.lit(sign), F.lit(by))
+        return F.concat(F.lit(f"<{name}>"), text, F.lit(f"</{name}>"))
+
+    h = F.lower(F.trim(F.coalesce("infohash_v1", F.lit(""))))
+    item = F.concat(field("title", F.col("title")), field("category", F.get("categories", 0)), field("infohash", h), field("guid", F.col("record_id").cast("string")), field("link", F.lit("l")), field("description", F.lit("d")), field("size", F.col("size_bytes").cast("string")))
+    body = F.encode(F.concat(F.lit('<rss version="2.0"><channel><item>'), item, F.lit("</item></channel></rss>")), "utf-8")
+    return items_of(table(spark, folder, "records").select("record_id", body.alias("body")), "record_id", "body").select("record_id", "title", "category", "infohash", "size_bytes", "error")
 
 
 def squashed_titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -283,7 +330,7 @@ QUERIES: dict[str, Query] = {name: _searched(text, **more) for name, (text, more
     for f in (
         group_transitive_hash, group_size_histogram, group_values, record_completeness, record_structured_text, catalogue_scan, posting_stats, document_frequency, field_length, dedupe_source_key, record_errors,
         record_infohash_valid, record_identifiers, raw_completeness, agreed_sizes, normalize_search_text_ascii, sanitize_text, quarantine, search_batch, sync_replace_provider, magnet_parse, inspection_totals, piece_offsets,
-        ndjson_encode, squashed_titles, infohash_from_bytes, nfkc_fold, inspect_metainfo, p2_found, p2_changes,
+        ndjson_encode, squashed_titles, infohash_from_bytes, nfkc_fold, inspect_metainfo, inspect_metainfo_v2, inspect_metainfo_hybrid, inspect_files, catalogue_xml_scan, p2_found, p2_changes,
     )
 } | {"compact_text": compact_text_query}
 _TRIM = "E' \\t\\n\\r'"
@@ -296,6 +343,8 @@ _SQL_COMPLETENESS = " + ".join(
     + [f"len({demo._facet_sql(c)})" for c in demo._FACETS]
 )
 
+_SQL_NAMED = "WITH named AS (SELECT inspection_id, total_size, piece_length, regexp_replace(coalesce(name, ''), '[^A-Za-z0-9_-]', '_', 'g') AS name, total_size % 16384 + 1 AS size FROM inspections) "
+
 SQL: dict[str, str] = {name: search_sql(**more) for name, (_, _, more) in SEARCHES.items()} | {
     "group_transitive_hash": CATALOGUE_SQL + 'SELECT provider, source_id, grp AS "group" FROM rec',
     "group_size_histogram": CATALOGUE_SQL + "SELECT n_sources, count(*) AS n_groups FROM (SELECT count(*) AS n_sources FROM rec GROUP BY grp) GROUP BY n_sources",
@@ -324,6 +373,25 @@ SQL: dict[str, str] = {name: search_sql(**more) for name, (_, _, more) in SEARCH
     "piece_offsets": """SELECT inspection_id, file_index, f_offset AS "offset", (f_offset // piece_length)::BIGINT AS piece FROM (
   SELECT inspection_id, file_index, coalesce(sum(size) OVER (PARTITION BY inspection_id ORDER BY file_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS f_offset FROM inspection_files
 ) JOIN inspections USING (inspection_id) WHERE piece_length > 0""",
+    "ndjson_encode": f"""WITH hits AS ({search_sql(**SEARCHES["search_required_term"][2] | {"limit": 10})})
+SELECT rank AS sequence, '{{"schema_version":1,"type":"result","sequence":' || rank || ',"data":{{"group":"' || "group" || '","source_id":' || to_json(source_id)::VARCHAR || ',"source_count":' || source_count || '}}}}' AS line FROM hits
+UNION ALL SELECT count(*) + 1, '{{"schema_version":1,"type":"done","sequence":' || (count(*) + 1) || ',"data":null}}' FROM hits""",
+    "inspect_metainfo": _SQL_NAMED + f"""SELECT inspection_id, CASE WHEN bad IS NULL THEN 'v1' END AS format, CASE WHEN bad IS NULL THEN sha1(info) END AS infohash_v1, NULL::VARCHAR AS infohash_v2, CASE WHEN bad IS NULL THEN total_size END AS total_size, bad AS error FROM (
+  SELECT *, CASE WHEN total_size IS NULL OR piece IS NULL THEN 'nothing to inspect' WHEN n > {METAINFO_BYTES // 20} THEN 'too large' WHEN name = '' THEN 'unsafe path' END AS bad,
+    'd6:lengthi' || total_size || 'e4:name' || length(name) || ':' || name || '12:piece lengthi' || piece || 'e6:pieces' || (n * 20) || ':' || repeat('{"x" * 20}', n) || 'e' AS info
+  FROM (SELECT *, least(ceil(total_size / piece), {METAINFO_BYTES // 20 + 1})::INT AS n FROM (SELECT *, greatest(piece_length, 16384) AS piece FROM named)))""",
+    "inspect_metainfo_v2": _SQL_NAMED + f"""SELECT inspection_id, CASE WHEN bad IS NULL THEN 'v2' END AS format, NULL::VARCHAR AS infohash_v1, CASE WHEN bad IS NULL THEN sha256(info) END AS infohash_v2, CASE WHEN bad IS NULL THEN size END AS total_size, bad AS error FROM (
+  SELECT *, CASE WHEN size IS NULL THEN 'nothing to inspect' WHEN name = '' THEN 'unsafe path' END AS bad,
+    'd9:file treed' || length(name) || ':' || name || 'd0:d6:lengthi' || size || 'e11:pieces root32:{"r" * 32}eee12:meta versioni2e4:name' || length(name) || ':' || name || '12:piece lengthi16384ee' AS info
+  FROM named)""",
+    "inspect_metainfo_hybrid": _SQL_NAMED + f"""SELECT inspection_id, CASE WHEN bad IS NULL THEN 'hybrid' END AS format, CASE WHEN bad IS NULL THEN sha1(info) END AS infohash_v1, CASE WHEN bad IS NULL THEN sha256(info) END AS infohash_v2, CASE WHEN bad IS NULL THEN size END AS total_size, bad AS error FROM (
+  SELECT *, CASE WHEN size IS NULL THEN 'nothing to inspect' WHEN name = '' THEN 'unsafe path' END AS bad,
+    'd9:file treed' || length(name) || ':' || name || 'd0:d6:lengthi' || size || 'e11:pieces root32:{"r" * 32}eee6:lengthi' || size || 'e12:meta versioni2e4:name' || length(name) || ':' || name || '12:piece lengthi16384e6:pieces20:{"x" * 20}e' AS info
+  FROM named)""",
+    "inspect_files": "SELECT inspection_id, row_number() OVER (PARTITION BY inspection_id ORDER BY file_index) AS file_index, lpad(file_index::VARCHAR, 6, '0') || '-' || regexp_replace(coalesce(path, ''), '[^A-Za-z0-9_-]', '_', 'g') AS file_path, size FROM inspection_files",
+    "catalogue_xml_scan": f"""SELECT record_id, CASE WHEN bad IS NULL THEN t END AS title, CASE WHEN bad IS NULL THEN c END AS category, CASE WHEN bad IS NULL THEN h END AS infohash, CASE WHEN bad IS NULL THEN size_bytes END AS size_bytes, bad AS error FROM (
+  SELECT *, CASE WHEN regexp_matches(raw, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x{{fffe}}\\x{{ffff}}]') THEN 'malformed' WHEN strlen(raw) > 1024 THEN 'title too long' WHEN t = '' THEN 'title' WHEN NOT regexp_full_match(h, '[0-9a-f]{{40}}') THEN CASE WHEN strlen(h) > 40 THEN 'infohash too long' ELSE 'infohash' END WHEN size_bytes IS NULL THEN 'size' END AS bad
+  FROM (SELECT record_id, coalesce(title, '') AS raw, trim(coalesce(title, ''), {demo._quoted(demo._BLANK)}) AS t, trim(coalesce(categories[1], ''), {demo._quoted(demo._BLANK)}) AS c, lower(trim(coalesce(infohash_v1, ''), ' ')) AS h, size_bytes FROM records))""",
     "infohash_from_bytes": "SELECT p_partkey, sha1(p_name) AS infohash_v1, sha256(p_name) AS infohash_v2 FROM part",
     "squashed_titles": "SELECT snapshot_id, ordinal, trim(regexp_replace(coalesce(title, ''), '\\s+', ' ', 'g')) AS title FROM snapshot_records",
     "p2_found": _SQL_STATES + "SELECT snapshot_id, source_id, change_kind FROM compared WHERE change_kind IS NOT NULL",

@@ -154,3 +154,29 @@ def check_item_record(record: dict, provider: str, origin: str) -> dict:
     if not sound:
         raise CatalogueFormatError("saved record")
     return record | {"details_url": f"{origin}/details/{h}", "magnet_uri": f"magnet:?xt=urn:btih:{h}", "torrent_url": f"{origin}/download/{h}.torrent"}
+
+
+def items_of(df: DataFrame, key: str, content: str) -> DataFrame:
+    """A row per item of the XML bodies in a column, with ``key``, ``ordinal`` and ``error``.
+
+    A body that breaks the format (null too) has one row, which only holds the ``error``. Repeated
+    keys are bodies of their own; other columns are ignored.
+    """
+    fields = [T.StructField("ordinal", T.LongType()), *[f for f in ITEM.fields if f.name not in ("path", "ordinal")], T.StructField("error", T.StringType())]
+    schema = T.StructType([df.select(key).schema[0], *fields])
+    arrow = pa.schema([("ordinal", pa.int64()), *[f for f in _ARROW if f.name not in ("path", "ordinal")], ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, rows = [], []
+            for k, body in enumerate(batch.column(1).to_pylist()):
+                try:
+                    found = [{"ordinal": n} | i for n, i in enumerate(parse_items(body or b""))]
+                except CatalogueFormatError as e:
+                    found = [{"error": str(e).partition(":")[0]}]
+                at += [k] * len(found)
+                rows += found
+            out = pa.RecordBatch.from_pylist(rows, schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *out.columns], names=schema.names)
+
+    return df.select(key, content).mapInArrow(run, schema)
