@@ -2,7 +2,9 @@ from pyspark.sql import functions as F
 
 from trovelight.functions.facets import completeness, extension_set, identifiers, resolution_set
 from trovelight.functions.text import ascii_fold, filled, info_hash, squash, strip
+from trovelight.functions.unicode import bounded, compact_text, display_text, search_text
 from trovelight.operators.sampling import hash_sample
+from trovelight.plans.query import compact, normalize
 
 
 def test_texts(spark):
@@ -22,3 +24,11 @@ def test_samples(spark):
     df = spark.range(5000)
     assert hash_sample(df, "id", rows=6000).count() == 5000 and hash_sample(df, "id", rows=700).count() == 700 and hash_sample(df.limit(0), "id", rows=7).count() == 0
     assert sorted(hash_sample(df, "id", rows=700).collect()) == sorted(hash_sample(df.repartition(7), "id", rows=700).collect())
+
+
+def test_array_forms_agree_with_plain_ones(spark):
+    """ASCII texts are folded as arrays, others one by one, to the same forms."""
+    texts = ["", None, " \t A-b_C.d \x1f\x1c", "x\x00y\x7f z\r\n", "Straße ＳＥＥ ", "e\u0301", "\x1b[31m", "a" * 5000 + "É", "İ ǅ ﬁ", "\u2028a\u00a0b"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", search_text(F.col("t")).alias("s"), compact_text(F.col("t")).alias("c"), display_text(F.col("t")).alias("d")).collect()
+    for r in got:
+        assert (r.s, r.c, r.d) == ((None,) * 3 if r.t is None else (normalize(r.t), compact(r.t), bounded(r.t)))

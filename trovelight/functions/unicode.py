@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,16 +16,32 @@ from trovelight.plans.query import compact, normalize
 _CONTROL = re.compile("[\x00-\x1f\x7f-\x9f\u061c\u200e\u200f\u202a-\u202e\u2066-\u2069]")
 
 
-def _udf(function):
-    """A string to string Arrow UDF of a Python function; null stays null."""
+_ASCII_SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else function(t))
+
+def _udf(function, of_ascii=None):
+    """A string to string Arrow UDF of a Python function; null stays null.
+
+    ``of_ascii`` does the same to a whole array of ASCII texts; then only others reach the function.
+    """
+
+    @F.arrow_udf(T.StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        if of_ascii is None:
+            return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
+        odd = pc.invert(pc.fill_null(pc.string_is_ascii(texts), True))
+        out = of_ascii(texts)
+        if not pc.any(odd).as_py():
+            return out
+        return pc.replace_with_mask(out, odd, pa.array([function(t) for t in texts.filter(odd).to_pylist()], out.type))
 
     return run
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    return pc.ascii_lower(pc.ascii_trim(texts, characters=_ASCII_SPACES))
+
+
 def bounded(text: str) -> str:
     """Compatibility-composed, controls and bidi controls as spaces, whitespace runs as one space."""
     if not text.isascii():
@@ -32,7 +49,9 @@ def bounded(text: str) -> str:
     return " ".join(_CONTROL.sub(" ", text).split())
 
 
-_normalize, _compact, _bounded = _udf(normalize), _udf(compact), _udf(bounded)
+_normalize = _udf(normalize, _lowered)
+_compact = _udf(compact, lambda t: pc.replace_substring_regex(_lowered(t), "[-_. ]", ""))
+_bounded = _udf(bounded, lambda t: pc.ascii_trim(pc.replace_substring_regex(t, r"[\x00-\x20\x7f]+", " "), characters=" "))
 
 
 def search_text(c: Column) -> Column:
