@@ -8,7 +8,7 @@ import pytest
 
 from trovelight import cli
 from trovelight.catalogue import Catalogue, CatalogueError
-from trovelight.operators.grouping import connected
+from trovelight.operators.grouping import ONE_PROCESS, Limits, connected
 from trovelight.plans.query import parse
 from trovelight.plans.search import search, search_many
 from trovelight.sources.http import Answer
@@ -227,3 +227,13 @@ def test_saved_rows_are_checked(spark, tmp_path):
     path.write_text(json.dumps(saved | {"records": [saved["records"][0] | {"details_url": "https://elsewhere.example/"}]}))
     p.send = lambda url, headers: Answer(304)
     assert p.sync().records.first().details_url == "https://shelf.example/details/" + "a" * 40
+
+
+def test_limits(spark, tmp_path):
+    rows = spark.createDataFrame([("a", str(k), "x", "a" * 40) for k in range(3)], RAW + ", infohash_v1 string")
+    assert Catalogue(spark, str(tmp_path / "ok"), ONE_PROCESS).rebuild(rows)["records"] == 3
+    for limits in (Limits(records=2), Limits(record_bytes=50), Limits(group_sources=2), Limits(group_bytes=100)):
+        c = Catalogue(spark, str(tmp_path / "live"), limits)
+        with pytest.raises(ValueError, match="over the limit"):
+            c.rebuild(rows)
+        assert c.open() is False and not c.building.exists()

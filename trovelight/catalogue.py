@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trovelight.operators.grouping import build_records, build_sound_records
+from trovelight.operators.grouping import Limits, build_records, build_sound_records
 from trovelight.operators.index import DOCUMENT, Index, arranged, build_index
 from trovelight.operators.records import normalize_records, require_valid, split_records
 from trovelight.plans.query import parse
@@ -35,8 +35,8 @@ class Catalogue:
     generation they opened.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+    def __init__(self, spark: SparkSession, root: str, limits: Limits | None = None):
+        self.spark, self.root, self.limits = spark, Path(root), limits
         self.building, self.previous, self.failed = (self.root.with_name(self.root.name + s) for s in (".building", ".previous", ".failed"))
 
     # lifecycle
@@ -91,13 +91,15 @@ class Catalogue:
         return self.publish(sound, invalid.select(*FIELDS, "errors").unionByName(clashing))
 
     def publish(self, records: DataFrame, quarantine: DataFrame | None = None) -> dict[str, int]:
-        """Write, verify and make live a generation of grouped records."""
+        """Write, verify and make live a generation of grouped records, if it keeps the catalogue's limits."""
         for at in (self.root, self.previous, self.building):
             self._state(at)
         shutil.rmtree(self.building, ignore_errors=True)
         self.building.parent.mkdir(parents=True, exist_ok=True)
         try:
             arranged("records", records).write.parquet(f"{self.building}/records")
+            if self.limits:
+                self.limits.check(self.spark.read.parquet(f"{self.building}/records"))
             if quarantine is not None:
                 quarantine.write.parquet(f"{self.building}/quarantine")
             index = build_index(self.spark.read.parquet(f"{self.building}/records"))

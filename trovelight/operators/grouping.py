@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import astuple, dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,28 @@ from trovelight.session import cut_lineage
 GROUP_HASHES = 65_536
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a generation may hold at most; None where nothing is limited. Bytes are of canonical JSON."""
+
+    records: int | None = None
+    record_bytes: int | None = None
+    group_sources: int | None = None
+    group_bytes: int | None = None
+
+    def check(self, records: DataFrame) -> None:
+        """Raise for grouped records beyond a limit. Groups are only counted and summed."""
+        sizes = records.groupBy("group").agg(F.count("*").alias("n"), F.sum(F.octet_length(encoded(records)) + 1).alias("bytes"))
+        row = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.max("bytes"), F.lit(0))).first()
+        for what, is_, most in zip(("records", "bytes", "sources of a group", "bytes of a group"), row, astuple(self), strict=True):
+            if most is not None and is_ > most:
+                raise ValueError(f"{is_} {what}, over the limit of {most}")
+
+
+# What an index of one process may hold.
+ONE_PROCESS = Limits(1_000_000, 256 << 20, 4096, 16 << 20)
+
+
 def merge_sources(records: DataFrame) -> DataFrame:
     """One record per (provider, source_id), with ``conflict`` where its rows contradict each other.
 
