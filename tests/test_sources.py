@@ -217,8 +217,14 @@ def test_long_piece_lists_are_inspected(spark, tmp_path):
 
     rows = [(1, "small", 40_000, 16384), (2, "long", 5001 * 16384, 16384), (3, "longer", 100_000 * 16384, 16384), (4, "too long", 2**62, 16384), (5, "unknown", None, 16384)]
     spark.createDataFrame(rows, "inspection_id long, name string, total_size long, piece_length long").write.parquet(f"{tmp_path}/inspections.parquet")
-    got = {r.inspection_id: (r.error, r.hash_agrees, r.size_agrees) for r in QUERIES["inspect_metainfo"](spark, str(tmp_path)).collect()}
-    assert got == {1: (None, True, True), 2: (None, True, True), 3: (None, True, True), 4: ("too large", None, None)}
+    got = {r.inspection_id: (r.error, r.infohash_v1, r.total_size) for r in QUERIES["inspect_metainfo"](spark, str(tmp_path)).collect()}
+
+    def said(name, total, piece):
+        n = -(-total // piece)
+        info = f"d6:lengthi{total}e4:name{len(name)}:{name}12:piece lengthi{piece}e6:pieces{20 * n}:" + "x" * 20 * n + "e"
+        return None, hashlib.sha1(info.encode()).hexdigest(), total
+
+    assert got == {k: said(n.replace(" ", "_"), t, p) for k, n, t, p in rows[:3]} | {4: ("too large", None, None), 5: ("nothing to inspect", None, None)}
 
 
 def test_addresses_are_checked_after_resolving():
