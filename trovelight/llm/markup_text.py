@@ -348,7 +348,7 @@ def _wiki(d: Draft) -> None:
 
 # LaTeX
 
-LATEX = re.compile(r"(?<![\w:\\])~?\\(?:[a-zA-Z]{2,}\*?|[%&#_{}\"'`^])(?=[\s{\[\\]|$)|(?<!\w)\\item\b|\\(?:begin|end)\{")
+LATEX = re.compile(r"(?<![\w:\\])~?\\(?:[a-zA-Z]{2,}\*?|[%&#_{}\"'`^])(?=[\s{\[\\]|$)|(?<!\w)\\item\b|\\(?:begin|end)\{|\\[\"'`^]\{\\?[A-Za-z]\}")
 # What an accent command puts on its letter, and commands that stand for characters.
 _ACCENTS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307", "c": "\u0327", "v": "\u030c", "u": "\u0306", "H": "\u030b", "r": "\u030a", "k": "\u0328"}
 _CHARACTERS = {"ss": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "aa": "å", "AA": "Å", "ldots": "…", "dots": "…", "textbackslash": "\\", "LaTeX": "LaTeX", "TeX": "TeX", "textendash": "–", "textemdash": "—", "textdegree": "°", "euro": "€", "pounds": "£", "copyright": "©"}
