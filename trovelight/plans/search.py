@@ -84,7 +84,8 @@ def clause_matches(index: Index, queries: Sequence[Query]) -> DataFrame:
         runs = found.where("phrase AND field <> 'structured'").groupBy(*key, "text_id", (F.col("pos") - F.col("ord")).alias("start")).agg(F.collect_set(F.struct("ord", "term")).alias("hit"))
         whole = runs.where(F.size("hit") == F.col("n")).select(*key, F.explode("hit").alias("h"))
         weighed = weighed.unionByName(whole.groupBy(*key, F.col("h.ord").alias("ord"), F.col("h.term").alias("term")).agg(F.count("*").alias("tf")))
-    weighed = weighed.join(F.broadcast(rarity), ["field", "term"])
+    # a document has few rows now; placed by group, all that follows needs no further shuffle
+    weighed = weighed.join(F.broadcast(rarity), ["field", "term"]).repartition("q", "group")
     # a fold in a fixed order, so that equal documents tie exactly
     parts = F.array_sort(F.collect_list(F.struct("term", "ord", (F.sqrt("tf") * F.col("w")).alias("s"))))
     each = weighed.groupBy(*key).agg(parts.alias("parts")).where(F.size("parts") == F.col("n"))
