@@ -59,9 +59,9 @@ def build_index(records: DataFrame) -> Index:
 
 
 def build(valid: DataFrame) -> Index:
-    """Index of valid records, from merging and grouping on, its tables written to the shared folder."""
+    """Index of valid records, from merging and grouping on, its tables written to the shared folder in no layout."""
     index = build_index(cut_lineage(build_records(valid)))
-    return Index(index.records, *[cut_lineage(arranged(n, df)) for n, df in index.tables().items() if n != "records"])
+    return Index(index.records, *[cut_lineage(df) for n, df in index.tables().items() if n != "records"])
 
 
 def arranged(name: str, df: DataFrame) -> DataFrame:
