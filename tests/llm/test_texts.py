@@ -126,6 +126,29 @@ def test_lost_characters_and_rows(models, spark):
     assert mojibake.repair(df.limit(0), models).count() == 0 and mojibake.repair(df, mojibake.Models()).count() >= 1
 
 
+# models of whole tables
+
+
+RARE = "Czêœæ s³ów\u00a0kart"  # cp1250 read as cp1252; without the language's dictionary only odd signs
+
+
+@pytest.fixture(scope="module")
+def many(spark, tmp_path_factory):
+    """40,000 labelled records, of which 310, over the whole table, are in a language without a fixed alphabet."""
+    rare = "CASE WHEN id < 310 THEN concat('Część słów ułożona została według żółtych kart numer ', id) WHEN id = 310 THEN '" + RARE + "' ELSE concat('Plain record ', id) END"
+    df = spark.range(40_000).selectExpr("id AS record_id", f"{rare} AS title", "CAST(NULL AS string) AS description", "array(CASE WHEN id < 310 THEN 'pl' ELSE 'en' END) AS languages")
+    df.write.parquet(str((folder := tmp_path_factory.mktemp("many")) / "records.parquet"))
+    return str(folder)
+
+
+def test_garbled_fields_are_told_by_models_of_the_whole_table(spark, many):
+    """A sample of 20,000 records holds too few texts of the language, and the field would count as a variant."""
+    from trovelight.llm import queries
+
+    assert RARE in {r.raw for r in glyphs.unify(spark.read.parquet(f"{many}/records.parquet")).collect()}
+    assert (310, "title") not in fields(queries.p1_found(spark, many), "record_id", "field_name")
+
+
 # markup
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -18,7 +19,6 @@ from pyspark.sql import types as T
 
 from trovelight.functions.facets import identifiers
 from trovelight.llm import lookalikes
-from trovelight.operators.sampling import hash_sample
 
 # Letters beyond ASCII that a language's ordinary spelling uses.
 ALPHABETS = {
@@ -51,6 +51,8 @@ UTF8_COST, BYTE_COST = 2.0, 4.0
 LEAST_GAIN = 2.0
 #: Bytes that each unit of an unusual character costs over what the compressor sees.
 UNUSUAL_COST = 1.5
+#: Bytes of a segment that a dictionary takes from the texts, and what stands before a trained dictionary's segments: the format's repeat offsets.
+_SEGMENT, _BEFORE_CONTENT = 512, b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
 
 fold = functools.lru_cache(maxsize=256)(lookalikes.fold)
 
@@ -64,6 +66,10 @@ _INNER = re.compile("(?<=[^\\W\\d_])[\x80-\xa9\xab-\xb9\xbb-\xbf‚„†‡ˆ
 _LONE = re.compile("(?<=[a-zà-ÿ])[ÃÂ](?![A-ZÀ-Þ\x80-¿])|(?<![^\\W\\d_])[ÃГ](?=[a-z])|(?<=[A-Za-zà-ÿ])Г(?=[a-z ]|$)|(?<=[a-zà-ÿ])[ÐÑ]$")
 
 
+def _lone(text: str) -> bool:
+    return any(c in text for c in "ÃÂÐÑГ") and _LONE.search(text) is not None
+
+
 @functools.lru_cache(maxsize=16)
 def _parts(text: str) -> tuple[list[str], list[int]]:
     """A text's words and the space between, and which of them aren't ASCII."""
@@ -149,6 +155,15 @@ def _as_utf8(text: str, encoding: str) -> str:
     return _utf8_runs(encoding).sub(one, text)
 
 
+@functools.lru_cache(maxsize=200_000)
+def _marked(part: str) -> bool:
+    """Whether a word holds UTF-8 sequences read in a usual encoding, a sign between letters or an odd shape."""
+    chars = frozenset(c for c in part if c > "\x7f")
+    if any(_has_run(part, chars, e) for e in ("cp1252", "latin-1", "cp1251", "cp1250")) or _INNER.search(part):
+        return True
+    return any(_shape(w) for w in _WORD.findall(part) if not w.isascii())
+
+
 @functools.cache
 def _kind(c: str) -> float:
     """How unusual a character outside the language's alphabet is."""
@@ -207,7 +222,7 @@ class Detector:
             if given:
                 given.precompute_compress(level=3)
             self.compress[lang] = zstandard.ZstdCompressor(level=3, dict_data=given, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-        self.usual = [a | frozenset(SIGNS) for a in self.alphabets.values()]
+        self.usual = [a | frozenset(SIGNS) | frozenset(map(chr, range(128))) for a in self.alphabets.values()]
         self.letters = frozenset().union(*self.alphabets.values())
         self.least = {lang: self.length("", lang) for lang in self.alphabets}
 
@@ -268,12 +283,11 @@ class Detector:
 
     def clean(self, text: str) -> bool:
         """Whether no candidate needs a look: usual characters only, none in a UTF-8 pattern, and no word that another one-byte encoding describes shorter."""
-        chars = frozenset(c for c in text if c > "\x7f")
-        if not any(chars <= u for u in self.usual):
+        chars = frozenset(text)
+        if not any(chars <= u for u in self.usual) or _lone(text):
             return False
-        if any(_has_run(text, chars, e) for e in ("cp1252", "latin-1", "cp1251", "cp1250")) or _LONE.search(text) or _INNER.search(text):
-            return False
-        return not any(_shape(w) for w in _WORD.findall(text) if not w.isascii()) and not self._savings(text)
+        parts, upper = _parts(text)  # no sign looks beyond the white space that splits them
+        return not any(_marked(parts[k]) for k in upper) and not self._savings(text)
 
     def _into_utf8(self, text: str) -> Iterator[tuple[list[str], str]]:
         chars = frozenset(c for c in text if c > "\x7f")
@@ -284,7 +298,7 @@ class Detector:
                 for again in ("cp1252", "latin-1", e):  # read wrongly twice
                     if _utf8_runs(again).search(once):
                         yield [f"{e}>utf-8", f"{again}>utf-8"], _as_utf8(once, again)
-        if _LONE.search(text):  # the second byte was an invisible character, since lost
+        if _lone(text):  # the second byte was an invisible character, since lost
             for c in ("í", "à", "Í"):
                 yield ["cp1252>utf-8"], _LONE.sub(c, text)
 
@@ -337,7 +351,7 @@ class Detector:
         chain: list[str] = []
         while len(chain) < 4 and not text.isascii() and not self.clean(text):
             looks = fold(text)
-            if looks.isascii() and not _LONE.search(text):
+            if looks.isascii() and not _lone(text):
                 break
             best, pick = None, None  # the text's own description is only made once there is another
             for steps, t in self._into_utf8(text):
@@ -358,45 +372,64 @@ class Detector:
 
     def damaged(self, text: str) -> bool:
         """Whether a stretch is lost for good: replacement characters, or half a UTF-8 sequence."""
-        return "�" in text or "ï¿½" in text or _LONE.search(text) is not None
+        return "�" in text or "ï¿½" in text or _lone(text)
 
     def garbled(self, text: str | None) -> bool:
         return bool(text) and not text.isascii() and (self.damaged(text) or bool(self.restore(text)[0]))
 
 
-def fit_models(records: DataFrame, *, id_col: str = "record_id", fields: Sequence[str] = ("title", "description"), lang_col: str = "languages", sample: int = 20_000, text_bytes: int = 8_192, dictionary_bytes: int = 65_536) -> Models:
-    """Dictionaries and alphabets of the languages, from a sample of labelled records.
+def fit_models(records: DataFrame, *, fields: Sequence[str] = ("title", "description"), lang_col: str = "languages", block_bytes: int = 4_194_304, dictionary_bytes: int = 65_536) -> Models:
+    """Dictionaries and alphabets of the languages, from all labelled records.
 
-    The sample is bounded: ``sample`` records of the lowest id hashes, each with one language, and of
-    them the texts of at most ``text_bytes`` bytes that show no signs of a wrong encoding. Tasks
-    train on them, one a language; the driver gets a dictionary of at most ``dictionary_bytes`` and
-    an alphabet of each. A Latin letter joins the alphabet of a language in Latin script when at
-    least one in 300 of its texts holds it. Languages without records keep their fixed alphabet and
-    no dictionary; others need 300 texts.
+    Every whole text of the records with one language counts, but for those that show signs of a
+    wrong encoding. Texts are placed by their hash in blocks of about ``block_bytes`` bytes of a
+    language, so neither the partitioning nor copies of a text change the result. A task trains a
+    dictionary on a block; up to 64 of a language are trained on in turn until one is left. The
+    driver gets a dictionary of at most ``dictionary_bytes`` and counts of letters of each language.
+    A Latin letter joins the alphabet of a language in Latin script when at least one in 300 of its
+    texts holds it. Languages without records keep their fixed alphabet and no dictionary; others
+    need 300 texts.
     """
+    models = Models({k: b"" for k in ALPHABETS}, dict(ALPHABETS))
     lang = F.get(identifiers(F.col(lang_col)), 0)
-    short = [F.when(F.octet_length(f) <= text_bytes, F.col(f)).alias(f) for f in fields]
-    one = records.where(F.size(identifiers(F.col(lang_col))) == 1).select(lang.alias("lang"), *short, F.col(id_col).alias("_id"))
+    one = records.where(F.size(identifiers(F.col(lang_col))) == 1).select(lang.alias("lang"), F.explode(F.array(*fields)).alias("text")).where("text <> ''")
+    sizes = one.groupBy("lang").agg(F.count("*").alias("texts"), F.sum(F.octet_length("text")).alias("bytes"))
+    blocks = {name: -(-n // block_bytes) for name, _, n in sizes.where(F.col("lang").isin(*ALPHABETS) | (F.col("texts") >= 300)).collect()}
+    if not blocks:
+        return models
+    schema = pa.schema([("lang", pa.string()), ("block", pa.int64()), ("texts", pa.int64()), ("letters", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("dictionary", pa.binary())])
+
+    def row(group: pa.Table, texts: int, letters: Counter[str], dictionary: bytes) -> pa.Table:
+        return pa.table([[x] for x in (group.column("lang")[0].as_py(), group.column("block")[0].as_py(), texts, list(letters), list(letters.values()), dictionary)], schema=schema)
 
     def train(group: pa.Table) -> pa.Table:
-        name = group.column("lang")[0].as_py()
-        held = [t for f in fields for t in group.column(f).to_pylist() if t and not _teaches_wrong(t)]
-        if name not in ALPHABETS and len(held) < 300:
-            return schema.empty_table()
-        seen: dict[str, int] = {}
-        for t in held:
-            for c in {c for c in t if c > "\x7f" and c.isalpha()}:
-                seen[c] = seen.get(c, 0) + 1
-        latin = "а" not in ALPHABETS.get(name, "")
-        common = {c for c, n in seen.items() if n * 300 >= len(held) and n >= 5 and _kind(c) == 1.0 and latin}
-        alphabet = "".join(sorted(set(ALPHABETS.get(name, "")) | common))
-        return pa.table([[name], [alphabet], pa.array([_dictionary(sorted(held), dictionary_bytes)], pa.binary())], schema=schema)
-
-    schema = pa.schema([("lang", pa.string()), ("alphabet", pa.string()), ("dictionary", pa.binary())])
-    trained = hash_sample(one, "_id", rows=sample).groupBy("lang").applyInArrow(train, "lang string, alphabet string, dictionary binary")
-    models = Models({k: b"" for k in ALPHABETS}, dict(ALPHABETS))
-    for name, alphabet, dictionary in trained.collect():
-        models.alphabets[name], models.dictionaries[name] = alphabet, bytes(dictionary)
+        held = sorted((t, n) for t, n in zip(group.column("text").to_pylist(), group.column("copies").to_pylist(), strict=True) if not _teaches_wrong(t))
+        letters: Counter[str] = Counter()
+        for t, n in held:
+            for c in () if t.isascii() else set(t):
+                if c > "\x7f" and c.isalpha() and _kind(c) == 1.0:
+                    letters[c] += n
+        return row(group, sum(n for _, n in held), letters, _dictionary([t.encode() for t, _ in held], dictionary_bytes))
+
+    def merge(group: pa.Table) -> pa.Table:
+        letters: Counter[str] = Counter()
+        for some, counts in zip(group.column("letters").to_pylist(), group.column("counts").to_pylist(), strict=True):
+            letters.update(dict(zip(some, counts, strict=True)))
+        return row(group, sum(group.column("texts").to_pylist()), letters, _merged(sorted(filter(None, group.column("dictionary").to_pylist())), dictionary_bytes))
+
+    kind = "lang string, block long, texts long, letters array<string>, counts array<long>, dictionary binary"
+    of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
+    placed = one.withColumn("block", F.pmod(F.xxhash64("text"), F.try_element_at(of, F.col("lang")))).where("block IS NOT NULL")
+    copies = placed.repartition("lang", "block").groupBy("lang", "block", "text").agg(F.count("*").alias("copies"))
+    trained, most = copies.groupBy("lang", "block").applyInArrow(train, kind), max(blocks.values())
+    while most > 1:
+        trained = trained.withColumn("block", F.shiftright("block", 6)).groupBy("lang", "block").applyInArrow(merge, kind)
+        most = -(-most // 64)
+    for name, _, texts, letters, counts, dictionary in trained.collect():
+        if name in ALPHABETS or texts >= 300:
+            latin = "а" not in ALPHABETS.get(name, "")
+            common = {c for c, n in zip(letters, counts, strict=True) if n * 300 >= texts and n >= 5 and latin}
+            models.alphabets[name], models.dictionaries[name] = "".join(sorted(set(ALPHABETS.get(name, "")) | common)), bytes(dictionary)
     return models
 
 
@@ -404,24 +437,39 @@ def _teaches_wrong(text: str) -> bool:
     """Whether a text itself may have been read in a wrong encoding, and so must not enter a dictionary."""
     if text.isascii():
         return False
-    if "\ufffd" in text or any("\x80" <= c < "\xa0" or "\u2500" <= c <= "\u259f" for c in text) or _LONE.search(text) or _INNER.search(text) or any(_shape(w) for w in _WORD.findall(text)):
+    if _lone(text):  # it looks beyond spaces, the other signs don't
+        return True
+    return any((_part_wrong if len(p) < 100 else _part_wrong.__wrapped__)(p) for p in text.split(" ") if not p.isascii())
+
+
+@functools.lru_cache(maxsize=50_000)
+def _part_wrong(part: str) -> bool:
+    if "\ufffd" in part or any("\x80" <= c < "\xa0" or "\u2500" <= c <= "\u259f" for c in part) or _INNER.search(part) or any(_shape(w) for w in _WORD.findall(part)):
         return True
-    chars = frozenset(c for c in text if c > "\x7f")
+    chars = frozenset(c for c in part if c > "\x7f")
     for e in READ_AS:
-        for m in _utf8_runs(e).finditer(text) if _has_run(text, chars, e) else ():
+        for m in _utf8_runs(e).finditer(part) if _has_run(part, chars, e) else ():
             if (t := _as_utf8(m.group(), e)) != m.group() and all(c.isascii() or _kind(c) <= 1.5 for c in t):
                 return True
     return False
 
 
-def _dictionary(texts: list[str], size: int) -> bytes:
+def _dictionary(texts: list[bytes], size: int) -> bytes:
     import zstandard
 
-    held = [t.encode() for t in dict.fromkeys(texts)]
-    try:
-        return zstandard.train_dictionary(size, held, level=3).as_bytes()
+    pieces = [t[i : i + 65_536] for t in texts for i in range(0, len(t), 65_536)]  # the trainer counts the first 128 KB of a piece
+    try:  # with neither k nor a split point it would leave out the last quarter
+        return zstandard.train_dictionary(size, pieces, k=_SEGMENT, d=8, split_point=1.0, level=3).as_bytes()
     except zstandard.ZstdError:  # too few texts to train on: they are the dictionary
-        return b"\n".join(held)[-size:]
+        return b"\n".join(pieces)[-size:]
+
+
+def _merged(dictionaries: list[bytes], size: int) -> bytes:
+    """One dictionary trained on the segments of several."""
+    if len(dictionaries) < 2:
+        return b"".join(dictionaries)
+    held = [d.partition(_BEFORE_CONTENT)[2] or d for d in dictionaries]
+    return _dictionary([c[max(0, i - _SEGMENT) : i] for c in held for i in range(len(c), 0, -_SEGMENT)], size)
 
 
 def repair(records: DataFrame, models: Models, *, id_col: str = "record_id", fields: Sequence[str] = ("title", "description"), changed_only: bool = True) -> DataFrame:
