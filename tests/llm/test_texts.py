@@ -149,6 +149,29 @@ def test_garbled_fields_are_told_by_models_of_the_whole_table(spark, many):
     assert (310, "title") not in fields(queries.p1_found(spark, many), "record_id", "field_name")
 
 
+def test_language_of_few_texts_among_many(spark, many):
+    from trovelight.llm import queries
+
+    assert fields(queries.p3_found(spark, many), "record_id", "field_name") == [(310, "title")]
+
+
+def test_long_and_last_texts_are_trained_on(spark):
+    rows = [(f"a{k} plain catalogue of measurements number {k * 7919 % 10007}", ["en"]) for k in range(6000)] + [(f"z{k} quixotic flumes", ["en"]) for k in range(1500)] + [("zymurgical vessels " * 500, ["en"])]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "record_id long, title string, languages array<string>")
+    learned = mojibake.fit_models(df, fields=["title"], dictionary_bytes=16_384).dictionaries["en"]
+    assert b"quixotic flumes" in learned and b"zymurgical vessels" in learned and len(learned) <= 16_384
+
+
+def test_models_of_many_blocks(spark):
+    """Counts over all blocks are exact, and the partitioning doesn't matter."""
+    rows = [(f"Relatório das estações de medição número {k}", ["pt"]) for k in range(310)] + [(f"Text {k} of plain measurements {k * 7919 % 10007}", ["en"]) for k in range(2500)]
+    df = spark.createDataFrame(rows, "title string, languages array<string>")
+    one = mojibake.fit_models(df.repartition(2), fields=["title"], block_bytes=1000)
+    assert one == mojibake.fit_models(df.repartition(7), fields=["title"], block_bytes=1000)
+    assert set("ãçõóú") <= set(one.alphabets["pt"]) and "medição".encode() in one.dictionaries["pt"] and b"plain measurements" in one.dictionaries["en"]
+    assert "pt" not in mojibake.fit_models(df.where("title NOT LIKE '%número 1%'"), fields=["title"], block_bytes=1000).alphabets
+
+
 # markup
 
 

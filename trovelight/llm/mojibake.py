@@ -383,8 +383,8 @@ def fit_models(records: DataFrame, *, fields: Sequence[str] = ("title", "descrip
 
     Every whole text of the records with one language counts, but for those that show signs of a
     wrong encoding. Texts are placed by their hash in blocks of about ``block_bytes`` bytes of a
-    language, so neither the partitioning nor copies of a text change the result. A task trains a
-    dictionary on a block; up to 64 of a language are trained on in turn until one is left. The
+    language, so the partitioning doesn't change the result. A task trains a dictionary on a block,
+    of each distinct text once; up to 64 of a language are trained on in turn until one is left. The
     driver gets a dictionary of at most ``dictionary_bytes`` and counts of letters of each language.
     A Latin letter joins the alphabet of a language in Latin script when at least one in 300 of its
     texts holds it. Languages without records keep their fixed alphabet and no dictionary; others
