@@ -1,3 +1,4 @@
+import hashlib
 import io
 import json
 import os
@@ -8,7 +9,9 @@ import pytest
 
 from trovelight import cli
 from trovelight.catalogue import Catalogue, CatalogueError
-from trovelight.operators.grouping import ONE_PROCESS, Limits, connected
+from trovelight.operators.grouping import ONE_PROCESS, Limits, connected, group_records, merge_sources, merge_stored
+from trovelight.operators.index import arranged, build_index
+from trovelight.operators.records import normalize_records, split_records
 from trovelight.plans.query import parse
 from trovelight.plans.search import search, search_many
 from trovelight.sources.http import Answer
@@ -237,3 +240,29 @@ def test_limits(spark, tmp_path):
         with pytest.raises(ValueError, match="over the limit"):
             c.rebuild(rows)
         assert c.open() is False and not c.building.exists()
+
+
+def test_a_build_moves_texts_once_and_postings_never(spark, tmp_path):
+    """Shuffles of whole texts or of postings, and steps that stay, took 9 times the records' disk."""
+    rows = spark.createDataFrame([("a", "1", "one"), ("a", "2", "two two"), ("b", "1", "é"), ("a", "1", "one more")], RAW)
+    c = Catalogue(spark, str(tmp_path / "live"))
+    c.rebuild(rows, strict=False)
+    assert not c.work.exists() and not c.building.exists()
+    index = build_index(c.index().records)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") + df._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning")
+    assert exchanges(arranged("postings", index.postings)) == exchanges(index.lengths) == 1
+    files = next((c.root / "postings").glob("*.parquet"))
+    assert ".zstd." in files.name
+
+
+def test_stored_merge_and_groups_are_those_of_all_rows(spark, tmp_path):
+    """Only rows that may be repeated or linked are merged and joined; the result is that of all rows."""
+    v1, v2 = [str(k) * 40 for k in range(4)], [str(k) * 64 for k in range(4)]
+    given = [("a", "1", "x", v1[0], ""), ("a", "1", "longer", "", ""), ("a", "2", "y", v1[0], v2[0]), ("b", "1", "z", "", v2[0]), ("b", "2", "alone", v1[1], ""), ("b", "3", "bare", "", ""), ("b", "4", "w", v1[2], v2[2]), ("b", "4", "w", v1[3], v2[2])]
+    valid = split_records(normalize_records(spark.createDataFrame(given, RAW + ", infohash_v1 string, infohash_v2 string")))[0]
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(merge_stored(valid)) == rows(merge_sources(valid))
+    got = {(r.provider, r.source_id): r.group for r in group_records(merge_sources(valid).where("NOT conflict")).collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    three = sha(f"v1:{v1[0]}\0v2:{v2[0]}")
+    assert got == {("a", "1"): three, ("a", "2"): three, ("b", "1"): three, ("b", "2"): sha(f"v1:{v1[1]}"), ("b", "3"): sha("b\x003")}

@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trovelight.operators.grouping import Limits, build_records, build_sound_records
-from trovelight.operators.index import DOCUMENT, Index, arranged, build_index
-from trovelight.operators.records import normalize_records, require_valid, split_records
+from trovelight.operators.index import DOCUMENT, Index, arranged, build_index, document_words
+from trovelight.operators.records import normalize_records, require_valid, split_records, with_identity
 from trovelight.plans.query import parse
 from trovelight.plans.search import search, search_many
 from trovelight.schema import FIELDS
-from trovelight.session import cut_lineage
+from trovelight.session import compact, freed_shuffles, stored
 
 MANIFEST, VERSION = "_GENERATION.json", 2
 TABLES = ("records", "postings", "lengths", "terms")
@@ -30,14 +30,14 @@ class CatalogueError(RuntimeError):
 class Catalogue:
     """One live generation under ``root`` (a folder all executors share, on a file system with rename).
 
-    ``root.building`` is written first, then takes the place of ``root``, which becomes
-    ``root.previous``; any failure leaves the live generation in place. Readers keep the files of the
+    ``root.building`` is written first, from steps in ``root.work``, then takes the place of ``root``,
+    which becomes ``root.previous``; any failure leaves the live generation in place. Readers keep the files of the
     generation they opened.
     """
 
     def __init__(self, spark: SparkSession, root: str, limits: Limits | None = None):
         self.spark, self.root, self.limits = spark, Path(root), limits
-        self.building, self.previous, self.failed = (self.root.with_name(self.root.name + s) for s in (".building", ".previous", ".failed"))
+        self.building, self.previous, self.failed, self.work = (self.root.with_name(self.root.name + s) for s in (".building", ".previous", ".failed", ".work"))
 
     # lifecycle
 
@@ -84,11 +84,24 @@ class Catalogue:
         sources go to the generation's quarantine with their reasons.
         """
         normal = normalize_records(raw)
-        if strict:
-            return self.publish(build_records(require_valid(normal)))
-        valid, invalid = split_records(cut_lineage(normal))
-        sound, clashing = build_sound_records(valid)
-        return self.publish(sound, invalid.select(*FIELDS, "errors").unionByName(clashing))
+        shutil.rmtree(self.work, ignore_errors=True)
+        try:
+            with freed_shuffles(self.spark):
+                if strict:
+                    records, left_out = build_records(require_valid(normal), self._keep), None
+                else:
+                    valid, invalid = split_records(self._keep(normal, "normal"))
+                    invalid = self._keep(invalid.select(*FIELDS, "errors"), "invalid")
+                    records, clashing = build_sound_records(valid, self._keep)
+                    left_out = invalid.unionByName(clashing)
+                shutil.rmtree(self.work / "normal")  # merged by now
+                return self.publish(records, left_out)
+        finally:
+            shutil.rmtree(self.work, ignore_errors=True)
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A step of the build, on disk until the next one has read it."""
+        return stored(df, f"{self.work}/{name}")
 
     def publish(self, records: DataFrame, quarantine: DataFrame | None = None) -> dict[str, int]:
         """Write, verify and make live a generation of grouped records, if it keeps the catalogue's limits."""
@@ -97,19 +110,23 @@ class Catalogue:
         shutil.rmtree(self.building, ignore_errors=True)
         self.building.parent.mkdir(parents=True, exist_ok=True)
         try:
-            arranged("records", records).write.parquet(f"{self.building}/records")
+            compact(with_identity(arranged("records", records.drop("completeness", "source"))), f"{self.building}/records")  # what can be told again doesn't move
             if self.limits:
                 self.limits.check(self.spark.read.parquet(f"{self.building}/records"))
             if quarantine is not None:
                 quarantine.write.parquet(f"{self.building}/quarantine")
-            index = build_index(self.spark.read.parquet(f"{self.building}/records"))
+            shutil.rmtree(self.work, ignore_errors=True)
+            whole = self.spark.read.parquet(f"{self.building}/records")
+            index = build_index(whole, self._keep(document_words(whole), "words"))
             for name in TABLES[1:]:
-                arranged(name, index.tables()[name]).write.parquet(f"{self.building}/{name}")
+                compact(arranged(name, index.tables()[name]), f"{self.building}/{name}")
+            shutil.rmtree(self.work)
             counts = {t: self.spark.read.parquet(f"{self.building}/{t}").count() for t in TABLES}
             documents = self.spark.read.parquet(f"{self.building}/lengths").select(*DOCUMENT).distinct().count()
             (self.building / MANIFEST).write_text(json.dumps({"version": VERSION, "tables": counts, "documents": documents}))
         except Exception:
-            shutil.rmtree(self.building, ignore_errors=True)
+            for at in (self.building, self.work):
+                shutil.rmtree(at, ignore_errors=True)
             raise
         had = self.root.exists()
         if had:

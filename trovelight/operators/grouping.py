@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import astuple, dataclass
 
 import pyarrow as pa
@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from trovelight import schema as S
 from trovelight.functions.facets import completeness
+from trovelight.operators.membership import flagged
 from trovelight.operators.records import encoded, source_key, with_identity
 from trovelight.session import cut_lineage
 
+#: Writes a named step and returns it read back.
+Keep = Callable[[DataFrame, str], DataFrame]
+
 #: Distinct hashes that one group may link; beyond it the build fails.
 GROUP_HASHES = 65_536
 
@@ -65,6 +69,15 @@ def merge_sources(records: DataFrame) -> DataFrame:
     return merged.select(*[back[c] if c in back else F.col(f"row.{c}").alias(c) for c in records.columns], (F.coalesce(differ, F.lit(False)) | apart).alias("conflict"), "n_rows")
 
 
+def merge_stored(records: DataFrame) -> DataFrame:
+    """The same of records that may be read several times: those of sources delivered once don't move."""
+    key = ["provider", "source_id"]
+    marked = flagged(records, key, records.groupBy(*key).count().where("count > 1"))
+    back = [F.coalesce(c, F.lit("")).alias(c) if c in ("infohash_v1", "infohash_v2") else F.col(c) for c in records.columns]
+    once = marked.where("NOT _among").select(*back, F.lit(False).alias("conflict"), F.lit(1).cast("long").alias("n_rows"))
+    return once.unionByName(merge_sources(marked.where("_among").drop("_among")))
+
+
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labels of a graph that fits one task."""
     above: dict[str, str] = {}
@@ -123,40 +136,46 @@ def group_records(records: DataFrame, limit: int = GROUP_HASHES) -> DataFrame:
     """Records with ``group``: those linked by a v1 or v2 hash, directly or through others, share one.
 
     The id is the digest of the group's sorted hash names; a record without hashes is a group of its
-    own, by its source. The graph has a node per hash and an edge per record that holds two, so it
-    shrinks with copies. A group of over ``limit`` hashes raises an error. Null hashes count as
-    absent.
+    own, by its source. The graph has a node per hash that some record holds beside another, and an
+    edge per such pair, so it shrinks with copies; only records that may hold one of these hashes are
+    joined with it, all others know their group. A group of over ``limit`` hashes raises an error.
+    Null hashes count as absent.
     """
     held = records.withColumn("_h", _named(F.coalesce("infohash_v1", F.lit("")), F.coalesce("infohash_v2", F.lit(""))))
-    edges = held.where(F.size("_h") > 0).select(F.get("_h", 0).alias("a"), F.get("_h", F.size("_h") - 1).alias("b")).distinct()
+    edges = held.where(F.size("_h") == 2).select(F.get("_h", 0).alias("a"), F.get("_h", 1).alias("b")).distinct()
     nodes = connected(edges)
     sizes = nodes.groupBy("label").agg(F.count("*").alias("n"))
     guarded = nodes.join(sizes.where(F.col("n") > limit), "label", "left").where(F.when(F.col("n").isNotNull(), F.raise_error(F.lit("a group links too many hashes")).cast("boolean")).otherwise(True))
     ids = guarded.groupBy("label").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("node")), "\x00"), 256).alias("group"))
-    by_hash = nodes.join(ids, "label").select(F.col("node").alias("_first"), "group")
-    keyed = held.withColumn("_first", F.get("_h", 0)).drop("_h")
-    lone = F.sha2(source_key(F.col("provider"), F.col("source_id")), 256)
-    return keyed.join(by_hash, "_first", "left").withColumn("group", F.coalesce("group", lone)).drop("_first")
+    by_hash = cut_lineage(nodes.join(ids, "label").select(F.col("node").alias("_first"), "group"))
+    keyed = flagged(held.withColumn("_first", F.get("_h", 0)).drop("_h"), ["_first"], by_hash)
+    own = F.sha2(F.coalesce("_first", source_key(F.col("provider"), F.col("source_id"))), 256)
+    linked = keyed.where("_among").join(by_hash, "_first", "left").withColumn("group", F.coalesce("group", own))
+    return keyed.where("NOT _among").withColumn("group", own).unionByName(linked).drop("_first", "_among")
+
+
+def _checkpoint(df: DataFrame, name: str) -> DataFrame:
+    return cut_lineage(df)
 
 
-def build_records(valid: DataFrame) -> DataFrame:
+def build_records(valid: DataFrame, keep: Keep = _checkpoint) -> DataFrame:
     """Grouped records of a catalogue: merged by source, grouped, with completeness; conflicts raise.
 
-    The steps are written to the shared folder: each reads its input more than once.
+    The steps are written, by default to the shared folder: each reads its input more than once.
     """
-    merged = merge_sources(cut_lineage(valid.select(*S.FIELDS)))
+    merged = merge_stored(keep(valid.select(*S.FIELDS), "normal"))
     clash = F.raise_error(F.concat(F.lit("conflicting hashes of "), F.col("provider"), F.lit("/"), F.col("source_id")))
-    return _grouped(merged.where(F.when(F.col("conflict"), clash.cast("boolean")).otherwise(True)))
+    return _grouped(keep(merged.where(F.when(F.col("conflict"), clash.cast("boolean")).otherwise(True)), "merged"))
 
 
-def build_sound_records(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The same of the sources without conflicts, and the sources with one, for the quarantine."""
-    merged = cut_lineage(merge_sources(valid.select(*S.FIELDS)))
+def build_sound_records(valid: DataFrame, keep: Keep = _checkpoint) -> tuple[DataFrame, DataFrame]:
+    """The same of the sources without conflicts, and the sources with one, for the quarantine. ``valid`` is read several times."""
+    merged = keep(merge_stored(valid.select(*S.FIELDS)), "merged")
     return _grouped(merged.where(~F.col("conflict"))), merged.where("conflict").select(*S.FIELDS, F.array(F.lit("conflicting hashes")).alias("errors"))
 
 
 def _grouped(merged: DataFrame) -> DataFrame:
-    return with_identity(group_records(cut_lineage(merged.drop("conflict", "n_rows"))))
+    return with_identity(group_records(merged.drop("conflict", "n_rows")))
 
 
 def agreed(c: Column) -> Column:

@@ -7,9 +7,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Shuffle files of a query go when it ends; by default they stay until the driver collects its garbage.
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str = "trovelight", cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
@@ -67,3 +72,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` written to a folder as compressed Parquet and read back; a checkpoint isn't compressed."""
+    compact(df, folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def compact(df: DataFrame, folder: str) -> None:
+    """Write Parquet with zstd, and with dictionaries large enough for a file's digests."""
+    df.write.options(**{"compression": "zstd", "parquet.dictionary.page.size": str(16 << 20)}).parquet(folder)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are removed as soon as it ends, so that a chain of jobs needs the disk of its largest."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
